@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, quality_rules
+from pyspark.sql import functions as F
+
+from . import classifier, language, mixing, pieces, pii, quality_rules
 from .common import table
 
 
+def op1_sentencepiece(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = pieces.encode(docs)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_pii(spark, sf_dir):
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
@@ -14,9 +22,17 @@ def op5_quality_rules(spark, sf_dir):
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark, sf_dir):
+    return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op5_quality_rules, op8_mixing)}
+def op9_language(spark, sf_dir):
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_pii, op5_quality_rules, op7_quality_classifier, op8_mixing, op9_language)}
 ORACLES = {"op5_quality_rules": quality_rules.ORACLE, "op8_mixing": mixing.ORACLE}
