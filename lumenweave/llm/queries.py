@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import classifier, language, mixing, pieces, pii, quality_rules
+from . import classifier, language, mixing, near_dups, pieces, pii, quality_rules
 from .common import table
 
 
@@ -34,5 +34,9 @@ def op9_language(spark, sf_dir):
     return language.language_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_pii, op5_quality_rules, op7_quality_classifier, op8_mixing, op9_language)}
+def op10_near_dups(spark, sf_dir):
+    return near_dups.class_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_pii, op5_quality_rules, op7_quality_classifier, op8_mixing, op9_language, op10_near_dups)}
 ORACLES = {"op5_quality_rules": quality_rules.ORACLE, "op8_mixing": mixing.ORACLE}
