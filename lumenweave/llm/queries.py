@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import classifier, language, mixing, near_dups, pieces, pii, quality_rules
+from . import classifier, language, mixing, near_dups, pieces, pii, quality_rules, repeats
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_sentencepiece(spark, sf_dir):
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return repeats.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark, sf_dir):
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_near_dups(spark, sf_dir):
     return near_dups.class_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_pii, op5_quality_rules, op7_quality_classifier, op8_mixing, op9_language, op10_near_dups)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_pii, op5_quality_rules, op7_quality_classifier, op8_mixing, op9_language, op10_near_dups)}
 ORACLES = {"op5_quality_rules": quality_rules.ORACLE, "op8_mixing": mixing.ORACLE}
