@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import classifier, language, mixing, near_dups, pieces, pii, quality_rules, repeats
+from . import classifier, language, mixing, near_dups, neighbours, pieces, pii, quality_rules, repeats
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_quality_rules(spark, sf_dir):
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark, sf_dir):
+    return neighbours.neighbour_report(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality_classifier(spark, sf_dir):
     return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,5 +46,5 @@ def op10_near_dups(spark, sf_dir):
     return near_dups.class_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_pii, op5_quality_rules, op7_quality_classifier, op8_mixing, op9_language, op10_near_dups)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_pii, op5_quality_rules, op6_nearest_neighbours, op7_quality_classifier, op8_mixing, op9_language, op10_near_dups)}
 ORACLES = {"op5_quality_rules": quality_rules.ORACLE, "op8_mixing": mixing.ORACLE}
