@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import classifier, language, mixing, near_dups, neighbours, pieces, pii, quality_rules, repeats
+from . import classifier, html_text, language, mixing, near_dups, neighbours, pieces, pii, quality_rules, repeats
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_pii(spark, sf_dir):
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark, sf_dir):
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_near_dups(spark, sf_dir):
     return near_dups.class_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_pii, op5_quality_rules, op6_nearest_neighbours, op7_quality_classifier, op8_mixing, op9_language, op10_near_dups)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_pii, op4_html_text, op5_quality_rules, op6_nearest_neighbours, op7_quality_classifier, op8_mixing, op9_language, op10_near_dups)}
 ORACLES = {"op5_quality_rules": quality_rules.ORACLE, "op8_mixing": mixing.ORACLE}
