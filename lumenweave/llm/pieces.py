@@ -289,8 +289,8 @@ def segmenter(model: tuple) -> Segmenter:
     return _segmenter(key)
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Per document: doc_id, ``ids`` (array of int) and ``decoded`` (string), the text that the identifiers decode to."""
+def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per document: the columns ``keep``, ``ids`` (array of int) and ``decoded``, the text that the identifiers decode to."""
     shipped = docs.sparkSession.sparkContext.broadcast(load(path or model_path()))
 
     def run(batches):
@@ -303,12 +303,12 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             mask = pa.array(null)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [column(b, "doc_id"), pc.if_else(mask, pa.nulls(len(lists), lists.type), lists), pc.if_else(mask, pa.nulls(len(decoded), pa.string()), pa.array(decoded, pa.string()))],
-                ["doc_id", "ids", "decoded"],
+                [*[column(b, c) for c in keep], pc.if_else(mask, pa.nulls(len(lists), lists.type), lists), pc.if_else(mask, pa.nulls(len(decoded), pa.string()), pa.array(decoded, pa.string()))],
+                [*keep, "ids", "decoded"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{kinds}, ids array<int>, decoded string")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
