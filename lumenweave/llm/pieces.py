@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by batched Viterbi.
 
-Texts are cut at spaces; the distinct words of a chunk are grouped by length, and all words of one
+Texts are cut at spaces and line breaks; the distinct words of a chunk are grouped by length, and all words of one
 length advance together, one character at a time.  At each end position the hashes of the last 1 to
 ``max_len`` characters probe the sorted hashes of the pieces.  A piece may end a prefix only if it is
 compatible with the piece that ends the shorter prefix, that is, if merging the two pieces' characters
@@ -24,7 +24,6 @@ doc_id and text are never read by ``encode``.
 from __future__ import annotations
 
 import functools
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +67,10 @@ class Segmenter:
         wrong = [p for p in self.id_of if SPACE in p.lstrip(SPACE) or (p.startswith(SPACE * 2) and p.strip(SPACE))]
         if wrong or not chars <= self.id_of.keys():
             raise ValueError("a model is supported if spaces only begin its pieces and every character of a piece is a piece")
+        if "\n" in chars:
+            raise ValueError("a model is supported if it has no piece with a line break")
+        levels = {x: i for i, x in enumerate(sorted({scores[i] for i in normal}, reverse=True))}
+        self.rank = {p: levels[scores[i]] for p, i in self.id_of.items()}
         self.byte_id = {int(pieces[i][1:-1], 16): i for i, k in enumerate(kinds) if k == "b"}
         self.space_id = self.id_of[SPACE]
         words = [i for i in normal if not pieces[i].startswith(SPACE * 2)]
@@ -84,8 +87,9 @@ class Segmenter:
         self.alone = np.zeros(len(pieces), bool)
         for i in words:
             self.alone[i] = self._merge(pieces[i]) == [i]
-        self.pair_keys, self.pair_ok = np.zeros(1 << 20, np.uint64), np.zeros(1 << 20, bool)
+        self.pair_keys, self.pair_ok = np.zeros(1 << 22, np.uint64), np.zeros(1 << 22, bool)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.runs: dict[int, list[int]] = {}
         raw = [bytes([int(p[1:-1], 16)]) if k == "b" else b"" if k == "x" else p.replace(SPACE, " ").encode() for p, k in zip(pieces, kinds, strict=True)]
         self.raw_len = np.array([len(x) for x in raw], np.int64)
@@ -103,34 +107,24 @@ class Segmenter:
 
     def _merge(self, text: str) -> list[int]:
         """Identifiers of ``text`` by merging the best adjacent pair, leftmost first, until none is a piece."""
-        part = list(text)
-        nxt, prv, alive = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1)), [True] * len(part)
-        heap: list = []
-
-        def offer(i: int) -> None:
-            if 0 <= i and nxt[i] < len(part) and (k := self.id_of.get(part[i] + part[nxt[i]])) is not None:
-                heapq.heappush(heap, (-self.scores[k], i, part[i], part[nxt[i]]))
-
-        for i in range(len(part) - 1):
-            offer(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            if not alive[i] or part[i] != a or nxt[i] >= len(part) or part[nxt[i]] != b:
-                continue
-            j = nxt[i]
-            part[i], alive[j], nxt[i] = a + b, False, nxt[j]
-            if nxt[i] < len(part):
-                prv[nxt[i]] = i
-            offer(prv[i])
-            offer(i)
-        return [self.id_of.get(p, UNKNOWN) for p, ok in zip(part, alive, strict=True) if ok]
+        part, get, none = list(text), self.rank.get, len(self.rank)
+        best = [get(x + y, none) for x, y in zip(part, part[1:], strict=False)]
+        while best and (low := min(best)) < none:
+            i = best.index(low)
+            part[i : i + 2] = [part[i] + part[i + 1]]
+            del best[i]
+            if i < len(best):
+                best[i] = get(part[i] + part[i + 1], none)
+            if i:
+                best[i - 1] = get(part[i - 1] + part[i], none)
+        return [self.id_of.get(p, UNKNOWN) for p in part]
 
     def _compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether each pair of neighbouring pieces stands under the merge procedure."""
         out = self.alone[b]
         real = np.nonzero((a >= 0) & out)[0]
         key = (a[real].astype(np.uint64) << np.uint64(32)) | (b[real].astype(np.uint64) + np.uint64(1))
-        slot = ((key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)).astype(np.int64)
+        slot = ((key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(42)).astype(np.int64)
         hit = self.pair_keys[slot] == key
         ok = self.pair_ok[slot]
         if not hit.all():
@@ -139,7 +133,7 @@ class Segmenter:
             for n, k in enumerate(missing.tolist()):
                 x, y = k >> 32, (k & 0xFFFFFFFF) - 1
                 fresh[n] = self._merge(self.pieces[x] + self.pieces[y]) == [x, y]
-            at = ((missing * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)).astype(np.int64)
+            at = ((missing * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(42)).astype(np.int64)
             self.pair_keys[at], self.pair_ok[at] = missing, fresh
             self.pair_keys[at] = missing  # of pairs that share a slot, the last stays
             last = self.pair_keys[at] == missing
@@ -184,10 +178,11 @@ class Segmenter:
         table = np.stack(steps[::-1], axis=1)
         kept = table != -1
         flat, counts = table[kept], kept.sum(axis=1)
-        if (flat == UNKNOWN).any():
-            return [self._with_bytes(w, row[row != -1].tolist()) for w, row in zip(words, table, strict=True)]
         data, ends = flat.astype(np.int32).tobytes(), np.cumsum(counts) * 4
-        return [data[j - 4 * c : j] for j, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+        out = [data[j - 4 * c : j] for j, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+        for i in np.nonzero((table == UNKNOWN).any(axis=1))[0].tolist():
+            out[i] = self._with_bytes(words[i], table[i][kept[i]].tolist())
+        return out
 
     def _with_bytes(self, word: str, ids: list[int]) -> bytes:
         out, at = [], 0
@@ -201,23 +196,33 @@ class Segmenter:
         return np.array(out, np.int32).tobytes()
 
     def words(self, parts: list[str]) -> list[bytes]:
-        """Identifiers (int32 bytes) of each distinct word with a space in front."""
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        own: dict[str, bytes] = {}
+        """Identifiers (int32 bytes) of each distinct part: a word after a space, or after a line break if it begins with one."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
         by_size: dict[int, list[str]] = {}
         for p in parts:
             if p not in cache:
-                by_size.setdefault(len(p) + 1, []).append(p)
+                if p in older:
+                    cache[p] = older[p]
+                else:
+                    w = p[1:] if p[:1] == "\n" else SPACE + p
+                    by_size.setdefault(len(w), []).append(p)
+        line = np.array([self.byte_id[10]], np.int32).tobytes() if 10 in self.byte_id else b""
         for size, group in by_size.items():
-            step = max(1, 4_000_000 // (size * 24))
+            step = max(1, 4_000_000 // (size * 24 + 1))
             for i in range(0, len(group), step):
                 part = group[i : i + step]
-                own.update(zip(part, self._same_length([SPACE + p for p in part], size), strict=True))
-        out = [own[p] if p in own else cache[p] for p in parts]
-        if len(cache) + len(own) <= 2 * CACHE_WORDS:
-            cache.update((p, x) for p, x in own.items() if len(p) <= 64)
+                if not size:
+                    cache[part[0]] = line
+                    continue
+                ids = self._same_length([p[1:] if p[:1] == "\n" else SPACE + p for p in part], size)
+                cache.update((p, line + x if p[:1] == "\n" else x) for p, x in zip(part, ids, strict=True))
+        out = [cache[p] for p in parts]
+        for group in by_size.values():
+            if len(group[0]) > 64:
+                for p in group:
+                    del cache[p]
         return out
 
     def _run(self, n: int) -> list[int]:
@@ -227,7 +232,8 @@ class Segmenter:
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and flat identifiers of a chunk of texts (Arrow strings without nulls)."""
-        parts = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), SPACE, " "), " ")
+        plain = pc.replace_substring(texts.cast(pa.large_string()), SPACE, " ")
+        parts = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.flatten().dictionary_encode()
         index = coded.indices.to_numpy().astype(np.int64)
