@@ -26,7 +26,6 @@ MESSAGES = {
     NO_PATH: "não existe caminho físico entre origem e destino",
 }
 EDGE = "project_id long, x1 double, y1 double, x2 double, y2 double, weight double, real_dist double"
-PLACE = "array<struct<lon:double,lat:double>>"
 
 
 def street_edges(vertices: DataFrame) -> DataFrame:
@@ -100,7 +99,7 @@ def metres(a, b) -> float:
     return float(2 * geo.EARTH_M * np.arctan2(np.sqrt(h), np.sqrt(1 - h)))
 
 
-ROUTE = f"project_id long, req_id long, status string, path {PLACE}, snap_o_m double, snap_d_m double"
+ROUTE = "project_id long, req_id long, status string, lons array<double>, lats array<double>, snap_o_m double, snap_d_m double"
 
 
 def routes(requests: DataFrame, edges: DataFrame, config: dict, limit_m: Column | float | None = None) -> DataFrame:
@@ -118,24 +117,26 @@ def routes(requests: DataFrame, edges: DataFrame, config: dict, limit_m: Column
         for r in req.sort_values(["o_lon", "o_lat", "req_id"]).itertuples(index=False):
             o, d = (float(r.o_lon), float(r.o_lat)), (float(r.d_lon), float(r.d_lat))
             if not len(net.nodes):
-                out.append((r.project_id, r.req_id, NO_MESH, [], None, None))
+                out.append((r.project_id, r.req_id, NO_MESH, [], [], None, None))
                 continue
             (a, da), (b, db) = net.nearest(o), net.nearest(d)
             if pd.notna(r.lim) and (da > r.lim or db > r.lim):
-                out.append((r.project_id, r.req_id, OFF_MESH, [], da, db))
+                out.append((r.project_id, r.req_id, OFF_MESH, [], [], da, db))
                 continue
             before = net.tree(a)
             if b not in before:
-                out.append((r.project_id, r.req_id, NO_PATH, [], da, db))
+                out.append((r.project_id, r.req_id, NO_PATH, [], [], da, db))
                 continue
             back = [b]
             while back[-1] != a:
                 back.append(before[back[-1]])
-            out.append((r.project_id, r.req_id, OK, [{"lon": x, "lat": y} for x, y in (o, *reversed(back), d)], da, db))
+            way = (o, *reversed(back), d)
+            out.append((r.project_id, r.req_id, OK, [x for x, _ in way], [y for _, y in way], da, db))
         return pd.DataFrame(out, columns=[c.split()[0] for c in ROUTE.split(", ")])
 
     found = asked.groupBy("project_id").cogroup(edges.groupBy("project_id")).applyInPandas(run, ROUTE)
-    found = found.withColumn("path", geo.without_repeats("path")).withColumn("plain_m", geo.path_metres("path"))
+    path = F.zip_with("lons", "lats", lambda x, y: F.struct(x.alias("lon"), y.alias("lat")))
+    found = found.withColumn("path", geo.without_repeats(path)).drop("lons", "lats").withColumn("plain_m", geo.path_metres("path"))
     note = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
     return (
         requests.join(found, ["project_id", "req_id"])
