@@ -2,7 +2,7 @@
 
 Every document gets a few whole numbers (word counts, symbols, repeated lines and windows, capitals).
 Their ratios, in thousandths, go into mergeable quantile sketches per language and source: counts of
-integer buckets, exact up to 4,096 and of relative width beyond, which add up whatever the order of
+integer buckets, exact up to 65,536 and 4,096 wide beyond, which add up whatever the order of
 merging.  The same sketches merge further into those of a language and of all documents, which serve
 groups of fewer than ``min_group`` documents.  A group's upper fence for a ratio is its median plus
 ``spread`` times its interquartile range plus a small margin.  The fences are then joined back.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import P, WORD, broadcast_if_small, save
 
 #: Ratios with a fence, and the margin in thousandths that a fence leaves even where a group does not vary.
-MARGINS = {"symbols": 100, "dup_lines": 300, "repeats": 150, "capitals": 200, "long_words": 3000}
+MARGINS = {"symbols": 100, "dup_lines": 450, "repeats": 300, "capitals": 200, "long_words": 3000}
 MIN_GROUP, SPREAD = 100, 6
 BROADCAST_GROUPS = 50_000
 
@@ -66,7 +66,7 @@ def thresholds(rows: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD
     sketch = (
         rows.filter("n_words > 0")
         .select("lang", "source", F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in MARGINS]), F.array(*[c.alias(k) for k, c in ratio_columns().items()]))).alias(P + "m", P + "v"))
-        .groupBy("lang", "source", P + "m", F.when(v <= 4096, v).otherwise(F.expr(f"{P}v div 4096 * 4096")).alias(P + "b")).agg(F.count(F.lit(1)).alias(P + "n"))
+        .groupBy("lang", "source", P + "m", F.when(v <= 65536, v).otherwise(F.expr(f"{P}v div 4096 * 4096")).alias(P + "b")).agg(F.count(F.lit(1)).alias(P + "n"))
     )
     sketch = save(sketch, "rules-sketch")
     fences = []
@@ -118,14 +118,14 @@ c AS (SELECT x.rid, doc_id, lang, source, len(w)::BIGINT AS n_words, length(arra
       FROM x LEFT JOIN p ON p.rid = x.rid),
 m AS (SELECT *, (n_symbols * 1000) // greatest(n_words, 1) AS v1, (n_dup_lines * 1000) // greatest(n_lines, 1) AS v2, (n_repeat_words * 1000) // greatest(n_words, 1) AS v3,
              (n_capitals * 1000) // greatest(word_chars, 1) AS v4, (word_chars * 1000) // greatest(n_words, 1) AS v5 FROM c),
-u AS (SELECT lang, source, k, CASE WHEN v <= 4096 THEN v ELSE v // 4096 * 4096 END AS b
+u AS (SELECT lang, source, k, CASE WHEN v <= 65536 THEN v ELSE v // 4096 * 4096 END AS b
       FROM (SELECT lang, source, unnest([1, 2, 3, 4, 5]) AS k, unnest([v1, v2, v3, v4, v5]) AS v FROM m WHERE n_words > 0)),
 g AS (SELECT 2 AS lv, lang, source, k, b FROM u UNION ALL SELECT 1, lang, NULL, k, b FROM u UNION ALL SELECT 0, NULL, NULL, k, b FROM u),
 q AS (SELECT lv, lang, source, k, count(*) AS n, max(b) FILTER (rk = 25) AS q25, max(b) FILTER (rk = 50) AS q50, max(b) FILTER (rk = 75) AS q75 FROM (
         SELECT lv, lang, source, k, b, 0 AS rk FROM g UNION ALL
         SELECT lv, lang, source, k, min(b), qq FROM (SELECT *, qq FROM (SELECT *, count(*) OVER (PARTITION BY lv, lang, source, k) AS a, rank() OVER (PARTITION BY lv, lang, source, k ORDER BY b) + count(*) OVER (PARTITION BY lv, lang, source, k, b) - 1 AS run FROM g), (VALUES (25), (50), (75)) z(qq)) WHERE run * 100 >= a * qq GROUP BY lv, lang, source, k, qq)
       GROUP BY lv, lang, source, k),
-f AS (SELECT lv, lang, source, k, n - 3 AS n, q50 + 6 * (q75 - q25) + [100, 300, 150, 200, 3000][k] AS f FROM q),
+f AS (SELECT lv, lang, source, k, n - 3 AS n, q50 + 6 * (q75 - q25) + [100, 450, 300, 200, 3000][k] AS f FROM q),
 h AS (SELECT lv, lang, source, max(n) AS n, max(f) FILTER (k = 1) AS f1, max(f) FILTER (k = 2) AS f2, max(f) FILTER (k = 3) AS f3, max(f) FILTER (k = 4) AS f4, max(f) FILTER (k = 5) AS f5 FROM f GROUP BY lv, lang, source),
 j AS (SELECT m.*, a.n AS n2, b.n AS n1,
              CASE WHEN a.n >= 100 THEN [a.f1, a.f2, a.f3, a.f4, a.f5] WHEN b.n >= 100 THEN [b.f1, b.f2, b.f3, b.f4, b.f5] ELSE [z.f1, z.f2, z.f3, z.f4, z.f5] END AS lim
