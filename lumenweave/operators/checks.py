@@ -56,3 +56,12 @@ def require_valid(*args) -> None:
     bad = violations(*args).limit(5).collect()
     if bad:
         raise AllocationError("; ".join(f"{r['rule']}: {r['id']}" for r in bad))
+
+
+def recount_mismatch(members: DataFrame, config: dict) -> DataFrame:
+    """Projects whose PONs or splice boxes are not the fewest for their boxes, from ``clusters.hierarchy`` rows."""
+    e = config["engenharia"]
+    rows = members.groupBy("project_id").agg(F.count_distinct("cto").alias("ctos"), F.count_distinct("pon").alias("pons"), F.count_distinct("ceo").alias("ceos"))
+    rows = rows.withColumn("least_pons", F.ceil(F.col("ctos") / int(e["ctos_por_pon"])).cast("long"))
+    rows = rows.withColumn("least_ceos", F.ceil(F.col("least_pons") / int(e["pons_por_ceo"])).cast("long"))
+    return rows.filter((F.col("pons") != F.col("least_pons")) | (F.col("ceos") != F.col("least_ceos")))

@@ -370,6 +370,11 @@ def group_ceos(spark, sf):
     return n.groupBy("project_id").agg(F.sum("n").alias("pons"), F.count(F.lit(1)).alias("ceos"), (F.max("n") <= 2).alias("within_capacity"))
 
 
+@query("SELECT 0::BIGINT AS mismatches")
+def recount_guard(spark, sf):
+    return checks.recount_mismatch(boxes(spark, sf), CONFIG).agg(F.count(F.lit(1)).alias("mismatches"))
+
+
 def given(spark, sf):
     """An allocation with faults: boxes by key, some customers twice, some in none."""
     c = m.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("hp_id"))

@@ -56,3 +56,12 @@ def test_files(tmp_path):
     (tmp_path / "bad.json").write_text("{")
     with pytest.raises(conf.ConfigError):
         conf.load(tmp_path / "bad.json")
+
+
+def test_logging(tmp_path):
+    from lumenweave import logs
+
+    log = logs.configure(tmp_path / "a" / "b", "lumenweave.test")
+    assert logs.configure(tmp_path, "lumenweave.test") is log and len(log.handlers) == 2
+    log.debug("detail")
+    assert "detail" in (tmp_path / "a" / "b" / "lumenweave.test.log").read_text()
