@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,18 +28,31 @@ def shared_dir(spark: SparkSession) -> str:
         found = set_dir.get() if set_dir.isDefined() else None
     if not found:
         found = tempfile.mkdtemp(prefix="lumenweave-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_SAVED: list[str] = []
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _SAVED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this process has saved, once no result that reads them is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _SAVED:
+        path = jvm.org.apache.hadoop.fs.Path(_SAVED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark ``df`` for broadcast only after counting that it holds at most ``max_rows`` rows.
 
@@ -54,3 +69,16 @@ def row_key(doc_id: Column, text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def with_nodes(docs: DataFrame) -> DataFrame:
+    """Adds the node of each row's text: a 64-bit hash, moved for texts that collide with another."""
+    one, two = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    rows = docs.withColumn(P + "t", F.when(F.col("text").isNotNull(), one))
+    slim = rows.filter(F.col("text").isNotNull()).select(F.col(P + "t").alias(P + "ct"), two.alias(P + "two"))
+    clash = slim.groupBy(P + "ct").agg(F.min(P + "two").alias(P + "lo"), F.max(P + "two").alias(P + "hi")).filter(F.col(P + "lo") != F.col(P + "hi")).select(P + "ct")
+    clash = save(clash, "collisions")
+    if clash.limit(1).count() == 0:
+        return rows
+    joined = rows.join(broadcast_if_small(clash, 300_000), F.col(P + "t") == F.col(P + "ct"), "left")
+    return joined.withColumn(P + "t", F.when(F.col(P + "ct").isNotNull(), F.xxhash64(P + "t", two)).otherwise(F.col(P + "t"))).drop(P + "ct")

@@ -9,11 +9,13 @@ in a register with the probability Jaccard of their weighted shingles, which for
 Equal texts are collapsed first.  Registers form bands; texts that agree in a band share a bucket.  In
 each bucket every member is paired with one representative, so rows stay linear in a bucket's size:
 first each text with the representative that it shares most bands with, then with its others as far as
-they lie in other components, then, in buckets that still hold several components, with representatives
-chosen anew by a seeded order.  Every pair is verified by the exact Jaccard similarity of its shingle
-sets (0.8 or more); verified pairs make links, and classes are their connected components, found by
-minimum labels with pointer jumping.  Hot buckets meet only joins that Spark can split and aggregates
-that combine before the shuffle; nothing is collected, and the texts of pairs alone are shuffled.
+they lie in other components.  Pairs are verified by the exact Jaccard similarity of their shingle sets
+(0.8 or more); verified pairs make links, and classes are their connected components, found by minimum
+labels with pointer jumping.  Buckets that still hold several components are then searched whole: dealt
+into blocks of bounded size, each pair of blocks a task that intersects all shingle sets at once and
+returns only links that join components.  So every pair that shares a bucket is either in one class or
+verified, and no task or row count holds all pairs.  Hot buckets meet only joins that Spark can split
+and aggregates that combine before the shuffle; nothing is collected.
 
 Defined cases: a null text is in a class of its own; texts without words are copies of each other if
 equal; repeated rows share a class; an empty table gives an empty table; ``class_id`` is the smallest
@@ -29,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import chunks, column, hash_words, mix64, rolling, words_of
-from .common import P, broadcast_if_small, save
+from .common import P, broadcast_if_small, save, with_nodes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 4 registers find a pair of similarity 0.8 with probability 1 - 5e-8.
 BANDS, ROWS = 32, 4
-RESTARTS = 3
+#: Members of a bucket in one block of the whole search, and bands that are searched between two updates.
+BLOCK, BANDS_AT_ONCE = 256, 8
 BROADCAST_TEXTS = 300_000
 
 
@@ -93,16 +96,6 @@ def probminhash(doc: np.ndarray, mark: np.ndarray, weight: np.ndarray, n: int, m
     return out.reshape(n, m)
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """Adds the node of each row's text: a 64-bit hash, moved for texts that collide with another."""
-    one, two = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
-    rows = docs.withColumn(P + "t", F.when(F.col("text").isNotNull(), one))
-    sure = F.when(F.col("text").isNotNull(), two)
-    clash = rows.filter(F.col("text").isNotNull()).groupBy(P + "t").agg(F.min(sure).alias("lo"), F.max(sure).alias("hi")).filter("lo <> hi").select(F.col(P + "t").alias("ct"))
-    clash = [r[0] for r in clash.limit(10_000).collect()]  # chance collisions of 64 bits
-    return rows if not clash else rows.withColumn(P + "t", F.when(F.col(P + "t").isin(clash), F.xxhash64(P + "t", sure)).otherwise(F.col(P + "t")))
-
-
 def signatures(rows: DataFrame, bands: int = BANDS, per: int = ROWS) -> DataFrame:
     """doc_id, node and band hashes of every row with a text and a word."""
 
@@ -162,11 +155,58 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _links(rows: DataFrame, sig: DataFrame, restarts: int) -> DataFrame:
+def _spanning(size: np.ndarray, doc: np.ndarray, mark: np.ndarray, label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links among texts that join different labels: as few as connect them."""
+    n = len(size)
+    order = np.argsort(mark, kind="stable")
+    doc, mark = doc[order], mark[order]
+    new = np.concatenate(([True], mark[1:] != mark[:-1])) if len(mark) else np.empty(0, bool)
+    place = np.cumsum(new) - 1
+    shared = np.bincount(place) > 1 if len(place) else np.empty(0, bool)
+    keep = shared[place]
+    doc, place = doc[keep], (np.cumsum(shared) - 1)[place[keep]]
+    common = np.zeros((n, n), np.float32)
+    width = 8192
+    cut = np.searchsorted(place, np.arange(0, (place[-1] + 1 if len(place) else 0) + width, width))
+    for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
+        if b > a:
+            x = np.zeros((n, width), np.float32)
+            x[doc[a:b], place[a:b] - i * width] = 1
+            common += x @ x.T
+    root = np.unique(label, return_inverse=True)[1]
+    out = []
+    for i in range(n):
+        near = np.nonzero((common[i, :i] >= similarity * (size[i] + size[:i] - common[i, :i])) & (size[:i] > 0))[0] if size[i] else ()
+        for j in near:
+            if root[i] != root[j]:
+                out.append((i, int(j)))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _searched(buckets: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between components inside whole buckets (h, t, label, n)."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = buckets.withColumn("b", F.pmod(F.xxhash64(F.lit(3), "t"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("h", "t", "label", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).join(texts, "t")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("t")
+        doc, mark, size = shingles(table.column("text").combine_chunks())
+        t = table.column("t").to_numpy()
+        pairs = _spanning(size, doc, mark, table.column("label").to_numpy(), similarity)
+        a, b = ([int(t[p[k]]) for p in pairs] for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("h", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _links(rows: DataFrame, sig: DataFrame) -> DataFrame:
     """Labels of all texts that have a link."""
     own = save(sig.filter("t is not null and bands is not null").groupBy("t").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id")), "near-texts")
-    member = own.select("t", F.posexplode("bands").alias("k", "h")).select("t", F.xxhash64("k", "h").alias("h"))
-    full = member.groupBy("h").agg(F.min("t").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "rep")
+    member = own.select("t", F.posexplode("bands").alias("k", "h")).select("t", "k", F.xxhash64("k", "h").alias("h"))
+    # Written first, so that the join below is of plain exchanges and Spark can split a hot bucket.
+    full = save(member.groupBy("h").agg(F.min("t").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "rep", "n"), "near-full")
     member = save(member.join(full, "h"), "near-buckets")
     pairs = save(member.filter("t <> rep").groupBy(F.col("t").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("n")), "near-pairs")
     found = member.select("t").distinct()
@@ -176,37 +216,37 @@ def _links(rows: DataFrame, sig: DataFrame, restarts: int) -> DataFrame:
 
     best = pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     edges = save(verified(best, texts), "near-verified")
-    tested, labels = best, components(edges)
-    for i in range(1 + restarts):
-        lab = lambda c: labels.select(F.col("t").alias(c), F.col("label").alias("l" + c))  # noqa: B023, E731
-        if i == 0:
-            todo = pairs.select("a", "b")
-        else:
-            here = member.select("t", "h").join(labels, "t", "left").select("t", "h", F.coalesce("label", "t").alias("label"))
-            rep = here.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("t", F.xxhash64(F.lit(i), "t")).alias("b")).filter("lo <> hi").select("h", "b")
-            todo = here.join(rep, "h").filter("t <> b").select(F.col("t").alias("a"), "b").distinct()
-        todo = todo.join(lab("a"), "a", "left").join(lab("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-        todo = save(todo.join(tested, ["a", "b"], "left_anti"), "near-todo")
-        if todo.limit(1).count() == 0:
-            if i:
-                break
-            continue
-        more = save(verified(todo, texts), "near-verified")
-        tested = tested.unionByName(todo)
+    labels = components(edges)
+
+    def joined(more: DataFrame) -> None:
+        nonlocal edges, labels
+        more = save(more, "near-verified")
         if more.limit(1).count():
             edges = save(edges.unionByName(more), "near-all")
             labels = components(edges)
+
+    lab = lambda c: labels.select(F.col("t").alias(c), F.col("label").alias("l" + c))
+    todo = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(lab("a"), "a", "left").join(lab("b"), "b", "left")
+    joined(verified(todo.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")), texts))
+    several = member.filter("n > 2")  # the one pair of a bucket of two is verified
+    for k in range(0, BANDS, BANDS_AT_ONCE):
+        here = several.filter(F.col("k").between(k, k + BANDS_AT_ONCE - 1)).select("h", "t", "n").join(labels, "t", "left").withColumn("label", F.coalesce("label", "t"))
+        mixed = save(here.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h"), "near-several")
+        here = save(here.join(mixed, "h"), "near-mixed")
+        if here.limit(1).count():
+            joined(_searched(here, texts))
     return labels
 
 
-def classes(docs: DataFrame, restarts: int = RESTARTS) -> DataFrame:
+def classes(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, node ``t`` (null without text), ``label`` of its class and ``class_id``."""
-    rows = _nodes(docs.select("doc_id", "text"))
+    rows = with_nodes(docs.select("doc_id", "text"))
     sig = save(signatures(rows), "near-signatures")
-    labels = _links(rows, sig, restarts)
+    labels = _links(rows, sig)
     own = sig.filter("t is not null").groupBy("t").agg(F.min("doc_id").alias("first"))
     named = own.join(labels, "t", "left").select("t", "first", F.coalesce("label", "t").alias("label"))
-    top = named.groupBy("label").agg(F.min("first").alias("class_id"))
+    named = save(named, "near-texts-named")
+    top = save(named.groupBy("label").agg(F.min("first").alias("class_id")), "near-tops")
     named = named.select("t", "label").join(top, "label")
     out = sig.select("doc_id", "t").join(named, "t", "left")
     return out.select("doc_id", "t", "label", F.when(F.col("t").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
@@ -216,13 +256,13 @@ def class_report(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
 
 
-def keep_one(docs: DataFrame, restarts: int = RESTARTS) -> DataFrame:
+def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest doc_id.  Rows with a null text all stay."""
-    cls = save(classes(docs, restarts), "near-classes")
+    cls = save(classes(docs), "near-classes")
     kept = cls.filter("t is not null and doc_id <=> class_id").groupBy("doc_id", "label").agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("n"))
     kept = save(kept, "near-kept")
     want = kept.select(F.col("doc_id").alias(P + "d"), F.col("t").alias(P + "k"), (F.col("n") > 1).alias(P + "again"))
-    rows = _nodes(docs)
+    rows = with_nodes(docs)
     joined = rows.join(want, rows[P + "t"].eqNullSafe(F.col(P + "k")) & rows["doc_id"].eqNullSafe(F.col(P + "d")), "left")
     null, once = rows[P + "t"].isNull(), F.col(P + "again") == F.lit(False)
     out = joined.filter(null | once).select(*[docs[c] for c in docs.columns])

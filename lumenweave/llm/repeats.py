@@ -30,8 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import chunks, column, hash_words, rolling, words_of
-from .common import P, broadcast_if_small, save
-from .near_dups import _nodes
+from .common import P, broadcast_if_small, save, with_nodes
 
 WINDOW, GRAM = 35, 8
 MAX_VARIANTS = 400
@@ -236,15 +235,16 @@ def _window_masks(segs: DataFrame, window: int) -> DataFrame:
     rows = segs.select("k1", "k2", "weight", F.split("words", " ").alias("w"))
     at = F.sequence(F.lit(0), F.size("w") - window)
     rows = rows.select("k1", "k2", "weight", F.posexplode(F.transform(at, lambda i: F.array_join(F.slice("w", i + 1, window), " "))).alias("i", "x"))
-    often = rows.groupBy("x").agg(F.sum("weight").alias("c")).filter("c >= 1.5").select("x")
+    often = save(rows.groupBy("x").agg(F.sum("weight").alias("c")).filter("c >= 1.5").select("x"), "repeat-often")
     return rows.join(often, "x").groupBy("k1", "k2").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
 
 
-def spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """``docs`` (doc_id, text) with its text's node, and per node the maximal spans (s, e) of words to remove."""
-    rows = _nodes(docs)
+def spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Per text of ``rows`` (doc_id, text and its node): the maximal spans (s, e) of words to remove."""
+    rows = rows.select("doc_id", "text", P + "t")
     runs = save(_runs(rows, window), "repeat-runs")
-    often = runs.groupBy("m").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("m")
+    # Written first, the counts join as a plain exchange, of which Spark can split a hot minimizer.
+    often = save(runs.groupBy("m").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("m"), "repeat-often")
     found = runs.join(often, "m").groupBy("t", "start").agg(F.max("n").alias("n"))
     own = rows.filter("text is not null").groupBy(P + "t", "doc_id").agg(F.count(F.lit(1)).alias("c")).groupBy(F.col(P + "t").alias("t2")).agg(F.sum("c").alias("all"), F.min(F.struct("doc_id", "c")).alias("x"))
     regions = _merged(found.select("t", F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e")))
@@ -262,12 +262,13 @@ def spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     hits = hits.select("t", F.explode(F.filter("b", lambda i: ~F.array_contains("b", i - 1))).alias("i"), "start", "b")
     end = F.array_min(F.filter("b", lambda i: (i >= F.col("i")) & ~F.array_contains("b", i + 1)))
     pieces = hits.select("t", (F.col("start") + F.col("i")).alias("s"), (F.col("start") + end + window).alias("e"))
-    return rows, save(_merged(pieces), "repeat-spans")
+    return save(_merged(pieces), "repeat-spans")
 
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept``, the words that stay, joined by one space."""
-    rows, cut = spans(docs, window)
+    rows = with_nodes(docs)
+    cut = spans(rows, window)
     cut = broadcast_if_small(cut.select(F.col("t").alias(P + "cut_t"), F.col("spans").alias(P + "spans")), BROADCAST_TEXTS)
     joined = rows.join(cut, F.col(P + "t") == F.col(P + "cut_t"), "left").select(*[rows[c] for c in docs.columns], P + "spans")
     extra = ["n_words", "n_removed", "kept"]
