@@ -21,8 +21,11 @@ class Plan:
     ctos: DataFrame
     pons: DataFrame
     ceos: DataFrame
+    olts: DataFrame
     cables: DataFrame
     exceptions: DataFrame
+    edges: DataFrame
+    poles: DataFrame
     config: dict
 
 
@@ -96,9 +99,11 @@ def plan(hps: DataFrame, streets: DataFrame | None, config: dict, poles: DataFra
     # Backbone: OLT (node 0) and splice boxes in order.
     nodes = ceos.select("project_id", F.col("ceo_ord").alias("node"), "lon", "lat", "id", "referencia")
     olt = config["equipamentos"]["olt"]
+    olts = spark.createDataFrame([], "project_id long, id string, nome string, raw_lon double, raw_lat double, lon double, lat double")
     if olt["latitude"] is not None:
         spot = ceos.select("project_id").distinct().select("project_id", F.lit(0).alias("node"), F.lit(float(olt["longitude"])).alias("lon"), F.lit(float(olt["latitude"])).alias("lat"))
-        moved = spatial.snapped(spot, segs, "node", ["project_id"], snap_m)
+        moved = written(spatial.snapped(spot, segs, "node", ["project_id"], snap_m), "olt")
+        olts = moved.select("project_id", F.lit("OLT_0001").alias("id"), F.lit(olt_name).alias("nome"), F.col("lon").alias("raw_lon"), F.col("lat").alias("raw_lat"), F.col("snap_lon").alias("lon"), F.col("snap_lat").alias("lat"))
         nodes = nodes.unionByName(moved.select("project_id", "node", F.col("snap_lon").alias("lon"), F.col("snap_lat").alias("lat"), F.lit("OLT_0001").alias("id"), F.lit(olt_name).alias("referencia")))
     nodes = written(nodes, "backbone-nodes")
     mode = e.get("topologia_backbone", {}).get("modo", "arvore")
@@ -133,7 +138,8 @@ def plan(hps: DataFrame, streets: DataFrame | None, config: dict, poles: DataFra
     ctos = ctos.withColumn("descricao", about).withColumn("icone", placement.pon_icon(F.col("pon_no"), look["colorir_cto_por_pon"]))
     ceos = ceos.withColumn("icone", F.lit(placement.CEO_ICON)).withColumn("descricao", F.concat(F.lit("ID interno: "), "id", F.lit("\nPONs: "), F.col("n_pons").cast("string"), F.lit(f"/{e['pons_por_ceo']}")))
     pons = pons.withColumn("id", F.format_string("PON_%04d", "pon"))
-    return Plan(members, written(ctos, "ctos-final"), pons, ceos, cables, exceptions, config)
+    hybrid = streets.select("project_id").limit(0) if spans is None else spans.select("project_id").distinct()
+    return Plan(members, written(ctos, "ctos-final"), pons, ceos, olts, cables, exceptions, edges, hybrid, config)
 
 
 def report(p: Plan) -> DataFrame:
@@ -154,18 +160,27 @@ def report(p: Plan) -> DataFrame:
         c("scope").alias("escopo"), "status", c("link").alias("tipo"), c("a_ref").alias("origem"), c("b_ref").alias("destino"), c("message").alias("mensagem"), c("snap_o_m").alias("distancia_origem_malha_m"),
         c("snap_d_m").alias("distancia_destino_malha_m"), F.array(pair("o_lon", "o_lat"), pair("d_lon", "d_lat")).alias("coords_referencia"),
     ])
+    box = routing_box(p.hps.filter("hp_id is not null"), p.olts.select("project_id", c("raw_lon").alias("lon"), c("raw_lat").alias("lat")), float(e["margem_bbox_roteamento_metros"]))
+    mesh = graph.node_table(p.edges).groupBy("project_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+    head = p.olts.select("project_id", F.struct("id", "nome", pair("raw_lon", "raw_lat").alias("coords_configuradas"), pair("lon", "lat").alias("coords_finais")).alias("olt"))
+    full = p.ctos.groupBy("project_id").agg(F.sum("n_hp").alias("hp_total"), F.sum("n_hp").alias("hp_atribuidos"), F.count(F.lit(1)).alias("ctos_total"), F.count_if(c("n_hp") > int(e["capacidade_hp_por_cto"])).alias("ctos_acima_capacidade"), F.max("n_hp").alias("maior_ocupacao_hp_cto"))
+    part = lambda df, up, cap, name, child: df.groupBy("project_id", up).agg(F.count(F.lit(1)).alias("n")).groupBy("project_id").agg(F.count(F.lit(1)).alias(f"{name}s_total"), F.count_if(c("n") > int(cap)).alias(f"{name}s_acima_capacidade"), F.max("n").alias(f"maior_ocupacao_{child}s_{name}"))
+    valid = full.join(part(p.ctos, "pon", e["ctos_por_pon"], "pon", "cto"), "project_id").join(part(p.pons, "ceo", e["pons_por_ceo"], "ceo", "pon"), "project_id")
+    valid = valid.select("project_id", F.struct(*valid.columns[1:], F.lit(True).alias("valido")).alias("validacao"))
     tally = p.cables.groupBy("project_id").agg(F.count_if(c("scope") == "distribuicao").alias("nd"), F.count_if(c("scope") == "backbone").alias("nb"))
     joined = ctos.withColumnRenamed("rows", "ctos")
     for df, n in ((pons, "pons"), (ceos, "ceos"), (bad, "excecoes")):
         joined = joined.join(df.withColumnRenamed("rows", n), "project_id", "left")
-    joined = joined.join(tally, "project_id", "left")
+    joined = joined.join(tally, "project_id", "left").join(box, "project_id", "left").join(mesh, "project_id", "left").join(head, "project_id", "left").join(valid, "project_id", "left")
+    joined = joined.join(p.poles.withColumn("hybrid", F.lit(True)), "project_id", "left")
     n_bad = F.when(c("excecoes").isNull(), 0).otherwise(F.size("excecoes"))
     route = F.struct(
+        F.coalesce("n_nodes", F.lit(0)).alias("nos_malha_viaria"), F.array("min_lon", "min_lat", "max_lon", "max_lat").alias("bbox_consultado"), F.coalesce("hybrid", F.lit(False)).alias("modo_hibrido_postes"),
         F.lit(e.get("topologia_backbone", {}).get("modo", "arvore")).alias("topologia_backbone"), F.coalesce("nd", F.lit(0)).alias("cabos_distribuicao_validos"), F.coalesce("nb", F.lit(0)).alias("cabos_backbone_validos"),
         n_bad.alias("quantidade_excecoes"), F.when(n_bad == 0, "OK").otherwise("COM_EXCECOES").alias("status"), "excecoes",
     )
     rule = F.struct(F.lit(int(e["capacidade_hp_por_cto"])).alias("capacidade_hp"), F.lit(int(e["splitter_cto_inicial"])).alias("splitter_inicial"), F.lit(int(e["splitter_cto_expansao"])).alias("splitter_expansao"), F.lit(float(e["penetracao_estimada"])).alias("penetracao_estimada"))
-    return joined.select("project_id", F.to_json(F.struct(c("project_id").alias("projeto"), route.alias("roteamento"), rule.alias("regra_cto"), "ctos", "pons", "ceos")).alias("report"))
+    return joined.select("project_id", F.to_json(F.struct(c("project_id").alias("projeto"), "olt", route.alias("roteamento"), rule.alias("regra_cto"), "validacao", "ctos", "pons", "ceos")).alias("report"))
 
 
 def routing_box(hps: DataFrame, extra: DataFrame | None, margin_m: float) -> DataFrame:

@@ -7,6 +7,7 @@ import logging
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.placement import OLT_ICON
 from ..plans.network import Plan, report
 from ..plans.sizing import report_map
 from . import kml
@@ -21,6 +22,7 @@ def layers(p: Plan) -> DataFrame:
     made = {
         "ctos": kml.point_layer(p.ctos, "CTOs Posicionadas", by, "cto_no"),
         "ceos": kml.point_layer(p.ceos, "CEOs Posicionadas", by, "ceo_ord"),
+        "olt": kml.point_layer(p.olts.withColumn("icone", F.lit(OLT_ICON)).withColumn("descricao", F.format_string("ID interno: %s\nCoordenada configurada: %.7f, %.7f", "id", "raw_lat", "raw_lon")), "OLT", by),
         "distribuicao": kml.line_layer(of_cables("distribuicao"), "Cabos de Distribuição", by),
         "backbone": kml.line_layer(of_cables("backbone"), "Cabos de Backbone e Feeder", by),
         "excecoes": kml.exception_layer(p.exceptions, by),

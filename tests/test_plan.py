@@ -39,9 +39,12 @@ def test_report_and_layers(plan, tmp_path, spark):
     assert len(r[1]["ctos"]) == 13 and r[1]["roteamento"]["status"] == "OK" and r[2]["roteamento"]["status"] == "COM_EXCECOES"
     assert set(r[1]["ctos"][0]) == {"id", "nome", "pon_id", "pon_numero", "ceo_id", "hp_atribuidos", "hp_indices", "coords_brutas", "coords_finais", "orcamento_optico"}
     assert sum(len(p["cto_ids"]) for p in r[1]["pons"]) == 13
+    assert r[1]["olt"]["coords_configuradas"] == [0.0, 0.0] and r[1]["roteamento"]["nos_malha_viaria"] == 20 and not r[1]["roteamento"]["modo_hibrido_postes"]
+    assert r[1]["validacao"]["hp_total"] == 200 and r[1]["validacao"]["pons_total"] == 2 and r[1]["validacao"]["ctos_acima_capacidade"] == 0
+    assert r[1]["roteamento"]["bbox_consultado"][0] < 0 and r[2]["roteamento"]["nos_malha_viaria"] == 0
     publish.publish(plan, str(tmp_path / "out"))
     names = {p.parent.name + "/" + p.name for p in (tmp_path / "out/layers").glob("*/layer=*")}
-    assert "project_id=2/layer=excecoes" in names and "project_id=1/layer=excecoes" not in names and "project_id=1/layer=backbone" in names
+    assert "project_id=2/layer=excecoes" in names and "project_id=1/layer=excecoes" not in names and {"project_id=1/layer=backbone", "project_id=1/layer=olt"} <= names
 
 
 def test_manual_centres_and_poles(spark):
