@@ -2,7 +2,8 @@ r"""Personal data by bootstrapped contextual extraction, in DataFrame functions
 
 Base entities come from fixed forms (email, ip, card, phone).  They are the seeds.  Every word that
 holds a digit or an at sign is an instance; the words around it make lexical patterns: the two words
-before it, the word on either side, the two words after it, each with the instance's rough shape.
+before it, the word on either side, the two words after it, each with the instance's rough shape (an at sign, letters and digits, digits alone)
+or close shape (runs of letters and of digits, other signs as they are).
 Spark scores the bipartite pattern-instance graph in rounds: a pattern's confidence for a kind is the
 smoothed share of its distinct instances that are known for that kind; an instance learns the best
 confidence among its patterns.  Words in patterns of high confidence, which must rest on at least
@@ -38,6 +39,7 @@ FORMS = {
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 MIN_SEEDS, TAU, ROUNDS = 5, 0.8, 3
 BROADCAST_ROWS = 200_000
+STRETCH = 512
 SPACE = r"\x20\x09-\x0D"
 #: A word with a digit or at sign; from a word's start the scan is linear.
 INSTANCE = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
@@ -60,21 +62,55 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Array of structs (start, end, match) of all leftmost non-overlapping matches, in code points.
+#: Matches that are placed at once; bounds the copying where a text has very many.
+RUN = 256
+HIT = "array<struct<s:int,e:int,m:string>>"
 
-    The pieces between matches give the places: match k starts after the pieces up to k and the matches before.
+
+def _matches(text: Column, pattern: str) -> Column:
+    """Array of structs (p, m): each leftmost non-overlapping match with the piece of text before it.
+
+    The last holds the piece after all matches, and an empty match.
     """
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    return F.transform(F.arrays_zip(pieces.alias("p"), hits.alias("m")), lambda x: F.struct(x["p"].alias("p"), F.coalesce(x["m"], F.lit("")).alias("m")))
+
+
+def _run_starts(matches: str) -> Column:
+    """Where each run of matches begins, in code points: running sums over whole runs."""
+    run = lambda i: F.slice(matches, i * RUN + 1, F.lit(RUN))
+    sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / RUN).cast("int")), lambda i: F.aggregate(run(i), F.lit(0), lambda a, x: a + F.length(x["p"]) + F.length(x["m"])))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(sums, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+
+def _placed(matches: str, starts: str) -> Column:
+    """Array of structs (s, e, m) of the matches: match k starts after the pieces up to k and the matches before."""
 
     def step(acc, x):
         s = acc["at"] + F.length(x["p"])
         e = s + F.length(x["m"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
 
-    zipped = F.filter(F.arrays_zip(pieces.alias("p"), hits.alias("m")), lambda x: x["m"].isNotNull())
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    one = lambda at, i: F.aggregate(F.slice(matches, i * RUN + 1, F.lit(RUN)), F.struct(at.alias("at"), F.array().cast(HIT).alias("out")), step, lambda acc: acc["out"])
+    return F.slice(F.flatten(F.transform(starts, one)), F.lit(1), F.size(matches) - 1)
+
+
+def located(rows: DataFrame, text: str, wanted: dict) -> DataFrame:
+    """``rows`` with a column for each name in ``wanted`` (pattern, condition): an array of structs (start, end, match).
+
+    A column named with ``_m`` more holds the matches with the pieces between them.
+
+    Each step is a projection of its own, so no expression is evaluated twice.
+    """
+    for name, (pattern, may) in wanted.items():
+        rows = rows.withColumn(f"{name}_m", F.when(may, _matches(F.col(text), pattern)))
+    for name in wanted:
+        some = F.size(f"{name}_m") > 1
+        rows = rows.withColumn(f"{name}_o", F.when(some, _run_starts(f"{name}_m")))
+    for name in wanted:
+        rows = rows.withColumn(name, F.when(F.col(f"{name}_o").isNotNull(), _placed(f"{name}_m", f"{name}_o")).otherwise(F.array().cast(HIT)))
+    return rows.drop(*[f"{n}_o" for n in wanted])
 
 
 def _tagged(hits: str, i: int) -> Column:
@@ -87,41 +123,53 @@ def scan(docs: DataFrame) -> DataFrame:
     t = P + "t"
     rows = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias(P + "key"), F.coalesce(F.col("text"), F.lit("")).alias(t))
     rows = rows.withColumn(P + "digit", F.col(t).rlike("[0-9]"))
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    for k in KINDS:
-        may = F.col(t).contains(HINTS[k]) & (F.lit(True) if k == "email" else F.col(P + "digit")) & F.col(t).rlike(FORMS[k])
-        rows = rows.withColumn(P + k, F.when(may, located(F.col(t), FORMS[k])).otherwise(none))
-    rows = rows.withColumn(P + "in", F.when(F.col(P + "digit") | F.col(t).contains("@"), located(F.col(t), INSTANCE)).otherwise(none))
+    has = lambda k: F.col(t).contains(HINTS[k]) & (F.lit(True) if k == "email" else F.col(P + "digit")) & F.col(t).rlike(FORMS[k])
+    wanted = {P + k: (FORMS[k], has(k)) for k in KINDS} | {P + "in": (INSTANCE, F.col(P + "digit") | F.col(t).contains("@"))}
+    rows = located(rows, t, wanted)
     base = F.concat(*[_tagged(P + k, i) for i, k in enumerate(KINDS)])
-    around = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.substring(F.col(t), F.greatest(x["s"] - 79, F.lit(1)), x["s"] - F.greatest(x["s"] - 80, F.lit(0))).alias("l"), F.substring(F.col(t), x["e"] + 1, F.lit(80)).alias("r"))
+    # Context comes from the pieces and matches next to a match, at most 80 characters of each.
+    m = P + "in_m"
+    piece = lambda i, end: F.coalesce(F.substring(F.get(m, i)["p"], -80 if end else 1, 80), F.lit(""))
+    match = lambda i, end: F.coalesce(F.substring(F.get(m, i)["m"], -80 if end else 1, 80), F.lit(""))
+    before = lambda i: F.concat(piece(i - 1, True), match(i - 1, True), piece(i, True))
+    after = lambda i: F.concat(piece(i + 1, False), match(i + 1, False), piece(i + 2, False))
+    around = lambda x, i: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), before(i).alias("l"), after(i).alias("r"))
     return rows.select("doc_id", P + "key", base.alias("base"), F.transform(P + "in", around).alias("words"))
 
 
 def _occurrences(scanned: DataFrame) -> DataFrame:
-    """One row per instance in its place: key, bare span, instance id, seed kind (or null), pattern ids."""
+    """One row per instance in its place: key, bare span, instance id, pattern ids, seed kind (or null)."""
     x = F.col("x")
     lead = F.length(F.regexp_extract(x["m"], r"^[^A-Za-z0-9+@]*", 0))
     tail = F.length(F.regexp_extract(x["m"], r"[^A-Za-z0-9]*$", 0))
-    rows = scanned.select(P + "key", "base", F.explode("words").alias("x")).select(P + "key", "base", "x", (x["s"] + lead).alias("s"), (x["e"] - tail).alias("e")).filter("s < e")
+    rows = scanned.select(P + "key", F.explode("words").alias("x")).select(P + "key", "x", (x["s"] + lead).alias("s"), (x["e"] - tail).alias("e")).filter("s < e")
     bare = F.substring(x["m"], F.col("s") - x["s"] + 1, F.col("e") - F.col("s"))
     word = lambda side, p: F.lower(F.regexp_extract(x[side], p, 1))
     w = rf"([^{SPACE}]+)"
-    shape = F.regexp_replace(F.regexp_replace(bare, "[0-9]+", "0"), "[A-Za-z]+", "a")
-    hit = F.filter("base", lambda b: (b["s"] < F.col("e")) & (b["e"] > F.col("s")))
+    rough = F.when(bare.contains("@"), "@").when(bare.rlike("[A-Za-z]"), "a").otherwise("0")
+    close = F.substring(F.regexp_replace(F.regexp_replace(bare, "[0-9]+", "0"), "[A-Za-z]+", "a"), 1, 24)
     rows = rows.select(
-        P + "key", "s", "e", F.xxhash64(bare).alias("inst"), F.substring(shape, 1, 24).alias("shape"), F.get(hit, F.lit(0))["k"].alias("kind"),
+        P + "key", "s", "e", F.xxhash64(bare).alias("inst"), rough.alias("rough"), close.alias("close"),
         word("l", rf"{w}[{SPACE}]+[^{SPACE}]+[{SPACE}]*$").alias("l2"), word("l", rf"{w}[{SPACE}]*$").alias("l1"),
         word("r", rf"^[{SPACE}]*{w}").alias("r1"), word("r", rf"^[{SPACE}]*[^{SPACE}]+[{SPACE}]+{w}").alias("r2"),
     )
-    made = F.array(F.xxhash64(F.lit("ll"), "l2", "l1", "shape"), F.xxhash64(F.lit("lr"), "l1", "r1", "shape"), F.xxhash64(F.lit("rr"), "r1", "r2", "shape"))
-    return rows.select(P + "key", "s", "e", "inst", "kind", made.alias("pats"))
+    made = F.array_distinct(F.array(*[F.xxhash64(F.lit(side), F.lit(shape), *words, shape) for shape in ("rough", "close") for side, words in (("ll", ("l2", "l1")), ("lr", ("l1", "r1")), ("rr", ("r1", "r2")))]))
+    rows = rows.select(P + "key", "s", "e", "inst", made.alias("pats"))
+    # Which of them overlap a base span: joined by stretches of text, so that long lists cost no more than their length.
+    stretch = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / STRETCH), F.floor((F.col(e) - 1) / STRETCH))).alias("at")
+    base = scanned.select(P + "key", F.explode("base").alias("b")).select(P + "key", F.col("b.k").alias("k"), F.col("b.s").alias("bs"), F.col("b.e").alias("be")).distinct()
+    base = base.select(P + "key", "k", "bs", "be", stretch("bs", "be"))
+    words = rows.select(P + "key", "s", "e").distinct().select(P + "key", "s", "e", stretch("s", "e"))
+    hits = words.join(base, [P + "key", "at"]).filter("bs < e and be > s").groupBy(P + "key", "s", "e").agg(F.min("k").alias("kind"))
+    return save(rows.join(hits, [P + "key", "s", "e"], "left"), "pii-seen")
 
 
 def _scores(seen: DataFrame, rounds: int) -> DataFrame:
     """Patterns of high confidence: pat, kind."""
     edges = save(seen.select("inst", F.explode("pats").alias("pat"), "kind").groupBy("pat", "inst").agg(F.max("kind").alias("kind")), "pii-edges")
     seeds = edges.filter("kind is not null")
-    useful = save(edges.join(seeds.groupBy("pat").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_SEEDS).select("pat"), "pat"), "pii-graph")
+    seeded = save(seeds.groupBy("pat").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_SEEDS).select("pat"), "pii-seeded")
+    useful = save(edges.join(broadcast_if_small(seeded, BROADCAST_ROWS), "pat"), "pii-graph")
     known = edges.filter("kind is not null").groupBy("inst").agg(F.max("kind").alias("kind")).withColumn("conf", F.lit(1.0))
     strong = None
     for _ in range(rounds):
