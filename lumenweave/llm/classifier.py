@@ -29,7 +29,7 @@ TERMS = WORDS + SHAPES + MARKS
 #: Weights of the three families of terms.
 FAMILY = (1.0, 2.0, 3.0)
 DIM, NEIGHBOURS, POWER = 48, 25, 4
-SAMPLE, SEED = 8192, 71
+SAMPLE, SEED, BLOCK = 8192, 71, 1024
 CHUNK_CHARS = 1_500_000
 
 
@@ -84,8 +84,8 @@ class Model:
     def dense(self, doc, term, value, n):
         x = np.zeros((n, TERMS), np.float32)
         x[doc, term] = value * self.idf[term]
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.maximum(norm, 1e-9)
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+        return x
 
     def score(self, doc, term, value, n) -> np.ndarray:
         out = np.full(n, self.prior)
@@ -123,24 +123,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = rows.mapInArrow(sparse, f"doc_id {kind}, quality double, term array<int>, value array<float>")
-    found = found.groupBy("doc_id").agg(F.min_by(F.struct("quality", "term", "value"), F.xxhash64("term")).alias("x")).select("doc_id", "x.*").toPandas().sort_values("doc_id")
-    label = found["quality"].to_numpy(float) if len(found) else np.empty(0)
-    if not len(found):
+    found = found.groupBy("doc_id").agg(F.min_by(F.struct("quality", "term", "value"), F.xxhash64("term")).alias("x")).select("doc_id", "x.*").toArrow()
+    found = found.sort_by("doc_id").combine_chunks()
+    n = found.num_rows
+    label = found.column("quality").to_numpy() if n else np.empty(0)
+    if not n:
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, DIM), np.float32), np.zeros((0, DIM), np.float32), label)
-    doc = np.repeat(np.arange(len(found)), [len(t) for t in found["term"]])
-    term, value = (np.concatenate([np.asarray(x) for x in found[k]]) for k in ("term", "value"))
-    term = term.astype(np.int64)
+    lists = found.column("term").combine_chunks()
+    doc = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+    term = lists.flatten().to_numpy().astype(np.int64)
+    value = found.column("value").combine_chunks().flatten().to_numpy()
     df = np.bincount(term, minlength=TERMS)
-    idf = np.log((1 + len(found)) / (1 + df)).astype(np.float32) + 1
+    idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
     model = Model(idf, None, None, label)
-    x = model.dense(doc, term, value, len(found))
+    cut = np.searchsorted(doc, np.arange(0, n + BLOCK, BLOCK))
+
+    def blocks():
+        """Dense rows of the sample, a block at a time."""
+        for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
+            yield slice(i * BLOCK, min(n, (i + 1) * BLOCK)), model.dense(doc[a:b] - i * BLOCK, term[a:b], value[a:b], min(BLOCK, n - i * BLOCK))
+
     rng = np.random.default_rng(SEED)
     q = rng.standard_normal((TERMS, DIM + 16)).astype(np.float32)
     for _ in range(4):  # subspace iteration
-        q, _ = np.linalg.qr(x.T @ (x @ q))
-    _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
+        q, _ = np.linalg.qr(sum(x.T @ (x @ q) for _, x in blocks()))
+    seen = np.empty((n, q.shape[1]), np.float32)
+    for part, x in blocks():
+        seen[part] = x @ q
+    _, _, vt = np.linalg.svd(seen, full_matrices=False)
     model.project = (q @ vt.T)[:, :DIM].astype(np.float32)
-    z = x @ model.project
+    z = (seen @ vt.T)[:, :DIM]
     norm = np.linalg.norm(z, axis=1)
     keep = norm > 1e-6
     model.vectors, model.labels = (z[keep] / norm[keep, None]).astype(np.float32), label[keep]
