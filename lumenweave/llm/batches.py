@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters of text that are worked on at once; a longer text is a chunk of its own.
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 2_000_000
 #: Odd multiplier of the polynomial hashes.
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
