@@ -38,7 +38,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 #: Members of a bucket in one block of the whole search, and bands that are searched between two updates.
 BLOCK, BANDS_AT_ONCE = 256, 8
-BROADCAST_TEXTS = 300_000
+BROADCAST_TEXTS = 1_000_000
 
 
 def shingles(texts, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

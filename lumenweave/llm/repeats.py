@@ -36,8 +36,8 @@ WINDOW, GRAM = 35, 8
 MAX_VARIANTS = 400
 #: Words of segments in one block of a shard.
 BLOCK_WORDS = 40_000
-#: Texts with regions or spans up to which these are broadcast.
-BROADCAST_TEXTS = 300_000
+#: Units (rows and regions or spans) up to which these are broadcast.
+BROADCAST_TEXTS = 1_000_000
 _LOW = np.uint64((1 << 26) - 1)
 
 

@@ -98,7 +98,7 @@ def base_spans(t):
 
 def test_base_spans_equal_plain_regular_expressions(spark, awkward):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
-    rows += [(10**6 + i, t) for i, t in enumerate(["a@b.c_x@y.z 1.2.3.4.5.6.7.8 +1 (23) 456-7890 4111 1111 1111 1111 4111-1111-1111-1111x", "é😀 a@b.co 😀 001.2.3.255 1.2.3.256", "1 " * 20_000, "a" * 200_000, "1" * 50_000, "@@a@b a@-.- x@y..z", "+12345678 +1.2.3.4.5.6.7.8 ++1234567890", "1.2.3.4\n5@6.7\r\n+1 2345678", None, ""])]
+    rows += [(10**6 + i, t) for i, t in enumerate(["a@b.c_x@y.z 1.2.3.4.5.6.7.8 +1 (23) 456-7890 4111 1111 1111 1111 4111-1111-1111-1111x", "é😀 a@b.co 😀 001.2.3.255 1.2.3.256", "1 " * 20_000, "a" * 200_000, "1" * 50_000, "@@a@b a@-.- x@y..z", "+12345678 +1.2.3.4.5.6.7.8 ++1234567890", "1.2.3.4\n5@6.7\r\n+1 2345678", "a@b.co, " * 3000, "x +1 2345678901; 4111111111111111, " * 700, "1.2.3.4 " * 256, "1.2.3.4 " * 257, None, ""])]
     got = {r.doc_id: r for r in pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, t in rows:
         want = base_spans(t)
