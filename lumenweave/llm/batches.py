@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,19 @@ CHUNK_CHARS = 2_000_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task keeps little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def chunks(batches, text: str = "text", chars: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts together hold about ``chars`` bytes at most."""
     for b in batches:
+        give_back()
         if b.num_rows == 0:
             continue
         size = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -24,6 +35,7 @@ def chunks(batches, text: str = "text", chars: int = CHUNK_CHARS) -> Iterator[pa
         cuts = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), b.num_rows]
         for i, j in zip(cuts, cuts[1:], strict=False):
             yield b.slice(i, j - i)
+    give_back()
 
 
 def column(b: pa.RecordBatch, name: str):

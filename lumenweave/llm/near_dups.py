@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import chunks, column, hash_words, mix64, rolling, words_of
+from .batches import chunks, column, give_back, hash_words, mix64, rolling, words_of
 from .common import P, broadcast_if_small, save, with_nodes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -196,6 +196,7 @@ def _searched(buckets: DataFrame, texts: DataFrame, similarity: float = SIMILARI
         t = table.column("t").to_numpy()
         pairs = _spanning(size, doc, mark, table.column("label").to_numpy(), similarity)
         a, b = ([int(t[p[k]]) for p in pairs] for k in (0, 1))
+        give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("h", "i", "j").applyInArrow(run, "a long, b long")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import chunks, column, hash_words, rolling, words_of
+from .batches import chunks, column, give_back, hash_words, rolling, words_of
 from .common import P, broadcast_if_small, save, with_nodes
 
 WINDOW, GRAM = 35, 8
@@ -225,6 +225,9 @@ def _shard_masks(segs: DataFrame, window: int) -> DataFrame:
                 size += words.count(" ") + 1
         if groups:
             yield flush()
+        groups.clear()
+        keys.clear()
+        give_back()
 
     dealt = segs.repartition("m").sortWithinPartitions("m")
     return dealt.select("m", "k1", "k2", "words", "weight").mapInArrow(run, "k1 long, k2 long, mask long")
