@@ -4,16 +4,17 @@ Each page is read into its tree of block elements.  Pages of one host are merged
 tree is a path of tags and classes, with two distributions over the host's pages: which text stands below
 it, and which child elements it has.  A node's importance mixes two entropies: its contents are important
 if they differ from page to page (one minus the entropy of each text over the pages, relative to the number
-of pages), its presentation if it varies.  Branches of low importance on a host with enough pages, and with
-other branches that are important, are removed from each of its pages.
+of pages), its presentation if it varies.  Equal pages of a host count once.  Branches of low importance on
+a host with enough pages, and with other branches that are important, are removed from each of its pages
+that has neither an ``article`` nor a ``main`` element; what stands in these is never removed.
 
 What the tree can't show is decided first: elements whose tag, role or class names a menu, header, footer,
 sidebar, notice, advert, form, comment and the like (the fixed lists below) carry no main text, however much
 they vary, and an ``article`` or ``main`` element bounds the main text where a page has one.  On the data at
 hand menus and adverts differ on every page, so entropy alone would keep them; see the README.
 
-Style trees are counts per host, path and text digest, which combine before the shuffle, so a host that
-holds a third of all pages is spread over tasks.  Only removals reach the pages: broadcast if a count shows
+Style trees are counts per host, path and text digest over distinct page digests, dealt by all of them and
+then combined before the shuffle, so a host that holds a third of all pages is spread over tasks.  Only removals reach the pages: broadcast if a count shows
 that they are few, else joined by a shuffle.  Pages are read twice and never shuffled in the first case.
 
 Defined cases: null or empty html gives an empty text; a page without a host in its url belongs to the host
@@ -172,7 +173,7 @@ def main_text(page: str | None, low: frozenset = frozenset()) -> str:
     blocks, nodes, seen = parse(page)
     top = ARTICLE if seen else max((r for _, r, _ in blocks), default=BODY)
     kept = [b for b in blocks if b[1] == top]
-    if low:
+    if low and top < MAIN:
         bad = [False] * len(nodes)
         for i, (path, parent, _) in enumerate(nodes):
             bad[i] = (parent >= 0 and bad[parent]) or path_hash(path) in low
@@ -213,12 +214,13 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in chunks(batches, "html"):
-            rows = [(host_of(u), *x) for u, h in zip(column(b, "url").to_pylist(), column(b, "html").to_pylist(), strict=True) if h for x in node_rows(h)]
+            rows = [(host_of(u), d, *x) for u, h in zip(column(b, "url").to_pylist(), column(b, "html").to_pylist(), strict=True) if h for d in (path_hash(h),) for x in node_rows(h)]
             if rows:
-                h, p, t, k = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.array(p, np.int64)), pa.array(np.array(t, np.int64)), pa.array(np.array(k, np.int64))], ["host", "path", "text", "kids"])
+                host, *numbers = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(host), *[pa.array(np.array(x, np.int64)) for x in numbers]], ["host", "page", "path", "text", "kids"])
 
-    rows = pages.select("url", "html").mapInArrow(run, "host string, path long, text long, kids long")
+    # Equal pages of a host count once.
+    rows = pages.select("url", "html").mapInArrow(run, "host string, page long, path long, text long, kids long").distinct()
     seen = save(rows.groupBy("host", "path", "text", "kids").agg(F.count(F.lit(1)).alias("n")), "pages-nodes")
     share = lambda c: seen.groupBy("host", "path", c).agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("x"))
     text, kids = share("text"), share("kids")

@@ -32,6 +32,21 @@ def test_style_tree_removes_what_repeats_on_a_host(spark):
     assert html_text.page_texts(df.limit(0)).count() == 0
 
 
+def test_articles_keep_what_repeats_on_a_host(spark):
+    recipe = lambda i, tag: f"<{tag}><h1>Dish {i}</h1><h2>Ingredients</h2><p>{i} eggs and {i * 3} leaves</p></{tag}>"
+    rows = [(n * 1000 + i, f"http://{tag}{n}.example/", recipe(i, tag)) for tag in ("article", "main") for n in (9, 10) for i in range(n)]
+    df = spark.createDataFrame([(k + (50 if "main" in u else 0), u, h) for k, u, h in rows], "page_id long, url string, html string")
+    got = html_text.page_texts(df).collect()
+    assert len(got) == 38 and all("Ingredients" in r.text for r in got)
+
+
+def test_equal_pages_of_a_host_count_once(spark):
+    page = lambda i: f"<div class='a'><p>Part {i}</p></div><div class='b'>Story {i} of {i * 7}</div>"
+    rows = [(i, "http://one.example/", page(i)) for i in range(12)] + [(100 + i, "http://one.example/", "<div class='a'><p>Part 0</p></div>") for i in range(400)]
+    got = {r.page_id: r.text for r in html_text.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Part 3 Story 3 of 21" and got[100] == "Part 0"
+
+
 def test_every_article_of_the_sample(spark):
     import html
     import re
