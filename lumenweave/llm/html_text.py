@@ -10,8 +10,12 @@ that has neither an ``article`` nor a ``main`` element; what stands in these is
 
 What the tree can't show is decided first: elements whose tag, role or class names a menu, header, footer,
 sidebar, notice, advert, form, comment and the like (the fixed lists below) carry no main text, however much
-they vary, and an ``article`` or ``main`` element bounds the main text where a page has one.  On the data at
-hand menus and adverts differ on every page, so entropy alone would keep them; see the README.
+they vary, and an ``article`` or ``main`` element bounds the main text where a page has one.  A class or id
+counts only as a whole name (``ad``, ``ad-300``, ``cookie-notice``: all its parts are in the lists; not
+``with-sidebar``).  Such an element is read after all if it is the page's article or holds the article or
+main element: where no article has text outside such elements, and the articles inside are longer (on
+average) than the text outside.  Hidden elements and comments (by whole name) stay out even then.  A form is
+read if nothing else is left.  On the data at hand menus and adverts differ on every page, so entropy alone would keep them; see the README.
 
 Style trees are counts per host, path and text digest over distinct page digests, dealt by all of them and
 then combined before the shuffle, so a host that holds a third of all pages is spread over tasks.  Only removals reach the pages: broadcast if a count shows
@@ -45,43 +49,80 @@ NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner comment comments reply replies discussion disqus nav navbar navigation menu breadcrumb breadcrumbs "
     "footer sidebar widget cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager search skip".split()
 )
+COMMENT_WORDS = frozenset("comment comments reply replies discussion disqus".split())
 OUTSIDE_TAGS, OUTSIDE_WORDS = frozenset(["header"]), frozenset("header masthead topbar toolbar".split())
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 PART = re.compile(r"[a-z]+")
+BREAK = re.compile(r"[-_0-9]+(?:x[0-9]+)?")
 HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 MIN_PAGES, LOW, HIGH, GAMMA = 10, 0.1, 0.5, 0.9
 BROADCAST_ROWS = 200_000
-NOISE, BODY, MAIN, ARTICLE = range(4)
+GONE, NOISE, BODY, MAIN, ARTICLE = range(5)
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): a or b or c for k, a, b, c in ATTR.findall(text)}
 
 
-def _region(tag: str, attrs: str, above: int) -> tuple[int, str]:
-    """Region of an element under a region, and its classes for the path."""
-    if tag in NOISE_TAGS or (tag in OUTSIDE_TAGS and above < MAIN):
-        return NOISE, ""
+def _named(names: list[str], words: frozenset) -> bool:
+    """Whether a whole name consists of the words (numbers aside)."""
+    return any(n in words or (set(filter(None, BREAK.split(n))) or {""}) <= words for n in names)
+
+
+def _region(tag: str, attrs: str, above: int, opened: bool = False) -> tuple[int, str]:
+    """Region of an element under a region, and its classes for the path; ``opened``: it holds the main text."""
+    region = ARTICLE if tag == "article" else max(above, MAIN) if tag == "main" else above
+    noise = above <= NOISE or tag in NOISE_TAGS or (tag in OUTSIDE_TAGS and above < MAIN)
+    if noise and above <= NOISE and "=" not in attrs and "hidden" not in attrs:
+        return above, ""
     found = _attributes(attrs) if "=" in attrs else {}
-    names = set(PART.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())) if found else set()
-    region = ARTICLE if tag == "article" else max(above, MAIN) if tag == "main" or found.get("role") == "main" else above
+    names = f"{found.get('class') or ''} {found.get('id') or ''}".lower() if found else ""
+    whole, role = names.split(), (found.get("role") or "").lower()
+    if role == "main":
+        region = max(region, MAIN)
     if tag not in ("html", "body", "main"):
-        hidden = "hidden" in attrs and (re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs) or "display:none" in attrs)
-        if names & NOISE_WORDS or found.get("role", "").lower() in NOISE_ROLES or hidden or "display:none" in found.get("style", "").replace(" ", ""):
-            return NOISE, ""
-        if above < MAIN and region < MAIN and names & OUTSIDE_WORDS:
-            return NOISE, ""
-    return region, ".".join(sorted(names))
+        hidden = "hidden" in attrs and re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs)
+        if hidden or "display:none" in (found.get("style") or "").replace(" ", "") or _named(whole, COMMENT_WORDS):
+            return GONE, ""
+        noise = noise or _named(whole, NOISE_WORDS) or role in NOISE_ROLES or (above < MAIN and region < MAIN and _named(whole, OUTSIDE_WORDS))
+    if noise and not opened:
+        return min(above, NOISE), ""
+    return region, ".".join(sorted(set(PART.findall(names))))
 
 
 def parse(page: str):
-    """Blocks (text, region, node) in page order, and nodes (path, parent node, child tags)."""
+    """Blocks (text, region, node) in page order, nodes (path, parent node, child tags), and whether an article was seen."""
+    strict, wrapped, articles, forms = _parse(page, frozenset())
+    size = _size(strict)
+    if wrapped and not (strict[2] and size):
+        loose = _parse(page, wrapped)[0]
+        if _size(loose) > size * articles:
+            return loose
+    if forms and not strict[0]:
+        return _parse(page, forms)[0]
+    return strict
+
+
+def _top(blocks: list, seen_article: bool) -> list:
+    top = ARTICLE if seen_article else max((r for _, r, _ in blocks), default=BODY)
+    return [b for b in blocks if b[1] == top]
+
+
+def _size(parsed) -> int:
+    return sum(len(b[0]) for b in _top(parsed[0], parsed[2]))
+
+
+def _parse(page: str, opened: frozenset):
+    """One reading with elements (by place) ``opened``; places of the noise around articles and mains, the number of these, places of forms."""
+    wrapped: set[int] = set()
+    forms: set[int] = set()
+    articles = 0
     nodes: list[tuple[str, int, list]] = [("", -1, [])]
-    stack: list[tuple[str, int, int]] = [("", BODY, 0)]
+    stack: list[tuple[str, int, int, int]] = [("", BODY, 0, -1)]
     blocks: list[tuple[str, int, int]] = []
     text: list[str] = []
     seen_article = False
@@ -94,7 +135,7 @@ def parse(page: str):
             text.clear()
 
     def add(raw: str) -> None:
-        if stack[-1][1] != NOISE:
+        if stack[-1][1] > NOISE:
             text.append(html.unescape(raw) if "&" in raw else raw)
 
     at, end = 0, len(page)
@@ -105,7 +146,7 @@ def parse(page: str):
             break
         if m.start() > at:
             add(page[at : m.start()])
-        at = m.end()
+        at, place = m.end(), m.start()
         slash, tag, attrs = m.group(1, 2, 3) if m.group(2) else m.group(4, 5, 6)
         if not tag:
             continue
@@ -140,25 +181,34 @@ def parse(page: str):
                 del stack[i:]
         if tag in CLOSES and stack[-1][0] in CLOSES[tag].split():
             stack.pop()
-        _, above, parent = stack[-1]
+        _, above, parent, _ = stack[-1]
         if tag not in BLOCK:
-            region = above if above == NOISE else NOISE if tag in NOISE_TAGS else above
-            if region != NOISE and "=" in attrs and tag in ("span", "a", "div"):
-                region = NOISE if _region(tag, attrs, above)[0] == NOISE else region
-            if region == NOISE != above:
+            region = above if above <= NOISE or place in opened else NOISE if tag in NOISE_TAGS else above
+            if region > NOISE and "=" in attrs and tag in ("span", "a", "div"):
+                region = min(region, _region(tag, attrs, above, place in opened)[0])
+            if region <= NOISE < above:
                 flush()
-            stack.append((tag, region, parent))
+            stack.append((tag, region, parent, place))
             continue
-        if above == NOISE:
-            stack.append((tag, NOISE, parent))
+        region, names = _region(tag, attrs, above, place in opened) if above > GONE else (GONE, "")
+        if tag == "form" and region == NOISE < above:
+            forms.add(place)
+        if region <= NOISE:
+            if region == NOISE and (tag in ("article", "main") or ("main" in attrs and (_attributes(attrs).get("role") or "").lower() == "main")):
+                articles += tag == "article"
+                wrapped.add(place)
+                for x in reversed(stack):
+                    if x[3] in wrapped:
+                        break
+                    wrapped.add(x[3])
+            stack.append((tag, region, parent, place))
             continue
-        region, names = _region(tag, attrs, above)
         seen_article |= region == ARTICLE
         nodes[parent][2].append(tag)
         nodes.append((f"{nodes[parent][0]}>{tag}{'.' + names if names else ''}", parent, []))
-        stack.append((tag, region, len(nodes) - 1))
+        stack.append((tag, region, len(nodes) - 1, place))
     flush()
-    return blocks, nodes, seen_article
+    return (blocks, nodes, seen_article), frozenset(wrapped), max(articles, 1), frozenset(forms)
 
 
 def host_of(url: str | None) -> str:
@@ -171,9 +221,8 @@ def main_text(page: str | None, low: frozenset = frozenset()) -> str:
     if not page:
         return ""
     blocks, nodes, seen = parse(page)
-    top = ARTICLE if seen else max((r for _, r, _ in blocks), default=BODY)
-    kept = [b for b in blocks if b[1] == top]
-    if low and top < MAIN:
+    kept = _top(blocks, seen)
+    if low and not seen and kept and kept[0][1] < MAIN:
         bad = [False] * len(nodes)
         for i, (path, parent, _) in enumerate(nodes):
             bad[i] = (parent >= 0 and bad[parent]) or path_hash(path) in low

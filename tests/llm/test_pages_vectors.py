@@ -21,6 +21,24 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<nav>menu</nav><article class='post tag-social'><p>text</p></article>", "text"), ("<article class='category-advertising'><p>text</p></article>", "text"),
+        ("<article class='post social'><p>text</p></article>", "text"), ("<p>skip</p><div class='layout with-sidebar'><article><p>the text</p></article></div>", "the text"),
+        ("<div class='layout with-sidebar'><p>text</p></div>", "text"), ("<p>Skip</p><div class='page widget'><div class='x social'><main><p>long text</p></main></div></div>", "long text"),
+        ("<body><form id=f><nav>menu</nav><article><p>text</p></article></form>", "text"), ("<body><form id=f><nav>menu</nav><div><p>text</p></div></form>", "text"),
+        ("<main><h1>T</h1><form><article>long text</article></form></main>", "long text"),
+        # Still noise: teasers beside a main text, comments, hidden elements, whole names.
+        ("<article>one</article><div class='related'><article>a long teaser</article></div>", "one"), ("<main>the main text</main><div class='related'><article>teaser</article><article>another</article></div>", "the main text"),
+        ("<p>body</p><section class='comments'><article class='card'>a long comment</article></section>", "body"), ("<article class='comment'>no</article>", ""),
+        ("<div class='ad-banner'>x</div><div class='ad-300x250'>x</div><div id='cookie_notice'>x</div><p>yes</p>", "yes"), ("<div hidden><article>no</article></div><p>y</p>", "y"),
+    ],
+)
+def test_noise_words_do_not_lose_the_article(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_style_tree_removes_what_repeats_on_a_host(spark):
     page = lambda i: f"<body><div class='box'><p>Always the same text here</p></div><div class='post'><p>Story number {i} tells of {i * 7} things.</p></div>"
     rows = [(i, "http://one.example/a", page(i)) for i in range(30)] + [(100 + i, "http://two.example/", page(1)) for i in range(30)] + [(200, "http://three.example", page(1)), (201, None, None), (202, "x", ""), (None, "http://one.example/b", "<p>x</p>")]
