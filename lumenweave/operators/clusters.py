@@ -109,7 +109,7 @@ def _lloyd(p: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 30) ->
         for i in range(0, len(p), step):
             dist = _d2(p[i : i + step], c)
             fresh[i : i + step] = dist.argmin(axis=1)
-            near[i : i + step] = dist.min(axis=1)
+            near[i : i + step] = dist[np.arange(len(dist)), fresh[i : i + step]]
         count = np.bincount(fresh, minlength=k)
         for j in np.nonzero(count == 0)[0].tolist():  # an empty cluster takes the farthest point
             far = int(np.argmax(np.where(count[fresh] > 1, near, -1)))
@@ -122,7 +122,7 @@ def _lloyd(p: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 30) ->
     return labels, float(((p - c[labels]) ** 2).sum())
 
 
-def cluster(points, k: int, capacity: int, seed: int = 42, max_iter: int = 20, starts: int = 4) -> np.ndarray:
+def cluster(points, k: int, capacity: int, seed: int = 42, max_iter: int = 20, starts: int = 20) -> np.ndarray:
     """Labels of ``k`` clusters within ``capacity``: k-means gives seeds, then assignment and means alternate."""
     raw = _checked(points, capacity)
     n = len(raw)
@@ -140,7 +140,6 @@ def cluster(points, k: int, capacity: int, seed: int = 42, max_iter: int = 20, s
         return np.zeros(n, int)
     rng = np.random.default_rng(seed)
     p = scaled(raw, float(raw[:, 1].mean()))
-    starts = starts if n * k <= BLOCK else 1
     labels = min((_lloyd(p, k, rng) for _ in range(starts)), key=lambda x: x[1])[0]
     means = lambda lab: np.stack([np.bincount(lab, weights=raw[:, a], minlength=k) / np.bincount(lab, minlength=k) for a in (0, 1)], axis=1)
     centres = means(labels)

@@ -26,6 +26,16 @@ def test_impossible(bad):
         clusters.cluster(line(bad[0]), bad[1], bad[2])
 
 
+def test_twenty_starts_at_every_size(monkeypatch):
+    runs, lloyd = [], clusters._lloyd
+    monkeypatch.setattr(clusters, "_lloyd", lambda *a: runs.append(lloyd(*a)) or runs[-1])
+    p = np.random.default_rng(3).random((200, 2))
+    want = clusters.cluster(p, 13, 16)
+    assert len(runs) == 20
+    monkeypatch.setattr(clusters, "BLOCK", 50)  # as for more points than fit in a block
+    assert (clusters.cluster(p, 13, 16) == want).all() and len(runs) == 40
+
+
 def test_assignment():
     centres = np.array([(0.0, 0.0), (0.003, 0.0)])
     labels = clusters.assign(line(30), centres, 16)
