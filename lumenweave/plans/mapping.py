@@ -9,6 +9,8 @@ OLT_LON, OLT_LAT = -44.295, -2.495
 # One text for both engines: literals with an exponent are doubles in either.
 HP_LON, HP_LAT = "-44.3e0 + (({k} * 7919) % 10007) * 1e-6", "-2.5e0 + (({k} * 104729) % 10009) * 1e-6"
 
+POLE_LON, POLE_LAT = "-44.3e0 + (k % 14) * 4e-4 + ((k * 37) % 11) * 1e-5", "-2.5e0 + (k div 14) * 4e-4 + ((k * 53) % 13) * 1e-5"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,23 +39,35 @@ def polygons(spark, sf_dir) -> DataFrame:
     )
 
 
-def street_vertices(spark, sf_dir, cut: bool = False) -> DataFrame:
-    """An 11 x 11 grid of streets: one way for each edge; ``cut`` drops those between columns 4 and 5."""
-    k = F.col("p_partkey").cast("long")
-    n = table(spark, sf_dir, "part").filter("p_partkey < 121").select((k % 11).alias("i"), F.floor(k / 11).cast("long").alias("j"))
+def street_vertices(spark, sf_dir, cut: bool = False, whole: bool = False) -> DataFrame:
+    """An 11 x 11 grid of streets: one way for each edge; ``cut`` drops those between columns 4 and 5.
+
+    It stands on the parts below 121, as the SQL has it; with ``whole`` every 121 keys of part are the grid of a project.
+    """
+    k, part = F.col("p_partkey").cast("long"), table(spark, sf_dir, "part")
+    k, project = (k % 121, F.floor(k / 121).cast("long")) if whole else (k, F.lit(0).cast("long"))
+    n = (part if whole else part.filter("p_partkey < 121")).select(project.alias("project_id"), (k % 11).alias("i"), F.floor(k / 11).cast("long").alias("j"))
     step = F.explode(F.array(F.struct((F.col("i") + 1).alias("a"), F.col("j").alias("b")), F.struct(F.col("i").alias("a"), (F.col("j") + 1).alias("b")))).alias("t")
-    e = n.select("i", "j", step).select("i", "j", F.col("t.a").alias("a"), F.col("t.b").alias("b")).filter("a < 11 and b < 11")
+    e = n.select("project_id", "i", "j", step).select("project_id", "i", "j", F.col("t.a").alias("a"), F.col("t.b").alias("b")).filter("a < 11 and b < 11")
+    if whole:  # the last grid may have fewer nodes
+        e = e.join(n.select("project_id", F.col("i").alias("a"), F.col("j").alias("b")), ["project_id", "a", "b"], "left_semi")
     if cut:
         e = e.filter("not (i = 4 and a = 5)")
     ends = F.posexplode(F.array(F.struct(F.col("i").alias("x"), F.col("j").alias("y")), F.struct(F.col("a").alias("x"), F.col("b").alias("y")))).alias("seq", "v")
-    e = e.select(((F.col("i") * 11 + F.col("j")) * 2 + (F.col("a") - F.col("i"))).alias("way_id"), ends)
-    return e.select(F.lit(0).cast("long").alias("project_id"), "way_id", "seq", (F.lit(-44.3) + F.col("v.x") * 0.001).alias("lon"), (F.lit(-2.5) + F.col("v.y") * 0.001).alias("lat"), F.col("v.x").alias("i"), F.col("v.y").alias("j"))
+    e = e.select("project_id", ((F.col("i") * 11 + F.col("j")) * 2 + (F.col("a") - F.col("i"))).alias("way_id"), ends)
+    return e.select("project_id", "way_id", "seq", (F.lit(-44.3) + F.col("v.x") * 0.001).alias("lon"), (F.lit(-2.5) + F.col("v.y") * 0.001).alias("lat"), F.col("v.x").alias("i"), F.col("v.y").alias("j"))
+
 
+def poles(spark, sf_dir, whole: bool = False) -> DataFrame:
+    """About 200 poles on a jittered grid, and two literal ones 59.95 m apart from south to north.
 
-def poles(spark, sf_dir) -> DataFrame:
-    """About 200 poles on a jittered grid, and two literal ones 59.95 m apart from south to north."""
+    They are the parts below 200, as the SQL has it; with ``whole`` every 200 keys of part are the poles of a project.
+    """
+    if whole:
+        p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("pole_id"), F.floor(F.col("p_partkey") / 200).cast("long").alias("project_id"), (F.col("p_partkey") % 200).cast("long").alias("k"))
+        return p.select("pole_id", F.expr(POLE_LON).alias("lon"), F.expr(POLE_LAT).alias("lat"), "project_id")
     p = table(spark, sf_dir, "part").filter("p_partkey < 200").select(F.col("p_partkey").cast("long").alias("k"))
-    p = p.select(F.col("k").alias("pole_id"), F.expr("-44.3e0 + (k % 14) * 4e-4 + ((k * 37) % 11) * 1e-5").alias("lon"), F.expr("-2.5e0 + (k div 14) * 4e-4 + ((k * 53) % 13) * 1e-5").alias("lat"))
+    p = p.select(F.col("k").alias("pole_id"), F.expr(POLE_LON).alias("lon"), F.expr(POLE_LAT).alias("lat"))
     two = spark.createDataFrame([(1000, -44.2, -2.4), (1001, -44.2, -2.4 + 59.95 / 111194.92664455873)], "pole_id long, lon double, lat double")
     return p.unionByName(two).withColumn("project_id", F.lit(0).cast("long"))
 

@@ -287,9 +287,9 @@ def shortest_path_dist(spark, sf):
     return d.select((F.round((F.col("lon") + 44.3) * 1000, 0) * 11 + F.round((F.col("lat") + 2.5) * 1000, 0)).cast("long").alias("node"), F.col("d").alias("dist"))
 
 
-def grid_requests(spark, sf):
+def grid_requests(spark, sf, whole=False):
     """From node 0 to every node of the grid."""
-    v = m.street_vertices(spark, sf).select("project_id", "i", "j", "lon", "lat").distinct()
+    v = m.street_vertices(spark, sf, whole=whole).select("project_id", "i", "j", "lon", "lat").distinct()
     return v.select("project_id", (F.col("i") * 11 + F.col("j")).alias("req_id"), F.lit(-44.3).alias("o_lon"), F.lit(-2.5).alias("o_lat"), F.col("lon").alias("d_lon"), F.col("lat").alias("d_lat"), F.lit("distribuicao").alias("kind"))
 
 
@@ -307,6 +307,31 @@ def route_access_legs(spark, sf):
     return r.select(F.col("req_id").alias("hp_id"), "status", F.round("snap_o_m", 3).alias("leg_m"))
 
 
+# ---- the same over every row of part, a grid or a set of poles for each project; tested against brute force ----
+@query()
+def whole_street_edges(spark, sf):
+    e = graph.street_edges(m.street_vertices(spark, sf, whole=True))
+    n = graph.node_table(e).groupBy("project_id").agg(F.count(F.lit(1)).alias("nodes"))
+    return e.groupBy("project_id").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("real_dist"), 2).alias("metres")).join(n, "project_id")
+
+
+@query()
+def whole_street_components(spark, sf):
+    c = graph.components(graph.street_edges(m.street_vertices(spark, sf, cut=True, whole=True)))
+    return c.groupBy("project_id", "component").agg(F.count(F.lit(1)).alias("size")).select("project_id", "size")
+
+
+@query()
+def whole_route_status(spark, sf):
+    r = graph.routes(grid_requests(spark, sf, whole=True), graph.street_edges(m.street_vertices(spark, sf, cut=True, whole=True)), CONFIG)
+    return r.groupBy("project_id", "status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("path")).cast("long").alias("points"))
+
+
+@query()
+def whole_pole_spans(spark, sf):
+    return spatial.pole_spans(m.poles(spark, sf, whole=True), ["project_id"]).select("project_id", "a", "b", F.round("real_dist", 3).alias("metres"))
+
+
 # ---- clusters ----
 CENTRES = f"ct AS (SELECT s_suppkey::BIGINT AS centre_id, {m.HP_LON.replace('7919', '6151').format(k='s_suppkey')} AS lon, {m.HP_LAT.replace('104729', '15331').format(k='s_suppkey')} AS lat FROM supplier)"
 NEAR = f"""WITH {HP}, {CENTRES}, s AS (SELECT abs(cos(radians(avg(lat)))) AS f FROM hp),
