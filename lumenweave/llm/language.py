@@ -8,8 +8,9 @@ unit vectors of its training texts, less the mean over languages, and a text get
 prototype has the largest cosine.
 
 Letters fall into 128 slots: a to z and other frequent Latin letters have their own, all others share by
-hash.  Prototypes are learned from at most ``TRAIN_DOCS`` training documents in expectation, a seeded
-hash sample of those with a language; per partition only sums in ``DIM`` dimensions leave a task.
+hash.  Prototypes are learned from all documents with a language, or, beyond ``TRAIN_DOCS`` of them, from a seeded
+hash sample of each language: an equal share of ``TRAIN_DOCS`` (``LANG_DOCS`` at least) in expectation, and all
+documents of a language that has no more, so that none drops out as the table grows; per partition only sums in ``DIM`` dimensions leave a task.
 Prediction covers whole texts of all documents in one pass without a shuffle.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; ties go to the language
@@ -26,9 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import chunks, column
+from .common import P, broadcast_if_small, save
 
 DIM, SEED, SLOTS = 512, 20_240, 128
 TRAIN_DOCS = 40_000
+#: Rows of each language in the sample at least, if it has as many.
+LANG_DOCS, BROADCAST_LANGS = 5_000, 100_000
 CHUNK_CHARS = 1_500_000
 EDGE = 0
 
@@ -108,9 +112,12 @@ def space() -> Space:
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes, from rows with a language."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    n = rows.select(F.count(F.lit(1))).first()[0]
+    sizes = save(rows.groupBy(F.col("lang").alias(P + "lang")).agg(F.count(F.lit(1)).alias(P + "n")), "lang-sizes")
+    n, kinds = sizes.select(F.coalesce(F.sum(P + "n"), F.lit(0)), F.count(F.lit(1))).first()
     if n > train_docs:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < int(train_docs / n * (1 << 30)))
+        most = max(train_docs // kinds, LANG_DOCS)
+        rows = rows.join(broadcast_if_small(sizes, BROADCAST_LANGS), F.col("lang") == F.col(P + "lang"))
+        rows = rows.filter((F.col(P + "n") <= most) | (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < F.lit(most) / F.col(P + "n") * (1 << 30)))
 
     def sums(batches):
         total: dict[str, np.ndarray] = {}

@@ -163,6 +163,13 @@ def test_language_on_held_out_rows(spark):
     assert (rows.lang == rows.lang_pred).mean() >= 0.97 and rows.score.between(0, 1).all()
 
 
+def test_rare_language_keeps_its_prototype(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANG_DOCS", 5, raising=False)
+    rows = [(i, f"the house and the garden number {i}", "en") for i in range(3000)] + [(5000 + i, f"huset og haven på øen {i}", "da") for i in range(3)]
+    names, _ = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 20)
+    assert names == ["da", "en"]
+
+
 def test_language_awkward(spark, awkward):
     got = {(r.doc_id, r.lang_pred) for r in language.language_report(awkward).collect()}
     assert {(1, "und"), (2, "und"), (3, "und")} <= got and all(p in ("en", "de", "fr") for i, p in got if i in (4, 5, 6))
