@@ -17,6 +17,8 @@ scored alike; an empty table gives an empty table; columns other than doc_id and
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,14 +36,23 @@ CHUNK_CHARS = 1_500_000
 
 
 
+class _Kinds(dict):
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
+        return kind
+
+
+KINDS, REPEAT = _Kinds(), re.compile(r"(.)\1+", re.S)
+
+
 def shape(word: str) -> str:
-    """Letters and digits as runs: ``A`` for capitals, ``a`` for other letters, ``0``; runs of one sign as one."""
-    out = []
-    for c in word[:40]:
-        k = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out)
+    """Letters and digits of the whole word as runs: ``A`` for capitals, ``a`` for other letters, ``0``; runs of one sign as one.
+
+    Over 40 runs stand as a hash of all of them.
+    """
+    runs = REPEAT.sub(r"\1", word.translate(KINDS))
+    return runs if len(runs) <= 40 else str(hash_words([runs])[0])
 
 
 def terms(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -170,6 +170,11 @@ def test_rare_language_keeps_its_prototype(spark, monkeypatch):
     assert names == ["da", "en"]
 
 
+def test_shape_reads_the_whole_word():
+    assert classifier.shape("a" * 60 + "#9") == "a#0" and classifier.shape("Ab9--é") == "Aa0-a"
+    assert classifier.shape("a1" * 30 + "!") != classifier.shape("a1" * 30 + "?") and len(classifier.shape("a1" * 300)) <= 40
+
+
 def test_language_awkward(spark, awkward):
     got = {(r.doc_id, r.lang_pred) for r in language.language_report(awkward).collect()}
     assert {(1, "und"), (2, "und"), (3, "und")} <= got and all(p in ("en", "de", "fr") for i, p in got if i in (4, 5, 6))
