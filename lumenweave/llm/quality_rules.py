@@ -1,11 +1,19 @@
 """Quality rules with adaptive thresholds, in DataFrame functions alone.
 
-Every document gets a few whole numbers (word counts, symbols, repeated lines and windows, capitals).
-Their ratios, in thousandths, go into mergeable quantile sketches per language and source: counts of
-integer buckets, exact up to 65,536 and 4,096 wide beyond, which add up whatever the order of
-merging.  The same sketches merge further into those of a language and of all documents, which serve
-groups of fewer than ``min_group`` documents.  A group's upper fence for a ratio is its median plus
-``spread`` times its interquartile range plus a small margin.  The fences are then joined back.
+Every document gets a few whole numbers (word counts, symbols, repeated lines and windows, capitals).  Each of
+the five measures is the number of occurrences in a document of the corpus's typical size: the count itself for
+a document up to the median size in the measure's units (words, lines or characters), the count scaled down to
+that size for a longer one; plus one.  Measures go, in thousandths, into mergeable quantile sketches per language
+and source: counts of buckets that keep the seven leading bits of a value, so a value is off by less than 1/64,
+a rank by nothing, and a sketch has at most 3,712 buckets however many documents it holds.  Sketches add up
+whatever the order of merging; those of sources merge into that of their language, these into that of all
+documents, which serve groups of fewer than ``min_group`` documents (a rank of 0.9 then has a sampling error
+of at most 0.01).
+
+The sketches alone set the fences, by the same rule for every measure: the fence lies ``spread`` times as far
+above the upper quantile (``UPPER``) as this lies above the median, on a logarithmic scale; a group whose
+quantiles are less than a doubling apart counts as one doubling apart.  So what a tenth of a source's documents
+has is normal there, and a rare excess over it is not.  The fences are then joined back.
 
 Defined cases: null or empty text has no words and fails the base rule; null languages and sources are
 groups of their own; repeated rows count and are judged alike; an empty table gives an empty table;
@@ -14,14 +22,15 @@ columns other than doc_id, text, lang and source are never read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import P, WORD, broadcast_if_small, save
 
-#: Ratios with a fence, and the margin in thousandths that a fence leaves even where a group does not vary.
-MARGINS = {"symbols": 100, "dup_lines": 450, "repeats": 300, "capitals": 200, "long_words": 3000}
-MIN_GROUP, SPREAD = 100, 6
+#: Measures with a fence: what is counted, and in units of which size.
+MEASURES = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "capitals": ("n_capitals", "word_chars"), "long_words": ("word_chars", "n_words")}
+SIZES = ("n_words", "n_lines", "word_chars")
+MIN_GROUP, UPPER, SPREAD = 1000, 90, 3
 BROADCAST_GROUPS = 50_000
 
 
@@ -51,50 +60,66 @@ def counts(docs: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", F.coalesce(F.when(F.col(P + "s").isNotNull(), F.size(F.array_distinct(covered))), F.lit(0)).cast("long")).drop(P + "l", P + "s")
 
 
-def ratio_columns() -> dict:
-    """Each ratio as a whole number of thousandths, by integer division."""
-    per = lambda a, b: F.expr(f"({a} * 1000) div greatest({b}, 1)")
-    return {
-        "symbols": per("n_symbols", "n_words"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words"),
-        "capitals": per("n_capitals", "word_chars"), "long_words": per("word_chars", "n_words"),
-    }
+def bucket(v: str) -> Column:
+    """The sketch's bucket of a whole number: its seven leading bits."""
+    return F.expr(f"{v} - {v} % shiftleft(1L, greatest(0, length(bin({v})) - 7))")
 
 
-def thresholds(rows: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD) -> DataFrame:
-    """One row per (lang, source): an upper fence for each ratio, from the group's sketches or those they merge into."""
-    v = F.col(P + "v")
-    sketch = (
-        rows.filter("n_words > 0")
-        .select("lang", "source", F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in MARGINS]), F.array(*[c.alias(k) for k, c in ratio_columns().items()]))).alias(P + "m", P + "v"))
-        .groupBy("lang", "source", P + "m", F.when(v <= 65536, v).otherwise(F.expr(f"{P}v div 4096 * 4096")).alias(P + "b")).agg(F.count(F.lit(1)).alias(P + "n"))
-    )
+def quantile(q: int) -> Column:
+    """The lowest bucket whose running count holds ``q`` percent of all."""
+    return F.min(F.when(F.col(P + "run") * 100 >= F.col(P + "all") * q, F.col(P + "b")))
+
+
+def running(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches merged by ``keys`` and measure, with running and total counts.  A window holds one sketch: 3,712 rows at most."""
+    by = Window.partitionBy(*keys, P + "m")
+    merged = sketch.groupBy(*keys, P + "m", P + "b").agg(F.sum(P + "n").alias(P + "n"))
+    return merged.withColumn(P + "run", F.sum(P + "n").over(by.orderBy(P + "b"))).withColumn(P + "all", F.sum(P + "n").over(by))
+
+
+def typical_sizes(rows: DataFrame) -> dict[str, int]:
+    """The median of each size over all documents with a word (1 where there are none)."""
+    sized = rows.filter("n_words > 0").select(F.explode(F.create_map(*[x for k in SIZES for x in (F.lit(k), F.col(k))])).alias(P + "m", P + "v"))
+    sketch = sized.groupBy(P + "m", bucket(P + "v").alias(P + "b")).agg(F.count(F.lit(1)).alias(P + "n"))
+    found = {r[P + "m"]: r["q"] for r in running(sketch, []).groupBy(P + "m").agg(quantile(50).alias("q")).collect()}  # three rows
+    return {k: max(found.get(k, 1), 1) for k in SIZES}
+
+
+def measures(typical: dict[str, int]) -> dict[str, Column]:
+    """Each measure in thousandths, by integer division."""
+    return {k: F.expr(f"1000 + ({n} * 1000 * {typical[size]}L) div greatest({size}, {typical[size]}L)") for k, (n, size) in MEASURES.items()}
+
+
+def thresholds(rows: DataFrame, typical: dict[str, int], min_group: int = MIN_GROUP, spread: int = SPREAD) -> DataFrame:
+    """One row per (lang, source): an upper fence for each measure, from the group's sketches or those they merge into."""
+    valued = F.create_map(*[x for k, c in measures(typical).items() for x in (F.lit(k), c)])
+    sketch = rows.filter("n_words > 0").select("lang", "source", F.explode(valued).alias(P + "m", P + "v")).groupBy("lang", "source", P + "m", bucket(P + "v").alias(P + "b")).agg(F.count(F.lit(1)).alias(P + "n"))
     sketch = save(sketch, "rules-sketch")
-    fences = []
-    for keys in (["lang", "source"], ["lang"], []):
-        by = Window.partitionBy(*keys, P + "m")
-        merged = sketch.groupBy(*keys, P + "m", P + "b").agg(F.sum(P + "n").alias(P + "n"))
-        at = lambda q: F.min(F.when(F.col(P + "run") * 100 >= F.col(P + "all") * q, F.col(P + "b"))).alias(f"{P}q{q}")
-        fences.append(
-            merged.withColumn(P + "run", F.sum(P + "n").over(by.orderBy(P + "b"))).withColumn(P + "all", F.sum(P + "n").over(by))
-            .groupBy(*keys, P + "m").agg(at(25), at(50), at(75), F.first(P + "all").alias(P + "all"))
-            .withColumn(P + "f", F.col(P + "q50") + spread * (F.col(P + "q75") - F.col(P + "q25")))
-            .groupBy(*keys).agg(F.max(P + "all").alias(f"{P}n{len(keys)}"), *[F.max(F.when(F.col(P + "m") == k, F.col(P + "f") + F.lit(m))).alias(f"{P}{k}{len(keys)}") for k, m in MARGINS.items()])
-        )
-    own, lang, total = fences
+
+    def fences(keys: list[str]) -> DataFrame:
+        quantiles = running(sketch, keys).groupBy(*keys, P + "m").agg(quantile(50).cast("double").alias(P + "mid"), quantile(UPPER).cast("double").alias(P + "up"), F.first(P + "all").alias(P + "all"))
+        ratio, fence = F.greatest(F.col(P + "up") / F.col(P + "mid"), F.lit(2.0)), F.col(P + "up")
+        for _ in range(spread):
+            fence = fence * ratio
+        each = [F.max(F.when(F.col(P + "m") == k, F.col(P + "f"))).alias(f"{P}{k}{len(keys)}") for k in MEASURES]
+        return quantiles.withColumn(P + "f", fence).groupBy(*keys).agg(F.max(P + "all").alias(f"{P}n{len(keys)}"), *each)
+
+    own, lang, total = fences(["lang", "source"]), fences(["lang"]), fences([])
     lang = lang.withColumnRenamed("lang", P + "lang")
     joined = own.join(lang, own["lang"].eqNullSafe(lang[P + "lang"])).crossJoin(F.broadcast(total))  # total has one row
     pick = lambda k: F.when(F.col(P + "n2") >= min_group, F.col(f"{P}{k}2")).when(F.col(P + "n1") >= min_group, F.col(f"{P}{k}1")).otherwise(F.col(f"{P}{k}0"))
-    return joined.select(F.col("lang").alias(P + "lang"), F.col("source").alias(P + "source"), *[pick(k).alias(f"{P}max_{k}") for k in MARGINS])
+    return joined.select(F.col("lang").alias(P + "lang"), F.col("source").alias(P + "source"), *[pick(k).alias(f"{P}max_{k}") for k in MEASURES])
 
 
 def judge(docs: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD) -> DataFrame:
     """Per document: the counts, ``base_failed`` and ``kept``."""
     rows = save(counts(docs), "rules-counts")
-    limits = save(thresholds(rows, min_group, spread), "rules-limits")
+    typical = typical_sizes(rows)
+    limits = save(thresholds(rows, typical, min_group, spread), "rules-limits")
     limits = broadcast_if_small(limits, BROADCAST_GROUPS)
     joined = rows.join(limits, rows["lang"].eqNullSafe(limits[P + "lang"]) & rows["source"].eqNullSafe(limits[P + "source"]), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    above = [F.coalesce(c > F.col(f"{P}max_{k}"), F.lit(False)) for k, c in ratio_columns().items()]
+    above = [F.coalesce(c > F.col(f"{P}max_{k}"), F.lit(False)) for k, c in measures(typical).items()]
     outlier = above[0]
     for x in above[1:]:
         outlier = outlier | x
@@ -116,19 +141,21 @@ c AS (SELECT x.rid, doc_id, lang, source, len(w)::BIGINT AS n_words, length(arra
              (length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')))::BIGINT AS n_capitals,
              len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words
       FROM x LEFT JOIN p ON p.rid = x.rid),
-m AS (SELECT *, (n_symbols * 1000) // greatest(n_words, 1) AS v1, (n_dup_lines * 1000) // greatest(n_lines, 1) AS v2, (n_repeat_words * 1000) // greatest(n_words, 1) AS v3,
-             (n_capitals * 1000) // greatest(word_chars, 1) AS v4, (word_chars * 1000) // greatest(n_words, 1) AS v5 FROM c),
-u AS (SELECT lang, source, k, CASE WHEN v <= 65536 THEN v ELSE v // 4096 * 4096 END AS b
+z AS (SELECT v - v % (1::BIGINT << greatest(0, length(bin(v)) - 7)) AS b, k FROM (SELECT unnest([n_words, n_lines, word_chars]) AS v, unnest([1, 2, 3]) AS k FROM c WHERE n_words > 0)),
+zz AS (SELECT k, min(b) AS q FROM (SELECT k, b, count(*) OVER (PARTITION BY k) AS a, rank() OVER (PARTITION BY k ORDER BY b) + count(*) OVER (PARTITION BY k, b) - 1 AS run FROM z) WHERE run * 2 >= a GROUP BY k),
+y AS (SELECT greatest(coalesce(max(q) FILTER (k = 1), 1), 1) AS w, greatest(coalesce(max(q) FILTER (k = 2), 1), 1) AS l, greatest(coalesce(max(q) FILTER (k = 3), 1), 1) AS ch FROM zz),
+m AS (SELECT c.*, 1000 + (n_symbols * 1000 * w) // greatest(n_words, w) AS v1, 1000 + (n_dup_lines * 1000 * l) // greatest(n_lines, l) AS v2, 1000 + (n_repeat_words * 1000 * w) // greatest(n_words, w) AS v3,
+             1000 + (n_capitals * 1000 * ch) // greatest(word_chars, ch) AS v4, 1000 + (word_chars * 1000 * w) // greatest(n_words, w) AS v5 FROM c, y),
+u AS (SELECT lang, source, k, v - v % (1::BIGINT << greatest(0, length(bin(v)) - 7)) AS b
       FROM (SELECT lang, source, unnest([1, 2, 3, 4, 5]) AS k, unnest([v1, v2, v3, v4, v5]) AS v FROM m WHERE n_words > 0)),
 g AS (SELECT 2 AS lv, lang, source, k, b FROM u UNION ALL SELECT 1, lang, NULL, k, b FROM u UNION ALL SELECT 0, NULL, NULL, k, b FROM u),
-q AS (SELECT lv, lang, source, k, count(*) AS n, max(b) FILTER (rk = 25) AS q25, max(b) FILTER (rk = 50) AS q50, max(b) FILTER (rk = 75) AS q75 FROM (
-        SELECT lv, lang, source, k, b, 0 AS rk FROM g UNION ALL
-        SELECT lv, lang, source, k, min(b), qq FROM (SELECT *, qq FROM (SELECT *, count(*) OVER (PARTITION BY lv, lang, source, k) AS a, rank() OVER (PARTITION BY lv, lang, source, k ORDER BY b) + count(*) OVER (PARTITION BY lv, lang, source, k, b) - 1 AS run FROM g), (VALUES (25), (50), (75)) z(qq)) WHERE run * 100 >= a * qq GROUP BY lv, lang, source, k, qq)
+q AS (SELECT lv, lang, source, k, max(a) AS n, (min(b) FILTER (run * 100 >= a * 50))::DOUBLE AS mid, (min(b) FILTER (run * 100 >= a * 90))::DOUBLE AS up FROM (
+        SELECT *, count(*) OVER (PARTITION BY lv, lang, source, k) AS a, rank() OVER (PARTITION BY lv, lang, source, k ORDER BY b) + count(*) OVER (PARTITION BY lv, lang, source, k, b) - 1 AS run FROM g)
       GROUP BY lv, lang, source, k),
-f AS (SELECT lv, lang, source, k, n - 3 AS n, q50 + 6 * (q75 - q25) + [100, 450, 300, 200, 3000][k] AS f FROM q),
+f AS (SELECT *, up * greatest(up / mid, 2.0::DOUBLE) * greatest(up / mid, 2.0::DOUBLE) * greatest(up / mid, 2.0::DOUBLE) AS f FROM q),
 h AS (SELECT lv, lang, source, max(n) AS n, max(f) FILTER (k = 1) AS f1, max(f) FILTER (k = 2) AS f2, max(f) FILTER (k = 3) AS f3, max(f) FILTER (k = 4) AS f4, max(f) FILTER (k = 5) AS f5 FROM f GROUP BY lv, lang, source),
 j AS (SELECT m.*, a.n AS n2, b.n AS n1,
-             CASE WHEN a.n >= 100 THEN [a.f1, a.f2, a.f3, a.f4, a.f5] WHEN b.n >= 100 THEN [b.f1, b.f2, b.f3, b.f4, b.f5] ELSE [z.f1, z.f2, z.f3, z.f4, z.f5] END AS lim
+             CASE WHEN a.n >= 1000 THEN [a.f1, a.f2, a.f3, a.f4, a.f5] WHEN b.n >= 1000 THEN [b.f1, b.f2, b.f3, b.f4, b.f5] ELSE [z.f1, z.f2, z.f3, z.f4, z.f5] END AS lim
       FROM m LEFT JOIN h a ON a.lv = 2 AND a.lang IS NOT DISTINCT FROM m.lang AND a.source IS NOT DISTINCT FROM m.source
              LEFT JOIN h b ON b.lv = 1 AND b.lang IS NOT DISTINCT FROM m.lang LEFT JOIN h z ON z.lv = 0),
 o AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM j)

@@ -73,6 +73,24 @@ def test_rules_find_outliers_and_keep_the_rest(spark):
     assert all(kept[i] for i in range(200)) and not any(kept[i] for i in (1000, 1001, 1002, 1003))
 
 
+def test_sketches_set_the_fence_of_every_measure(spark):
+    """Two sources unlike in every measure get unlike fences, and the same text is judged by its source."""
+    plain = lambda i: " ".join(f"word{(i * 31 + k * 7) % 997}x" for k in range(80))
+    rich = lambda i: "\n".join(["AB same line of CODE here#"] * (i % 5) + [f"Long{'x' * (i % 40)}{(i * 13 + k) % 997} $v{k}|{i % 9} = #{k};" for k in range(30)])
+    rows = [(i, plain(i), "en", "prose") for i in range(400)] + [(1000 + i, rich(i), "en", "code") for i in range(400)] + [(5000, rich(4), "en", "prose"), (5001, rich(4), "en", "code")]
+    counted = quality_rules.counts(docs_of(spark, rows)).cache()
+    limits = {r["_lw_source"]: r for r in quality_rules.thresholds(counted, quality_rules.typical_sizes(counted), min_group=100).collect()}
+    assert all(limits["code"][f"_lw_max_{k}"] > limits["prose"][f"_lw_max_{k}"] for k in quality_rules.MEASURES)
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(docs_of(spark, rows), min_group=100).collect()}
+    assert kept[5001] and not kept[5000] and all(kept[i] for i in range(400))
+
+
+def test_sketch_buckets_are_bounded_and_close(spark):
+    vals = [0, 1, 127, 128, 129, 255, 256, 10**6, 10**12, 2**62]
+    got = {r.v: r.b for r in spark.createDataFrame([(v,) for v in vals], "v long").withColumn("b", quality_rules.bucket("v")).collect()}
+    assert all(b <= v and v - b <= v / 64 for v, b in got.items()) and all(got[v] == v for v in vals if v < 128)
+
+
 def test_rules_run_no_python(spark, awkward):
     plan = quality_rules.quality_report(awkward)._jdf.queryExecution().toString() + pii.pii_report(awkward)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
