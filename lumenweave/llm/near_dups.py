@@ -1,21 +1,25 @@
 """MinHash near-duplicates by ProbMinHash, banding and exact verification.
 
-Shingles are runs of five words, each distinct one once (a shorter text is one shingle).  Every shingle
-sends a seeded Poisson process of arrivals, of a rate equal to its weight, to random registers; a register
-keeps the shingle of its earliest arrival.  A process is cut off beyond a bound, and the bound is doubled
-for the texts that still have an empty register, so no later arrival could have counted.  Two texts agree
-in a register with the probability Jaccard of their weighted shingles, which for equal weights is Jaccard.
+Shingles are runs of five words (a shorter text is one shingle), weighted by how often the text holds them.
+Similarity is the probability Jaccard of these weights: the sum over shared shingles i of 1 / sum over all j of
+max(x_j / x_i, y_j / y_i).  For texts that hold each of their shingles equally often it is plain Jaccard.  Every
+shingle sends a seeded Poisson process of arrivals, of a rate equal to its weight, to random registers; a
+register keeps the shingle of its earliest arrival.  A process is cut off beyond a bound, and the bound is
+doubled for the texts that still have an empty register, so no later arrival could have counted.  Two texts
+agree in a register with the probability of their similarity.  ``weighted=False`` gives every distinct shingle
+the weight 1.
 
 Equal texts are collapsed first.  Registers form bands; texts that agree in a band share a bucket.  In
 each bucket every member is paired with one representative, so rows stay linear in a bucket's size:
 first each text with the representative that it shares most bands with, then with its others as far as
-they lie in other components.  Pairs are verified by the exact Jaccard similarity of their shingle sets
-(0.8 or more); verified pairs make links, and classes are their connected components, found by minimum
-labels with pointer jumping.  Buckets that still hold several components are then searched whole: dealt
-into blocks of bounded size, each pair of blocks a task that intersects all shingle sets at once and
-returns only links that join components.  So every pair that shares a bucket is either in one class or
-verified, and no task or row count holds all pairs.  Hot buckets meet only joins that Spark can split
-and aggregates that combine before the shuffle; nothing is collected.
+they lie in other components.  Pairs are verified by the exact similarity (0.8 or more); verified pairs
+make links, and classes are their connected components, found by minimum labels with pointer jumping.
+Later links only merge the classes known so far.  Buckets that still hold several components are then
+searched whole: the members outside a bucket's largest component meet all its members, dealt into blocks
+of bounded size, each pair of blocks a task that compares all their shingles at once and returns only links
+that join components.  So every pair that shares a bucket is either in one class or verified, and no task
+or row count holds all pairs.  Hot buckets meet only joins that Spark can split and aggregates that
+combine before the shuffle; nothing is collected.
 
 Defined cases: a null text is in a class of its own; texts without words are copies of each other if
 equal; repeated rows share a class; an empty table gives an empty table; ``class_id`` is the smallest
@@ -41,8 +45,8 @@ BLOCK, BANDS_AT_ONCE = 256, 8
 BROADCAST_TEXTS = 1_000_000
 
 
-def shingles(texts, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text numbers and hashes of distinct shingles (sorted), and the count for each text."""
+def shingles(texts, k: int = SHINGLE, weighted: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text numbers, hashes and weights of distinct shingles (sorted), and the count for each text."""
     offsets, ids, names = words_of(texts)
     n = len(offsets) - 1
     size = np.diff(offsets)
@@ -62,8 +66,31 @@ def shingles(texts, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarra
     doc, mark = doc[order], mark[order]
     first = np.ones(len(doc), bool)
     first[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])
+    weight = np.diff(np.append(np.nonzero(first)[0], len(doc))).astype(np.float64) if weighted else np.ones(int(first.sum()))
     doc, mark = doc[first], mark[first]
-    return doc, mark, np.bincount(doc, minlength=n)
+    return doc, mark, weight, np.bincount(doc, minlength=n)
+
+
+def probability_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
+    """Similarity of two weighted sets, given as sorted hashes and weights.
+
+    For a shared shingle of ratio r = y_i / x_i, a shingle j counts x_j / x_i if its own ratio is at most r, else
+    y_j / y_i; running sums over the sorted ratios give both parts.
+    """
+    if not len(x) or not len(y):
+        return 0.0
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    hit = y[at] == x
+    a, b = wx[hit], wy[at[hit]]
+    if not len(a):
+        return 0.0
+    if (wx == wx[0]).all() and (wy == wy[0]).all():
+        return len(a) / (len(x) + len(y) - len(a))
+    ratio = b / a
+    order = np.argsort(ratio)
+    below = np.concatenate(([0.0], np.cumsum(a[order])))[np.searchsorted(ratio[order], ratio, side="right")] + (wx.sum() - a.sum())
+    above = np.concatenate((np.cumsum(b[order][::-1])[::-1], [0.0]))[np.searchsorted(ratio[order], ratio, side="right")] + (wy.sum() - b.sum())
+    return float((1 / (below / a + above / b)).sum())
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -96,13 +123,17 @@ def probminhash(doc: np.ndarray, mark: np.ndarray, weight: np.ndarray, n: int, m
     return out.reshape(n, m)
 
 
-def signatures(rows: DataFrame, bands: int = BANDS, per: int = ROWS) -> DataFrame:
+def alike(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    return probability_jaccard(x, wx, y, wy) >= similarity - 1e-12
+
+
+def signatures(rows: DataFrame, bands: int = BANDS, per: int = ROWS, weighted: bool = True) -> DataFrame:
     """doc_id, node and band hashes of every row with a text and a word."""
 
     def run(batches):
         for b in chunks(batches):
-            doc, mark, size = shingles(column(b, "text"))
-            reg = probminhash(doc, mark, np.ones(len(doc)), b.num_rows, bands * per).reshape(b.num_rows, bands, per)
+            doc, mark, weight, size = shingles(column(b, "text"), weighted=weighted)
+            reg = probminhash(doc, mark, weight, b.num_rows, bands * per).reshape(b.num_rows, bands, per)
             x = np.zeros((b.num_rows, bands), np.uint64)
             for i in range(per):
                 x = mix64(x ^ reg[:, :, i]) + np.arange(bands, dtype=np.uint64)
@@ -114,7 +145,7 @@ def signatures(rows: DataFrame, bands: int = BANDS, per: int = ROWS) -> DataFram
     return rows.select("doc_id", P + "t", "text").mapInArrow(run, f"doc_id {kind}, t long, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, weighted: bool = True, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
     both = pairs.select("a", "b").join(texts.select(F.col("t").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("t").alias("b"), F.col("text").alias("tb")), "b")
 
@@ -123,17 +154,11 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
             for b in chunks([batch], "ta"):
                 n = b.num_rows
                 base = column(b, "tb").dictionary_encode()
-                doc, mark, size = shingles(pa.concat_arrays([column(b, "ta"), base.dictionary.cast(column(b, "ta").type)]))
+                doc, mark, weight, size = shingles(pa.concat_arrays([column(b, "ta"), base.dictionary.cast(column(b, "ta").type)]), weighted=weighted)
                 cut = np.searchsorted(doc, np.arange(len(size) + 1))
+                part = lambda i: (mark[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]])  # noqa: B023, E731
                 other = base.indices.to_numpy() + n
-                ok = np.zeros(n, bool)
-                for i in range(n):
-                    j = other[i]
-                    x, y = mark[cut[i] : cut[i + 1]], mark[cut[j] : cut[j + 1]]
-                    if len(x) and len(y) and min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                        common = int((y[at] == x).sum())
-                        ok[i] = common >= similarity * (len(x) + len(y) - common)
+                ok = np.array([alike(*part(i), *part(j), similarity) for i, j in enumerate(other.tolist())], bool)
                 keep = pa.array(ok)
                 yield pa.RecordBatch.from_arrays([column(b, "a").filter(keep), column(b, "b").filter(keep)], ["a", "b"])
 
@@ -155,46 +180,70 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _spanning(size: np.ndarray, doc: np.ndarray, mark: np.ndarray, label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Links among texts that join different labels: as few as connect them."""
-    n = len(size)
+def _products(doc: np.ndarray, place: np.ndarray, value: np.ndarray, left: np.ndarray, width: int = 8192) -> np.ndarray:
+    """Inner products of the rows that ``left`` marks with the others; ``place`` is sorted."""
+    out = np.zeros((int(left.sum()), int((~left).sum())), np.float32)
+    cut = np.searchsorted(place, np.arange(0, (place[-1] + 1 if len(place) else 0) + width, width))
+    for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
+        if b > a:
+            x = np.zeros((len(left), width), np.float32)
+            x[doc[a:b], place[a:b] - i * width] = value[a:b]
+            out += x[left] @ x[~left].T
+    return out
+
+
+def _spanning(doc: np.ndarray, mark: np.ndarray, weight: np.ndarray, left: np.ndarray, label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links from texts that ``left`` marks to others that join different labels: as few as connect them.
+
+    Counts of shared shingles give the exact similarity where a text's weights are equal.  Other pairs are first
+    bounded from above by the products of the square roots of their shares, then computed one by one.
+    """
+    n = len(left)
+    size = np.bincount(doc, minlength=n)
+    cut = np.searchsorted(doc, np.arange(n + 1))
+    total = np.bincount(doc, weights=weight, minlength=n)
+    plain = np.bincount(doc, weights=weight * weight, minlength=n) * size == total * total
     order = np.argsort(mark, kind="stable")
-    doc, mark = doc[order], mark[order]
-    new = np.concatenate(([True], mark[1:] != mark[:-1])) if len(mark) else np.empty(0, bool)
+    sorted_mark, sorted_doc = mark[order], doc[order]
+    new = np.concatenate(([True], sorted_mark[1:] != sorted_mark[:-1])) if len(mark) else np.empty(0, bool)
     place = np.cumsum(new) - 1
     shared = np.bincount(place) > 1 if len(place) else np.empty(0, bool)
     keep = shared[place]
-    doc, place = doc[keep], (np.cumsum(shared) - 1)[place[keep]]
-    common = np.zeros((n, n), np.float32)
-    width = 8192
-    cut = np.searchsorted(place, np.arange(0, (place[-1] + 1 if len(place) else 0) + width, width))
-    for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
-        if b > a:
-            x = np.zeros((n, width), np.float32)
-            x[doc[a:b], place[a:b] - i * width] = 1
-            common += x @ x.T
+    place, d = (np.cumsum(shared) - 1)[place[keep]], sorted_doc[keep]
+    common = _products(d, place, np.ones(len(d), np.float32), left)
+    rows, cols = np.nonzero(left)[0], np.nonzero(~left)[0]
+    near = (common > 0) & (common >= similarity * (size[rows][:, None] + size[cols] - common))
+    both = plain[rows][:, None] & plain[cols]
+    if not both.all():
+        bound = _products(d, place, np.sqrt(weight[order][keep] / total[d]).astype(np.float32), left)
+        near = np.where(both, near, bound >= similarity - 1e-3)
     root = np.unique(label, return_inverse=True)[1]
     out = []
-    for i in range(n):
-        near = np.nonzero((common[i, :i] >= similarity * (size[i] + size[:i] - common[i, :i])) & (size[:i] > 0))[0] if size[i] else ()
-        for j in near:
+    for r, i in enumerate(rows.tolist()):
+        for c in np.nonzero(near[r])[0].tolist():
+            j = int(cols[c])
             if root[i] != root[j]:
-                out.append((i, int(j)))
-                root[root == root[j]] = root[i]
+                x, y = slice(cut[i], cut[i + 1]), slice(cut[j], cut[j + 1])
+                if both[r, c] or alike(mark[x], weight[x], mark[y], weight[y], similarity):
+                    out.append((i, j))
+                    root[root == root[j]] = root[i]
     return out
 
 
-def _searched(buckets: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between components inside whole buckets (h, t, label, n)."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = buckets.withColumn("b", F.pmod(F.xxhash64(F.lit(3), "t"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("h", "t", "label", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).join(texts, "t")
+def _searched(buckets: DataFrame, texts: DataFrame, weighted: bool = True, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between components inside whole buckets (h, t, label; main: the largest component, n and m: all members and those outside it)."""
+    block = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    mine = lambda c: F.pmod(F.xxhash64(F.lit(3), "t"), block(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), block(c) - 1))
+    outside = buckets.filter("label <> main").select("h", "t", "label", F.lit(True).alias("left"), mine("m").alias("i"), every("n").alias("j"))
+    members = buckets.select("h", "t", "label", F.lit(False).alias("left"), mine("n").alias("j"), every("m").alias("i"))
+    rows = outside.unionByName(members).join(texts, "t")
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("t")
-        doc, mark, size = shingles(table.column("text").combine_chunks())
+        table = table.sort_by([("t", "ascending"), ("left", "ascending")])
+        doc, mark, weight, _ = shingles(table.column("text").combine_chunks(), weighted=weighted)
         t = table.column("t").to_numpy()
-        pairs = _spanning(size, doc, mark, table.column("label").to_numpy(), similarity)
+        pairs = _spanning(doc, mark, weight, table.column("left").to_numpy(), table.column("label").to_numpy(), similarity)
         a, b = ([int(t[p[k]]) for p in pairs] for k in (0, 1))
         give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -202,48 +251,50 @@ def _searched(buckets: DataFrame, texts: DataFrame, similarity: float = SIMILARI
     return rows.groupBy("h", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def _links(rows: DataFrame, sig: DataFrame) -> DataFrame:
-    """Labels of all texts that have a link."""
+def _links(rows: DataFrame, sig: DataFrame, weighted: bool = True) -> DataFrame:
+    """Labels of all texts that share a bucket with another."""
     own = save(sig.filter("t is not null and bands is not null").groupBy("t").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id")), "near-texts")
     member = own.select("t", F.posexplode("bands").alias("k", "h")).select("t", "k", F.xxhash64("k", "h").alias("h"))
     # Written first, so that the join below is of plain exchanges and Spark can split a hot bucket.
     full = save(member.groupBy("h").agg(F.min("t").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "rep", "n"), "near-full")
     member = save(member.join(full, "h"), "near-buckets")
     pairs = save(member.filter("t <> rep").groupBy(F.col("t").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("n")), "near-pairs")
-    found = member.select("t").distinct()
-    named = save(found.join(own.select("t", "doc_id"), "t").select(F.col("t").alias("c"), F.col("doc_id").alias("d")), "near-named")
+    labels = save(member.select("t").distinct().select("t", F.col("t").alias("label")), "near-labels")
+    named = save(labels.join(own.select("t", "doc_id"), "t").select(F.col("t").alias("c"), F.col("doc_id").alias("d")), "near-named")
     texts = rows.select(P + "t", "doc_id", "text").join(broadcast_if_small(named, BROADCAST_TEXTS), (F.col(P + "t") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")))
     texts = save(texts.groupBy(F.col(P + "t").alias("t")).agg(F.first("text").alias("text")), "near-pair-texts")
+    lab = lambda c: labels.select(F.col("t").alias(c), F.col("label").alias("l" + c))
 
-    best = pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    edges = save(verified(best, texts), "near-verified")
-    labels = components(edges)
-
-    def joined(more: DataFrame) -> None:
-        nonlocal edges, labels
-        more = save(more, "near-verified")
-        if more.limit(1).count():
-            edges = save(edges.unionByName(more), "near-all")
-            labels = components(edges)
+    def link(found: DataFrame) -> None:
+        """Merge the classes that verified pairs join."""
+        nonlocal labels
+        found = save(found, "near-verified")
+        between = save(found.join(lab("a"), "a").join(lab("b"), "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "near-between")
+        if between.limit(1).count():
+            merged = broadcast_if_small(components(between).select(F.col("t").alias("label"), F.col("label").alias("top")), BROADCAST_TEXTS)
+            labels = save(labels.join(merged, "label", "left").select("t", F.coalesce("top", "label").alias("label")), "near-labels")
 
-    lab = lambda c: labels.select(F.col("t").alias(c), F.col("label").alias("l" + c))
-    todo = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(lab("a"), "a", "left").join(lab("b"), "b", "left")
-    joined(verified(todo.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")), texts))
+    best = pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    link(verified(best, texts, weighted))
+    todo = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(lab("a"), "a").join(lab("b"), "b")
+    link(verified(todo.filter("la <> lb"), texts, weighted))
     several = member.filter("n > 2")  # the one pair of a bucket of two is verified
     for k in range(0, BANDS, BANDS_AT_ONCE):
-        here = several.filter(F.col("k").between(k, k + BANDS_AT_ONCE - 1)).select("h", "t", "n").join(labels, "t", "left").withColumn("label", F.coalesce("label", "t"))
-        mixed = save(here.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h"), "near-several")
+        here = several.filter(F.col("k").between(k, k + BANDS_AT_ONCE - 1)).select("h", "t").join(labels, "t")
+        held = here.groupBy("h", "label").agg(F.count(F.lit(1)).alias("x"))
+        mixed = held.groupBy("h").agg(F.max(F.struct("x", "label")).alias("top"), F.sum("x").alias("n"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+        mixed = save(mixed.select("h", F.col("top.label").alias("main"), "n", (F.col("n") - F.col("top.x")).alias("m")), "near-several")
         here = save(here.join(mixed, "h"), "near-mixed")
         if here.limit(1).count():
-            joined(_searched(here, texts))
+            link(_searched(here, texts, weighted))
     return labels
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, weighted: bool = True) -> DataFrame:
     """Per row: doc_id, node ``t`` (null without text), ``label`` of its class and ``class_id``."""
     rows = with_nodes(docs.select("doc_id", "text"))
-    sig = save(signatures(rows), "near-signatures")
-    labels = _links(rows, sig)
+    sig = save(signatures(rows, weighted=weighted), "near-signatures")
+    labels = _links(rows, sig, weighted)
     own = sig.filter("t is not null").groupBy("t").agg(F.min("doc_id").alias("first"))
     named = own.join(labels, "t", "left").select("t", "first", F.coalesce("label", "t").alias("label"))
     named = save(named, "near-texts-named")
@@ -257,9 +308,9 @@ def class_report(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, weighted: bool = True) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest doc_id.  Rows with a null text all stay."""
-    cls = save(classes(docs), "near-classes")
+    cls = save(classes(docs, weighted), "near-classes")
     kept = cls.filter("t is not null and doc_id <=> class_id").groupBy("doc_id", "label").agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("n"))
     kept = save(kept, "near-kept")
     want = kept.select(F.col("doc_id").alias(P + "d"), F.col("t").alias(P + "k"), (F.col("n") > 1).alias(P + "again"))

@@ -80,14 +80,24 @@ def test_automaton_equals_plain_search():
 
 
 # ---- near-duplicates ----
-def shingles(t):
+def shingles(t, weighted=True):
     w = WORD.findall(t)
-    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
+    runs = [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+    return Counter(runs) if weighted else Counter(set(runs))
 
 
-def classes(rows):
+def similarity(x, y):
+    """Probability Jaccard by its definition."""
+    common = x.keys() & y.keys()
+    if len(set(x.values())) == len(set(y.values())) == 1:
+        return len(common) / len(x.keys() | y.keys())
+    every = x.keys() | y.keys()
+    return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in every) for i in common)
+
+
+def classes(rows, weighted=True):
     texts = sorted({t for _, t in rows if t is not None})
-    sets = {t: shingles(t) for t in texts}
+    sets = {t: shingles(t, weighted) for t in texts}
     root = {t: t for t in texts}
 
     def find(x):
@@ -98,11 +108,11 @@ def classes(rows):
     index = defaultdict(set)
     for t, s in sets.items():
         for x in s:
-            if x:
-                index[x].add(t)
+            index[x].add(t)
     for a, b in {p for ts in index.values() for p in combinations(sorted(ts), 2)}:
-        common = len(sets[a] & sets[b])
-        if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+        x, y = sets[a], sets[b]
+        # No more than the shared shares: spares the long sum for most pairs.
+        if sum(min(x[i] / x.total(), y[i] / y.total()) for i in x.keys() & y.keys()) >= 0.79 and similarity(x, y) >= 0.8 - 1e-12:
             root[find(b)] = find(a)
     first = {}
     for i, t in rows:
@@ -134,6 +144,64 @@ def test_chains_and_groups(spark):
     assert Counter((r.doc_id, r.class_id) for r in near_dups.class_report(df).collect()) == classes(rows)
 
 
+def repeated_lines():
+    """Texts with the same shingles, held unequally often, and texts with equal shares."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(12):
+        line = " ".join(f"l{g}{rng.randint(0, 99)}" for _ in range(9))
+        body = " ".join(f"b{g}{rng.randint(0, 9999)}" for _ in range(60))
+        rows += [(g * 10 + k, body + f"\n{line}" * n) for k, n in enumerate((2, 2, 3, 8, 9, 30, 31))]
+        rows.append((g * 10 + 8, f"{body}\n{line} x\n{line}\n{line}"))
+    return rows
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_repeated_shingles_weigh_more(spark, weighted):
+    rows = repeated_lines()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id) for r in near_dups.classes(df, weighted).collect())
+    assert got == classes(rows, weighted) and classes(rows, True) != classes(rows, False)
+
+
+def test_similarity_equals_its_definition():
+    rng = random.Random(4)
+    for _ in range(200):
+        x, y = (Counter({i: rng.randint(1, 4) for i in range(12) if rng.random() < 0.6}) for _ in range(2))
+        arrays = [(np.array(sorted(c), np.uint64), np.array([c[k] for k in sorted(c)], float)) for c in (x, y)]
+        got = near_dups.probability_jaccard(*arrays[0], *arrays[1])
+        assert got == pytest.approx(similarity(x, y) if x and y else 0.0, abs=1e-12)
+
+
+def test_whole_buckets_equal_all_pairs():
+    """Links among unlike components, against every pair, for equal and unequal weights."""
+    rng = random.Random(9)
+    for weighted in (True, False):
+        for _ in range(20):
+            base = [rng.randint(1, 10**9) for _ in range(30)]
+            sets = []
+            for _ in range(14):
+                c = Counter(rng.sample(base, rng.randint(22, 30)))
+                if weighted:
+                    c.update(rng.choices(base, k=rng.randint(0, 9)))
+                sets.append(c)
+            left = np.array([i < 6 for i in range(14)])
+            doc = np.repeat(np.arange(14), [len(c) for c in sets])
+            mark = np.concatenate([np.array(sorted(c), np.uint64) for c in sets])
+            weight = np.concatenate([np.array([c[k] for k in sorted(c)], float) for c in sets])
+            got = near_dups._spanning(doc, mark, weight, left, np.arange(14), 0.8)
+            root = list(range(14))
+            for i, j in ((i, j) for i in range(6) for j in range(6, 14) if similarity(sets[i], sets[j]) >= 0.8 - 1e-12):
+                a, b = root[i], root[j]
+                root = [a if r == b else r for r in root]
+            mine = list(range(14))
+            for i, j in got:
+                assert similarity(sets[i], sets[j]) >= 0.8 - 1e-12
+                a, b = mine[i], mine[j]
+                mine = [a if r == b else r for r in mine]
+            assert len(set(mine)) == len(set(root)) and all((mine[i] == mine[j]) == (root[i] == root[j]) for i in range(14) for j in range(14))
+
+
 def test_one_of_each_class_stays(docs):
     again = docs.unionByName(docs.limit(5))
     out = near_dups.keep_one(again)
