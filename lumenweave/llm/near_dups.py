@@ -123,7 +123,23 @@ def probminhash(doc: np.ndarray, mark: np.ndarray, weight: np.ndarray, n: int, m
     return out.reshape(n, m)
 
 
+def most_alike(x, y, xc, yc):
+    """An upper bound of the similarity from the total and the shared weights of both: exact for equal weights.
+
+    A shared shingle's term is at most 1 / (x / x_i + (y - yc) / y_i), which is concave and homogeneous in its weights,
+    so that the sum of terms is at most the term of the sums.
+    """
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where((xc > 0) & (yc > 0), 1 / (x / xc + y / yc - 1), 0.0)
+
+
 def alike(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    if min(len(x), len(y)) == 0:
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    hit = y[at] == x
+    if most_alike(wx.sum(), wy.sum(), wx[hit].sum(), wy[at[hit]].sum()) < similarity - 1e-9:
+        return False
     return probability_jaccard(x, wx, y, wy) >= similarity - 1e-12
 
 
@@ -180,23 +196,26 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _products(doc: np.ndarray, place: np.ndarray, value: np.ndarray, left: np.ndarray, width: int = 8192) -> np.ndarray:
-    """Inner products of the rows that ``left`` marks with the others; ``place`` is sorted."""
+def _products(doc: np.ndarray, place: np.ndarray, value: np.ndarray, other: np.ndarray, left: np.ndarray, width: int = 8192) -> np.ndarray:
+    """Inner products of the rows that ``left`` marks, by ``value``, with the others, by ``other``; ``place`` is sorted."""
+    rows, cols = (np.cumsum(z) - 1 for z in (left, ~left))
     out = np.zeros((int(left.sum()), int((~left).sum())), np.float32)
     cut = np.searchsorted(place, np.arange(0, (place[-1] + 1 if len(place) else 0) + width, width))
     for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
         if b > a:
-            x = np.zeros((len(left), width), np.float32)
-            x[doc[a:b], place[a:b] - i * width] = value[a:b]
-            out += x[left] @ x[~left].T
+            x, y = np.zeros((out.shape[0], width), np.float32), np.zeros((out.shape[1], width), np.float32)
+            d, at, mine = doc[a:b], place[a:b] - i * width, left[doc[a:b]]
+            x[rows[d[mine]], at[mine]] = value[a:b][mine]
+            y[cols[d[~mine]], at[~mine]] = other[a:b][~mine]
+            out += x @ y.T
     return out
 
 
 def _spanning(doc: np.ndarray, mark: np.ndarray, weight: np.ndarray, left: np.ndarray, label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links from texts that ``left`` marks to others that join different labels: as few as connect them.
 
-    Counts of shared shingles give the exact similarity where a text's weights are equal.  Other pairs are first
-    bounded from above by the products of the square roots of their shares, then computed one by one.
+    Products of weights with shared shingles bound all similarities at once (exactly where a text's weights are
+    equal); only pairs within the bound are computed one by one.
     """
     n = len(left)
     size = np.bincount(doc, minlength=n)
@@ -204,19 +223,20 @@ def _spanning(doc: np.ndarray, mark: np.ndarray, weight: np.ndarray, left: np.nd
     total = np.bincount(doc, weights=weight, minlength=n)
     plain = np.bincount(doc, weights=weight * weight, minlength=n) * size == total * total
     order = np.argsort(mark, kind="stable")
-    sorted_mark, sorted_doc = mark[order], doc[order]
-    new = np.concatenate(([True], sorted_mark[1:] != sorted_mark[:-1])) if len(mark) else np.empty(0, bool)
+    new = np.concatenate(([True], mark[order][1:] != mark[order][:-1])) if len(mark) else np.empty(0, bool)
     place = np.cumsum(new) - 1
     shared = np.bincount(place) > 1 if len(place) else np.empty(0, bool)
     keep = shared[place]
-    place, d = (np.cumsum(shared) - 1)[place[keep]], sorted_doc[keep]
-    common = _products(d, place, np.ones(len(d), np.float32), left)
+    place, d, w = (np.cumsum(shared) - 1)[place[keep]], doc[order][keep], weight[order][keep]
+    one = np.ones(len(d))
     rows, cols = np.nonzero(left)[0], np.nonzero(~left)[0]
-    near = (common > 0) & (common >= similarity * (size[rows][:, None] + size[cols] - common))
     both = plain[rows][:, None] & plain[cols]
-    if not both.all():
-        bound = _products(d, place, np.sqrt(weight[order][keep] / total[d]).astype(np.float32), left)
-        near = np.where(both, near, bound >= similarity - 1e-3)
+    if both.all():
+        common = _products(d, place, one, one, left)
+        near = (common > 0) & (common >= similarity * (size[rows][:, None] + size[cols] - common))
+    else:
+        near = most_alike(total[rows][:, None], total[cols], _products(d, place, w, one, left), _products(d, place, one, w, left)) >= similarity - 1e-4
+    sure = bool(both.all())
     root = np.unique(label, return_inverse=True)[1]
     out = []
     for r, i in enumerate(rows.tolist()):
@@ -224,7 +244,7 @@ def _spanning(doc: np.ndarray, mark: np.ndarray, weight: np.ndarray, left: np.nd
             j = int(cols[c])
             if root[i] != root[j]:
                 x, y = slice(cut[i], cut[i + 1]), slice(cut[j], cut[j + 1])
-                if both[r, c] or alike(mark[x], weight[x], mark[y], weight[y], similarity):
+                if sure or alike(mark[x], weight[x], mark[y], weight[y], similarity):
                     out.append((i, j))
                     root[root == root[j]] = root[i]
     return out
