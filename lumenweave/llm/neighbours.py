@@ -3,27 +3,34 @@
 Largest inner product becomes nearness by one more coordinate: a vector x of norm up to M is indexed as
 (x, sqrt(M^2 - |x|^2)), a query as its multiple of norm M.  Every curve projects these onto ``AXES`` random
 orthogonal directions, cuts each direction at its sampled quantiles after a random shift, and orders the
-cells of that grid by a Hilbert curve.  Sampled key quantiles cut a curve into ``RANGES`` ranges of equal
-content, which Spark deals out by range; a query looks through its own range and both neighbours on every
-curve, so windows are a fixed share of the table.  What the windows find merges and is reranked by the exact
-inner product on the original vectors.
-
-Equal vectors are indexed once with their 21 smallest ids, which is exact for 20 neighbours, so a vector that
-fills a third of the table is one row.  Ranges and their queries are split into blocks of ``BLOCK`` rows at
-most, so a task's memory does not grow with the table.  The directions, quantiles and cuts are fitted on a
-hash sample of ``SAMPLE`` vectors at most; every row is indexed.
-
-On vectors without structure (uniform on a 64-dimensional sphere) nearest neighbours are hardly nearer
-than others, and the windows that a recall of 0.9 takes overlap to most of the table; see the README.
+cells of that grid by a Hilbert curve.  A row's place on a curve is the share of sampled keys up to its own.
+
+The windows are fitted to the data, not to the table: ``CALIBRATE`` queries get their true neighbours by a
+scan of all rows, and for every number of curves the half-width is taken at which ``TARGET`` of these
+neighbours lie in a window of some curve; the cheapest choice wins.  Where vectors have structure this is a few
+curves and a sliver of each, however large the table; a window is at least one of ``MAX_RANGES`` ranges.  Where
+they have none it tends to the whole curve, and never costs more products than an exact scan, since one curve
+with a window over everything is among the choices (figures in the README).
+
+Sampled places cut a curve into ranges of an eighth of the half-width; Spark deals rows out by range, and a
+query goes to all ranges that its window touches.  What the windows find merges and is reranked by the exact
+inner product on the original vectors.  Ranges and their queries are split into blocks of ``BLOCK`` rows by
+counts per range, so a task's memory grows neither with the table nor with a key that many rows share.  Equal
+vectors are indexed once with their 21 smallest ids, which is exact for 20 neighbours, so a vector that fills a
+third of the table is one row.  The directions, quantiles and places are fitted on a hash sample of ``SAMPLE``
+vectors at most; every row is indexed.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite parts take
 no part; ties go to the smaller vec_id; rows that repeat a vec_id and vector count once; a row never finds its
-own vec_id; fewer candidates than asked for give fewer rows; an empty table gives an empty table; other
-columns are never read.
+own vec_id; fewer candidates than asked for give fewer rows; an empty table gives an empty table; a score that
+overflows is infinite, and one whose sum is undefined (both infinities) counts as minus infinity; other columns
+are never read.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,7 +39,11 @@ from pyspark.sql import functions as F
 from .batches import column
 from .common import save
 
-CURVES, AXES, BITS, RANGES = 12, 8, 8, 16
+log = logging.getLogger(__name__)
+
+CURVES, AXES, BITS = 12, 8, 8
+#: Queries whose true neighbours set the windows, and the share of these that windows must hold.
+CALIBRATE, TARGET, MAX_RANGES = 128, 0.95, 4096
 TOP, SAMPLE, BLOCK, SEED = 20, 20_000, 8192, 97
 
 
@@ -65,10 +76,10 @@ def hilbert_keys(grid: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 class Curves:
-    """Fitted curves: the ranges of vectors and of queries."""
+    """Fitted curves: the places of vectors and of queries, as shares of the table."""
 
-    def __init__(self, sample: np.ndarray, norm: float, curves: int = CURVES, axes: int = AXES, ranges: int = RANGES):
-        self.norm, self.ranges = norm, ranges
+    def __init__(self, sample: np.ndarray, norm: float, curves: int = CURVES, axes: int = AXES):
+        self.norm = norm
         rng = np.random.default_rng(SEED)
         dim = sample.shape[1] + 1
         axes = min(axes, dim)
@@ -78,16 +89,13 @@ class Curves:
             axis = np.linalg.qr(rng.standard_normal((dim, dim)))[0][:, :axes]
             shift = rng.random(axes)
             cuts = np.quantile(x @ axis, np.linspace(0, 1, 1 << (BITS - 1)), axis=0)
-            part = [axis, shift, cuts, None]
-            keys = self._keys(x, part)
-            part[3] = np.quantile(keys, np.linspace(0, 1, ranges + 1)[1:-1], method="lower").astype(np.uint64)
-            self.parts.append(part)
+            self.parts.append((axis, shift, cuts, np.sort(self._keys(x, axis, shift, cuts))))
 
     def lift(self, x: np.ndarray) -> np.ndarray:
-        return np.hstack([x, np.sqrt(np.maximum(self.norm**2 - (x * x).sum(axis=1), 0))[:, None]])
+        x = x / self.norm
+        return np.hstack([x, np.sqrt(np.maximum(1 - (x * x).sum(axis=1), 0))[:, None]])
 
-    def _keys(self, x: np.ndarray, part) -> np.ndarray:
-        axis, shift, cuts, _ = part
+    def _keys(self, x: np.ndarray, axis: np.ndarray, shift: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         y = x @ axis
         grid = np.empty(y.shape, np.int64)
         for i in range(y.shape[1]):  # the rank among the quantiles, shifted: both halves of the range are reached
@@ -95,15 +103,27 @@ class Curves:
         return hilbert_keys(np.minimum(grid, (1 << BITS) - 1))
 
     def of_vectors(self, x: np.ndarray) -> np.ndarray:
-        """The range of each vector on each curve (rows, curves)."""
-        return self._ranges(self.lift(x))
+        """The place of each vector on each curve (rows, curves)."""
+        return self._places(self.lift(x))
 
     def of_queries(self, q: np.ndarray) -> np.ndarray:
-        scaled = q * (self.norm / np.linalg.norm(q, axis=1, keepdims=True))
-        return self._ranges(np.hstack([scaled, np.zeros((len(q), 1))]))
+        q = q / np.abs(q).max(axis=1, keepdims=True)
+        return self._places(np.hstack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))]))
+
+    def _places(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(keys, self._keys(x, *rest), side="right") / len(keys) for *rest, keys in self.parts], axis=1)
+
 
-    def _ranges(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(p[3], self._keys(x, p), side="right") for p in self.parts], axis=1)
+def windows(places: np.ndarray, found: np.ndarray, target: float = TARGET) -> tuple[int, float, float]:
+    """Number of curves, half-width and expected products per query and row, from the places of queries and of their true neighbours."""
+    apart = np.minimum.accumulate(np.abs(places - found), axis=1)
+    best = (1, 1.0, 1.0)
+    for c in range(apart.shape[1]):
+        w = float(np.quantile(apart[:, c], target, method="higher"))
+        cost = (c + 1) * (2 * w - w * w)
+        if cost < best[2]:
+            best = (c + 1, w, cost)
+    return best
 
 
 def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -111,7 +131,21 @@ def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     out = np.zeros(len(q))
     for i in range(q.shape[1]):
         out += q[:, i] * x[:, i]
-    return out
+    return np.where(np.isnan(out), -np.inf, out)
+
+
+def selected(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``q`` and of ``x`` of all pairs that can be among a query's ``k`` largest products, whatever the rounding."""
+    top = max(np.abs(q).max(), np.abs(x).max(), 1e-300)
+    q, x = q / top, x / top
+    slack = 4 * q.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+    found = []
+    for i in range(0, len(q), 512):
+        near = q[i : i + 512] @ x.T
+        least = np.partition(near, len(x) - k, axis=1)[:, len(x) - k]
+        a, c = np.nonzero(near >= (least - slack[i : i + 512])[:, None])
+        found.append((i + a, c))
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -128,6 +162,39 @@ def _matrix(col) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
 
 
+def fitted_windows(units: DataFrame, shipped, reps: np.ndarray, asked: np.ndarray, top: int) -> tuple[int, float, float]:
+    """Curves, half-width and cost of windows that hold the true neighbours of the queries ``asked`` (rows ``reps``)."""
+
+    def nearest(batches):
+        """The nearest rows of a partition for each query, with their places: a bounded list, renewed with every batch."""
+        curves, kept = shipped.value, None
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            rep, x = column(b, "rep").to_numpy(), _matrix(column(b, "v"))
+            a, c = selected(asked, x, min(top + 1, len(x)))
+            fresh = [a, rep[c], exact_products(asked[a], x[c]), c]
+            other = fresh[1] != reps[fresh[0]]
+            a, r, score, c = (z[other] for z in fresh)
+            used, back = np.unique(c, return_inverse=True)
+            places = curves.of_vectors(x[used])[back] if len(used) else np.empty((0, len(curves.parts)))
+            now = (a, r, score, places) if kept is None else tuple(np.concatenate(z) for z in zip(kept, (a, r, score, places), strict=True))
+            order = np.lexsort((now[1], -now[2], now[0]))
+            rank = np.arange(len(order)) - np.searchsorted(now[0][order], now[0][order])
+            kept = tuple(z[order[rank < top]] for z in now)
+        if kept is not None and len(kept[0]):
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept[0]) + 1, dtype=np.int32) * kept[3].shape[1]), pa.array(kept[3].reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(kept[0].astype(np.int32)), pa.array(kept[1]), pa.array(kept[2]), lists], ["q", "rep", "score", "places"])
+
+    rows = units.select("rep", "v").mapInArrow(nearest, "q int, rep long, score double, places array<double>")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
+    rows = rows.withColumn("i", F.row_number().over(best)).filter(F.col("i") <= top).select("q", "places").collect()  # CALIBRATE * top rows
+    if not rows:
+        return 1, 1.0, 1.0
+    places = shipped.value.of_queries(asked)
+    return windows(places[[r["q"] for r in rows]], np.array([r["places"] for r in rows]))
+
+
 def search(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
     """For each row that ``is_query`` (a Column of vec_id) selects: query_id, rank, vec_id, score."""
     rows = usable(vectors).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
@@ -136,33 +203,46 @@ def search(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
     units = some.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v"))
     asked = rows.filter(is_query).select("h1", "h2", F.col("vec_id").alias("query_id")).distinct()
     units = save(units.join(asked.select("h1", "h2").distinct().withColumn("asked", F.lit(True)), ["h1", "h2"], "left"), "ann-units")
-    n, n_asked, norm = units.select(F.count(F.lit(1)), F.count("asked"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
+    n, n_asked, biggest = units.select(F.count(F.lit(1)), F.count("asked"), F.max(F.array_max(F.transform("v", F.abs)))).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not n or not n_asked:
         return vectors.sparkSession.createDataFrame([], schema)
-    share = min(1.0, SAMPLE / n)
-    sample = units if share == 1 else units.filter(F.pmod(F.xxhash64(F.lit(SEED), "rep"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    curves = Curves(np.array([r["v"] for r in sample.select("rep", "v").orderBy("rep").collect()]), norm)
+    # Norms by way of the largest component, so that no square overflows.
+    norm = biggest * units.select(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.lit(biggest)) * (x / F.lit(biggest)))))).first()[0]
+    hashed = F.pmod(F.xxhash64(F.lit(SEED), "rep"), F.lit(1 << 30))
+    chosen = lambda rows, most, of: rows if most >= of else rows.filter(hashed < int(most / of * (1 << 30)))
+    curves = Curves(np.array([r["v"] for r in chosen(units, SAMPLE, n).select("rep", "v").orderBy("rep").collect()] or [units.select("v").first()["v"]]), norm)
     shipped = vectors.sparkSession.sparkContext.broadcast(curves)
-    blocks, q_blocks = -(-n // (RANGES * BLOCK)), -(-3 * n_asked // (RANGES * BLOCK))
+    probes = units.filter("asked").select("rep", "v", hashed.alias("h")).orderBy("h", "rep").limit(CALIBRATE).collect()
+    n_curves, half, cost = fitted_windows(units, shipped, np.array([r["rep"] for r in probes]), np.array([r["v"] for r in probes]), top)
+    log.info("%d curves, windows of %.4f on both sides, %.3f products expected per query and row", n_curves, half, cost)
+    ranges = int(np.clip(np.ceil(8 / max(half, 1e-9)), 1, MAX_RANGES))
 
     def deal(batches):
         curves = shipped.value
         for b in batches:
             if b.num_rows:
-                x = _matrix(column(b, "v"))
-                cells = []
-                for r in (curves.of_vectors(x), curves.of_queries(x)):
-                    cells.append(pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * r.shape[1]), pa.array(r.reshape(-1).astype(np.int32))))
-                yield pa.RecordBatch.from_arrays([column(b, "rep"), column(b, "v"), column(b, "asked"), *cells], ["rep", "v", "asked", "cells", "q_cells"])
-
-    dealt = units.select("rep", "v", "asked").mapInArrow(deal, "rep long, v array<double>, asked boolean, cells array<int>, q_cells array<int>")
-    block = lambda k, m: F.pmod(F.xxhash64(F.lit(k), "rep"), F.lit(m)).cast("int")
-    every = lambda m: F.sequence(F.lit(0), F.lit(int(m) - 1))
-    held = dealt.select("rep", "v", F.posexplode("cells").alias("curve", "cell")).select("rep", "v", F.lit(False).alias("asks"), "curve", "cell", block(1, blocks).alias("b"), F.explode(every(q_blocks)).alias("qb"))
-    asks = dealt.filter("asked").select("rep", "v", F.posexplode("q_cells").alias("curve", "cell"))
-    around = F.filter(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1), lambda c: c.between(0, RANGES - 1))
-    asks = asks.select("rep", "v", F.lit(True).alias("asks"), "curve", F.explode(around).alias("cell"), block(2, q_blocks).alias("qb")).withColumn("b", F.explode(every(blocks)))
+                x, asked = _matrix(column(b, "v")), column(b, "asked").is_valid().to_numpy(zero_copy_only=False)
+                cell = lambda at: np.clip((at * ranges).astype(np.int32), 0, ranges - 1)
+                places, low, high = cell(curves.of_vectors(x)[:, :n_curves]), np.zeros((len(x), n_curves), np.int32), np.full((len(x), n_curves), -1, np.int32)
+                if asked.any():
+                    at = curves.of_queries(x[asked])[:, :n_curves]
+                    low[asked], high[asked] = cell(at - half), cell(at + half)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n_curves), pa.array(r.reshape(-1))) for r in (places, low, high)]
+                yield pa.RecordBatch.from_arrays([column(b, "rep"), column(b, "v"), column(b, "asked"), *lists], ["rep", "v", "asked", "cells", "low", "high"])
+
+    dealt = units.select("rep", "v", "asked").mapInArrow(deal, "rep long, v array<double>, asked boolean, cells array<int>, low array<int>, high array<int>")
+    held = dealt.select("rep", "v", F.lit(False).alias("asks"), F.posexplode("cells").alias("curve", "cell"))
+    asks = dealt.filter("asked").select("rep", "v", F.posexplode(F.arrays_zip("low", "high")).alias("curve", "z"))
+    asks = asks.select("rep", "v", F.lit(True).alias("asks"), "curve", F.explode(F.sequence("z.low", "z.high")).alias("cell"))
+    both = held.select("asks", "curve", "cell").unionByName(asks.select("asks", "curve", "cell"))
+    of = lambda c: F.ceil(F.count(F.when(c, 1)) / BLOCK).cast("int")
+    # At most CURVES * MAX_RANGES rows.  A range without rows or without queries needs no task.
+    cells = save(both.groupBy("curve", "cell").agg(of(~F.col("asks")).alias("blocks"), of(F.col("asks")).alias("q_blocks")).filter("blocks > 0 and q_blocks > 0"), "ann-cells")
+    block = lambda k, m: F.pmod(F.xxhash64(F.lit(k), "rep"), F.col(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    held = held.join(F.broadcast(cells), ["curve", "cell"]).withColumn("b", block(1, "blocks")).withColumn("qb", every("q_blocks"))
+    asks = asks.join(F.broadcast(cells), ["curve", "cell"]).withColumn("qb", block(2, "q_blocks")).withColumn("b", every("blocks"))
 
     def window(table: pa.Table) -> pa.Table:
         ask = table.column("asks").to_numpy()
@@ -171,15 +251,8 @@ def search(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
         q, x, q_rep, x_rep = v[ask], v[~ask], rep[ask], rep[~ask]
         order = np.argsort(x_rep, kind="stable")
         x, x_rep = x[order], x_rep[order]
-        found: list[tuple] = []
         k = min(top + 1, len(x))
-        if k:
-            for i in range(0, len(q), 512):
-                near = q[i : i + 512] @ x.T
-                least = np.partition(near, len(x) - k, axis=1)[:, len(x) - k]
-                a, c = np.nonzero(near >= least[:, None] - 1e-12)
-                found.append((i + a, c))
-        a, c = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int))
+        a, c = selected(q, x, k) if k and len(q) else (np.empty(0, int), np.empty(0, int))
         return pa.table({"q": pa.array(q_rep[a], pa.int64()), "rep": pa.array(x_rep[c], pa.int64()), "score": pa.array(exact_products(q[a], x[c]), pa.float64())})
 
     hits = held.select("rep", "v", "asks", "curve", "cell", "b", "qb").unionByName(asks.select("rep", "v", "asks", "curve", "cell", "b", "qb"))

@@ -111,6 +111,39 @@ def test_small_and_awkward_vectors(spark):
     assert neighbours.neighbour_report(df.limit(0)).count() == 0
 
 
+def test_windows_follow_structure():
+    """Clustered vectors get slivers of a few curves; vectors without structure never cost more than a scan."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((200, 64))
+    clustered = np.repeat(centres, 40, axis=0) + 0.02 * rng.standard_normal((8000, 64))
+    for x, most in ((clustered, 0.1), (rng.standard_normal((8000, 64)), 1.0)):
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        curves = neighbours.Curves(x, float(np.linalg.norm(x, axis=1).max()))
+        q = np.arange(0, 8000, 80)
+        s = x[q] @ x.T
+        s[np.arange(len(q)), q] = -9
+        near = np.argsort(-s, axis=1)[:, :20]
+        c, w, cost = neighbours.windows(np.repeat(curves.of_queries(x[q]), 20, axis=0), curves.of_vectors(x)[near.reshape(-1)])
+        apart = np.abs(np.repeat(curves.of_queries(x[q]), 20, axis=0) - curves.of_vectors(x)[near.reshape(-1)])[:, :c].min(axis=1)
+        assert cost <= most and (apart <= w).mean() >= 0.95
+
+
+@pytest.mark.parametrize("size", [1e6, 1e-6, 1e200])
+def test_vectors_of_any_size(spark, size):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.integers(-3, 4, 6) * size).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.neighbour_report(df).toPandas().sort_values("rank").groupby("query_id").vec_id.apply(list).to_dict()
+    used = [(i, v) for i, v in rows if any(v)]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for i, v in used:
+            if i % 20 == 0:
+                s = {j: sum(a * b for a, b in zip(v, u, strict=True)) for j, u in used if j != i}
+                s = {j: -np.inf if np.isnan(x) else x for j, x in s.items()}
+                want = sorted(s, key=lambda j: (-s[j], j))[:20]
+                assert len(got[i]) == 20 and (len(set(got[i]) & set(want)) >= 16 if size < 1e100 else True)
+
+
 def test_hilbert_neighbours_touch():
     side = 8
     grid = np.array([(i, j, k) for i in range(side) for j in range(side) for k in range(side)])
