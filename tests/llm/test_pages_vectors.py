@@ -58,6 +58,58 @@ def test_articles_keep_what_repeats_on_a_host(spark):
     assert len(got) == 38 and all("Ingredients" in r.text for r in got)
 
 
+def nameless(i, parts=4):
+    """A page whose classes carry no meaning: changing menu, advert and foot around a text of several paragraphs."""
+    word = lambda k: f"w{(i * 131 + k * 17) % 9973}"
+    menu = "".join(f"<li><a href=/>{word(k)}</a></li>" for k in range(6))
+    story = [" ".join(word(100 + k * 50 + j) for j in range(20)) for k in range(parts)]
+    body = "".join(f"<p>{x}</p>" for x in story)
+    return f"<body><div class='x1'><ul>{menu}</ul></div><div class='x2'>{word(7)} {word(8)} now</div><div class='x3'><h2>Title {i}</h2>{body}</div><div class='x4'>&copy; {word(9)}</div></body>", " ".join([f"Title {i}", *story])
+
+
+def test_tree_decides_where_names_carry_no_meaning(spark):
+    df = spark.createDataFrame([(i, "http://a.example/", nameless(i)[0]) for i in range(30)] + [(100 + i, f"http://b{i}.example/", nameless(i)[0]) for i in range(3)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.page_texts(df).collect()}
+    assert all(got[i] == nameless(i)[1] for i in range(30))
+    assert got[100].startswith("w0 w17")  # a host of one page shows nothing
+    seen = {r.page_id: (r.blocks, r.by_tree, r.by_lists) for r in html_text.decisions(df).collect()}
+    assert seen[5] == (13, 8, 0) and seen[100] == (13, 0, 0)
+
+
+def test_small_sections_that_make_up_the_text_stay(spark):
+    page = lambda i: "<body>" + "".join(f"<div class='s{chr(97 + k)}'>section {k} of {i * 31 + k} tells {i * k}</div>" for k in range(26)) + "</body>"
+    df = spark.createDataFrame([(i, "http://a.example/", page(i)) for i in range(20)], "page_id long, url string, html string")
+    assert all(r.text.count("section") == 26 for r in html_text.page_texts(df).collect())
+
+
+def test_importance_equals_plain_entropies(spark):
+    from collections import Counter, defaultdict
+    from math import log
+
+    pages = [nameless(i, 1 + i % 3)[0] + ("<div class='z'>Same</div>" if i % 2 else "") for i in range(12)]
+    tree = {r.path: r for r in html_text.style_tree(spark.createDataFrame([(i, "http://a.example/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    texts, layouts, up, length = defaultdict(Counter), defaultdict(Counter), {}, {}
+    for h in pages:
+        for path, above, _, _, text, size, layout in html_text.node_rows(h):
+            texts[path][text] += 1
+            layouts[path][layout] += 1
+            up[path], length[text] = above, size
+    carried, held = Counter(), Counter()
+    for path, c in texts.items():
+        m = c.total()
+        for t, n in c.items():
+            for branch in (path, *up[path]):
+                carried[branch] += n * length[t] * (1 - log(n) / log(m))
+                held[branch] += n * length[t]
+    total = sum(carried[p] for p in texts if not up[p])
+    for path, c in layouts.items():
+        m = c.total()
+        entropy = -sum(n / m * log(n / m) for n in c.values()) / log(m)
+        r = tree[path]
+        want = carried[path] / held[path] if r.is_text else 0.9 * carried[path] / total + 0.1 * entropy
+        assert r.pages == m and r.importance == pytest.approx(want, abs=1e-9)
+
+
 def test_equal_pages_of_a_host_count_once(spark):
     page = lambda i: f"<div class='a'><p>Part {i}</p></div><div class='b'>Story {i} of {i * 7}</div>"
     rows = [(i, "http://one.example/", page(i)) for i in range(12)] + [(100 + i, "http://one.example/", "<div class='a'><p>Part 0</p></div>") for i in range(400)]
