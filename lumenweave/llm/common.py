@@ -1,15 +1,15 @@
-"""What the operators of this subpackage share: words, row keys, shared storage, size checks."""
+"""What the operators of this subpackage share: words and row keys, beside the library's storage and size checks."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import small as broadcast_if_small
+from ..storage import written as save
+
+__all__ = ["P", "WORD", "broadcast_if_small", "row_key", "save", "table", "with_nodes", "word_count"]
+
 #: A word: a maximal run of anything but ASCII white space (Java, Python and RE2 syntax alike).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Prefix of every helper column, so that columns of the input never clash with ours.
@@ -20,56 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_dir.get() if set_dir.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="lumenweave-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-_SAVED: list[str] = []
-
-
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _SAVED.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the tables that this process has saved, once no result that reads them is needed any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _SAVED:
-        path = jvm.org.apache.hadoop.fs.Path(_SAVED.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
-def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
-    """Mark ``df`` for broadcast only after measuring that it holds at most ``most`` units.
-
-    A row, an element of an array and 16 characters of a string are a unit each, so a million units stay near
-    30 MB.  Beyond the bound the plain frame returns and Spark joins it by a shuffle, splitting skewed keys.
-    ``df`` should be cheap to read twice (a saved table).
-    """
-    units = F.lit(1)
-    for c, kind in df.dtypes:
-        if kind.startswith("array"):
-            units = units + F.coalesce(F.size(F.col(c)), F.lit(0))
-        elif kind == "string":
-            units = units + F.coalesce(F.length(F.col(c)), F.lit(0)) / 16
-    total = df.agg(F.sum(units)).first()[0] or 0
-    return F.broadcast(df) if total <= most else df
-
-
 def row_key(doc_id: Column, text: Column) -> Column:
     """Key of a row's content.  Rows with equal id and text share it, and every operator gives them equal results."""
     return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), F.xxhash64(text, F.lit(7)).cast("string"))

@@ -134,6 +134,46 @@ def test_contexts_find_unseen_identifiers(spark):
     assert not any(got[200 + i] for i in range(40))
 
 
+def test_discovered_identifiers_make_further_patterns(spark):
+    """An account found through its context induces the context in which others are found, a round later."""
+    name = lambda i: f"acct{i:03d}x@intra{'q' * (i % 9)}"
+    rows = [(1000 + i, f"please write to c{i}@mail.example.com for details {'z' * (i % 7)}") for i in range(400)]
+    rows += [(100 + i, f"please write to {name(i)} for details") for i in range(20)] + [(200 + i, f"forward everything towards {name(i)} during holidays") for i in range(20)]
+    rows += [(300, "forward everything towards another@place9 during holidays")] + [(400 + i, f"there were {i} apples in 20{i:02d} and more") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.pii_report(df).collect()}
+    assert all("email" in got[i] for i in (*range(100, 120), *range(200, 220), 300)) and not any(got[400 + i] for i in range(40))
+    once = {r.doc_id: bool(r.added) for r in pii.find(df, rounds=1).collect()}
+    assert once[100] and not once[300]
+
+
+def test_hidden_seeds_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = pii.hidden_recall(docs).collect()
+    hidden, right, beyond = (sum(r[c] for r in rows) for c in ("hidden", "right", "beyond_base"))
+    print(rows, file=open("/tmp/res3", "w"))
+    assert hidden > 100 and right >= 0.5 * hidden and beyond <= 0.1 * (right + 1)
+
+
+def plain_redaction(t, spans):
+    out, at = [], 0
+    for s, e, k in sorted((int(s), int(e), list(FORMS).index(k)) for k, s, e in (x.split(":") for x in spans.split(",") if x)):
+        if s >= at:
+            out += [t[at:s], f"<{list(FORMS)[k]}>"]
+        at = max(at, e)
+    return "".join(out) + t[at:]
+
+
+def test_redaction_equals_a_plain_loop(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    texts += [" ".join(f"u{i}@mail{i % 7}.example.com{'é😀' * (i % 3)}" for i in range(5000)), "x" * 511 + " a@b.co", "x" * 509 + " a@b.co 1.2.3.4 +1 2345678901@x.yz", "a" * 3000 + "@b.co", "\n" * 600 + "4111 1111 1111 1111"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.pii_report(docs).collect()}
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (t if t is None else plain_redaction(t, spans[i]))
+
+
 def test_redaction(spark, awkward):
     docs = docs_of(spark, [(1, "mail a@b.co or +1 2345678901, ok", "en", "s"), (1, None, "en", "s"), (2, "clean", "en", "s"), (3, "a@b.co", "en", "s"), (3, "a@b.co", "en", "s")])
     out = pii.redact(docs)

@@ -1,25 +1,9 @@
-from pathlib import Path
-
 from lumenweave.llm import common
 
 
-def test_saved_tables_are_released(spark):
-    df = common.save(spark.range(5), "t")
-    path = Path(common._SAVED[-1].removeprefix("file:"))
-    assert df.count() == 5 and path.exists()
-    keep = common._SAVED[:-1]
-    common._SAVED[:] = common._SAVED[-1:]
-    common.release(spark)
-    assert not path.exists() and not common._SAVED
-    common._SAVED[:] = keep
-
-
 def test_equal_nodes_only_for_equal_texts(spark):
     df = common.with_nodes(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "doc_id long, text string"))
     rows = {r.doc_id: r["_lw_t"] for r in df.collect()}
     assert rows[1] == rows[2] != rows[3] and rows[4] is None
 
 
-def test_broadcast_only_if_small(spark):
-    small, large = common.broadcast_if_small(spark.range(3), 3), common.broadcast_if_small(spark.range(4), 3)
-    assert "ResolvedHint" in small._jdf.queryExecution().toString() and "ResolvedHint" not in large._jdf.queryExecution().toString()
