@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from ..storage import written
 from . import sizing
 
 LOG = logging.getLogger("lumenweave")
+#: Spark's conditions for a folder that isn't there, or has no table yet.
+NO_CACHE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 @dataclass
@@ -37,8 +40,10 @@ def count(spark: SparkSession, polygons: DataFrame, building_path: str, config:
     if cache_path is not None:
         try:
             known = written(cache.load(spark, cache_path, hashes, config).select("project_id", "hp_id", "lon", "lat", "poly_no", "nome"), "cached-hps")
-        except Exception as e:  # no cache yet, or one of another layout
-            LOG.info("cache not used: %s", type(e).__name__)
+        except AnalysisException as e:
+            if e.getCondition() not in NO_CACHE:
+                raise
+            LOG.info("no cache yet: %s", e.getCondition())
     todo = polygons if known is None else polygons.join(known.select("project_id").distinct(), "project_id", "left_anti")
     box = todo.agg(F.min("min_x"), F.min("min_y"), F.max("max_x"), F.max("max_y")).first()
     fresh = None
@@ -59,9 +64,9 @@ def count(spark: SparkSession, polygons: DataFrame, building_path: str, config:
 
 
 def write(c: Count, path: str, config: dict) -> None:
-    """Sizing as JSON lines and HPs as map layers, one folder for each project."""
-    publish.sizing_json(c.sizing, config).write.mode("overwrite").partitionBy("project_id").text(f"{path}/sizing")
-    kml.hp_layer(c.hps, ["project_id"]).write.mode("overwrite").partitionBy("project_id").text(f"{path}/hps")
+    """Sizing as JSON lines and HPs as map layers, one folder for each project; other projects' folders stay."""
+    for df, name in ((publish.sizing_json(c.sizing, config), "sizing"), (kml.hp_layer(c.hps, ["project_id"]), "hps")):
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").text(f"{path}/{name}")
 
 
 def one_route(spark: SparkSession, streets: DataFrame, origin, destination, config: dict, limit_m: float | None = None, kind: str = "distribuicao"):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.placement import OLT_ICON
 from ..plans.network import Plan, report
 from ..plans.sizing import report_map
+from ..storage import written
 from . import kml
 
 LOG = logging.getLogger("lumenweave")
@@ -35,13 +36,30 @@ def layers(p: Plan) -> DataFrame:
     return out
 
 
+def _drop_stale(made: DataFrame, projects: DataFrame, path: str) -> None:
+    """Deletes the layer folders of ``projects`` that are not among the layers ``made``."""
+    spark = made.sparkSession
+    there = spark.read.text(path).select(F.col("project_id").cast("string").alias("project_id"), "layer").distinct()
+    named = lambda df: df.select(F.col("project_id").cast("string").alias("project_id"), *[c for c in df.columns if c == "layer"]).distinct()
+    stale = there.join(named(projects), "project_id", "left_semi").join(named(made), ["project_id", "layer"], "left_anti")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for r in stale.collect():  # folders that are gone since the last publishing
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/project_id={r['project_id']}/layer={r['layer']}")
+        place.getFileSystem(conf).delete(place, True)
+
+
 def publish(p: Plan, path: str) -> None:
     """Writes layers as text and reports as JSON lines under ``path``, one folder for each project and layer.
 
-    All layers are replaced as a whole, so stale ones (an OLT, backbone or exceptions that are gone) vanish.
+    The projects of this plan are replaced as a whole, so their stale layers (an OLT, backbone or exceptions that are
+    gone) vanish; other projects under ``path`` stay as they are.
     """
-    layers(p).write.mode("overwrite").partitionBy("project_id", "layer").option("lineSep", "\n").text(f"{path}/layers")
-    report(p).write.mode("overwrite").json(f"{path}/reports")
+    made, reports = written(layers(p), "layers"), written(report(p), "reports")
+    alone = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    alone(made).partitionBy("project_id", "layer").option("lineSep", "\n").text(f"{path}/layers")
+    alone(reports).partitionBy("project_id").json(f"{path}/reports")
+    if made.limit(1).count():
+        _drop_stale(made.select("project_id", "layer"), reports.select("project_id"), f"{path}/layers")
     LOG.info("published to %s", path)
 
 

@@ -31,6 +31,22 @@ def test_from_files_to_sizing(spark, tmp_path):
     assert json.loads(text)["dimensionamento"]["regra_cto"] == "cobertura_hp"
 
 
+def test_projects_are_written_side_by_side(spark, tmp_path):
+    sized = lambda n: spark.createDataFrame([(n, 20)], "project_id long, hp long")
+    for n in (1, 2, 1):
+        hps = spark.createDataFrame([(n, 1, 0.0, 0.0)], "project_id long, hp_id long, lon double, lat double")
+        counting.write(counting.Count(hps, hps, counting.sizing.sized(sized(n), DEFAULT), False), str(tmp_path), DEFAULT)
+    assert sorted(x.name for x in (tmp_path / "sizing").glob("project*")) == sorted(x.name for x in (tmp_path / "hps").glob("project*")) == ["project_id=1", "project_id=2"]
+
+
+def test_a_broken_cache_is_not_taken_for_none(spark, tmp_path):
+    (tmp_path / "cache/metadata").mkdir(parents=True)
+    (tmp_path / "cache/metadata/part.parquet").write_text("not a table")
+    polys = spark.createDataFrame([(1, 1, "A", [[[0.0, 0.0], [0.0, 1.0], [1.0, 1.0], [0.0, 0.0]]], 0.0, 0.0, 1.0, 1.0)], "project_id long, poly_no long, nome string, rings array<array<array<double>>>, min_x double, min_y double, max_x double, max_y double")
+    with pytest.raises(Exception, match="(?i)parquet|footer|magic"):
+        counting.count(spark, polys, str(tmp_path / "none"), DEFAULT, str(tmp_path / "cache"))
+
+
 def test_one_route(spark):
     s = spark.createDataFrame([(1, 1, i, i * 0.001, 0.0) for i in range(3)], "project_id long, way_id long, seq int, lon double, lat double")
     r = counting.one_route(spark, s, (0.0, 0.0), (0.002, 0.0), DEFAULT)
