@@ -42,7 +42,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixture", mixture), ("tokens", tokens)]
-#: No SQL can express the trained classifier and the tokenizer; tests hold run() against brute-force stages.
+#: No SQL can express the trained classifier and the tokenizer.  Tests hold run() against its stages, near-duplicates
+#: against all pairs, redaction and mixing against plain loops, identifiers against the tokenizer's library.
 ORACLE_SQL = None
 
 
