@@ -45,12 +45,55 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def _fields(message: bytes):
+    """Number and value of each field of a serialised message: whole numbers, or bytes."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        tag = number()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, number()
+            continue
+        size = {1: 8, 5: 4}.get(kind)
+        size = number() if size is None else size
+        yield tag >> 3, message[at : at + size]
+        at += size
+
+
+# Numbers of fields and of the merge type in the public model format.
+TRAINER, NORMALIZER, MODEL_TYPE, MERGES = 2, 3, 3, 2
+RULES, DUMMY_PREFIX, DROP_SPACES = 2, 3, 4
+
+
+def check_model(message: bytes) -> None:
+    """Raises ``ValueError`` unless a serialised model is of the merge type and leaves texts as they are, but for a space in front."""
+    top = dict(x for x in _fields(message) if x[0] in (TRAINER, NORMALIZER))
+    if dict(_fields(top.get(TRAINER, b""))).get(MODEL_TYPE, 1) != MERGES:
+        raise ValueError("a model is supported if it is of the merge (BPE) type")
+    rules = dict(_fields(top.get(NORMALIZER, b"")))
+    if rules.get(RULES) or rules.get(DROP_SPACES, 1) or not rules.get(DUMMY_PREFIX, 1):
+        raise ValueError("a model is supported if it does not change texts, keeps all spaces and puts one in front")
+
+
 @functools.lru_cache(maxsize=4)
 def load(path: str) -> tuple:
-    """Pieces, scores and kinds (n normal, b byte, x other) of a model file, and whether a space is put in front."""
+    """Pieces, scores and kinds (n normal, b byte, x other) of a model file that ``check_model`` accepts."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    check_model(sp.serialized_model_proto())
     ids = range(sp.get_piece_size())
     kinds = "".join("b" if sp.is_byte(i) else "x" if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else "n" for i in ids)
     return tuple(sp.id_to_piece(i) for i in ids), tuple(sp.get_score(i) for i in ids), kinds

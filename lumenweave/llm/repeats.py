@@ -269,13 +269,16 @@ def spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``n_words``, ``n_removed`` and ``kept``, the words that stay, joined by one space."""
+    """``docs`` with ``n_words``, ``n_removed`` and ``kept``, the words that stay, joined by one space.
+
+    Columns of ``docs`` pass through as they are; a new column whose name one of them has gets the prefix ``_lw_``.
+    """
     rows = with_nodes(docs)
     cut = spans(rows, window)
     cut = broadcast_if_small(cut.select(F.col("t").alias(P + "cut_t"), F.col("spans").alias(P + "spans")), BROADCAST_TEXTS)
     joined = rows.join(cut, F.col(P + "t") == F.col(P + "cut_t"), "left").select(*[rows[c] for c in docs.columns], P + "spans")
-    extra = ["n_words", "n_removed", "kept"]
-    keep = [c for c in docs.columns if c not in extra]
+    keep = docs.columns
+    extra = [P + c if c in keep else c for c in ("n_words", "n_removed", "kept")]
 
     def run(batches):
         for b in chunks(batches):
@@ -292,8 +295,8 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 kept.append(" ".join([names[j] for j in mine.tolist()]))
             yield pa.RecordBatch.from_arrays([*[column(b, c) for c in keep], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [*keep, *extra])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return joined.mapInArrow(run, f"{kinds}, n_words long, n_removed long, kept string")
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    return joined.mapInArrow(run, ", ".join([*kinds, *[f"`{c}` {kind}" for c, kind in zip(extra, ("long", "long", "string"), strict=True)]]))
 
 
 def repeat_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -60,6 +60,14 @@ def test_removal_keeps_columns_and_empty_tables(docs):
     assert repeats.repeat_report(docs.limit(0)).count() == 0
 
 
+def test_removal_leaves_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(1, "a b c " * 40, 7, True), (2, None, 8, None)], "doc_id long, text string, kept long, n_removed boolean")
+    out = repeats.remove(df)
+    assert out.columns == ["doc_id", "text", "kept", "n_removed", "n_words", "_lw_n_removed", "_lw_kept"]
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[1].kept == 7 and rows[1].n_removed is True and rows[1]["_lw_n_removed"] == 120 and rows[1]["_lw_kept"] == "" and rows[2].kept == 8
+
+
 def test_automaton_equals_plain_search():
     rng = random.Random(7)
     for _ in range(30):

@@ -34,6 +34,20 @@ def test_stages(spark, stages):
     assert texts(stages[4][1]) == texts(stages[4][2])
 
 
+def test_stages_equal_brute_force(stages):
+    """Near-duplicates against all pairs, redaction against a plain loop over the spans."""
+    from test_dedup import classes
+    from test_filters import plain_redaction
+
+    from lumenweave.llm import pii
+
+    rows = [(r.doc_id, r.text) for r in stages[1][1].select("doc_id", "text").collect()]
+    assert sorted(r.doc_id for r in stages[1][2].select("doc_id").collect()) == sorted({c for _, c in classes(rows)})
+    spans = {r.doc_id: r.spans for r in pii.pii_report(stages[2][1]).collect()}
+    want = {r.doc_id: plain_redaction(r.text, spans[r.doc_id]) for r in stages[2][1].select("doc_id", "text").collect()}
+    assert {r.doc_id: r.text for r in stages[2][2].select("doc_id", "text").collect()} == want
+
+
 def test_run_equals_its_stages(spark, stages):
     a, b = corpus_pipeline.run(spark, SF), stages[-1][2]
     assert a.exceptAll(b).count() == 0 == b.exceptAll(a).count()

@@ -32,3 +32,17 @@ def test_frames(spark):
     again = pieces.decode(out.select("doc_id", "ids"))
     assert sorted(map(str, again.select("text").collect())) == sorted(map(str, docs.select(F.translate("text", "▁", " ").alias("text")).collect()))
     assert pieces.encode(docs.limit(0)).count() == 0
+
+
+def test_other_kinds_of_models_are_refused():
+    import pytest
+    import sentencepiece
+
+    given = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path()).serialized_model_proto()
+    pieces.check_model(given)
+    field = lambda n, body: bytes([n << 3 | 2, len(body)]) + body
+    merges, keeps = bytes([3 << 3, 2]), bytes([4 << 3, 0])
+    pieces.check_model(field(2, merges) + field(3, keeps))
+    for trainer, rules in ((bytes([3 << 3, 1]), keeps), (b"", keeps), (merges, b""), (merges, keeps + field(2, b"x")), (merges, keeps + bytes([3 << 3, 0]))):
+        with pytest.raises(ValueError):
+            pieces.check_model(field(2, trainer) + field(3, rules))
