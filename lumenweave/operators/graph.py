@@ -148,20 +148,22 @@ def routes(requests: DataFrame, edges: DataFrame, config: dict, limit_m: Column
 def shortest_distances(edges: DataFrame, sources: DataFrame, every: int = 3) -> DataFrame:
     """Least weight from each project's source nodes (project_id, x, y) to all nodes they reach, by relaxation.
 
-    Each round lets all reached nodes improve their neighbours; lineage is cut every few rounds, and the loop
-    ends when no node improves.
+    In each round the nodes that improved in the round before offer their neighbours a new distance; lineage is
+    cut every few rounds, and the loop ends when no node improves.
     """
-    both = edges.select("project_id", F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")).alias("u"), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")).alias("v"), "weight")
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    both = edges.select("project_id", at("x1", "y1").alias("u"), at("x2", "y2").alias("v"), "weight")
     both = written(both.unionByName(both.select("project_id", F.col("v").alias("u"), F.col("u").alias("v"), "weight")), "relax-edges")
-    best = sources.select("project_id", F.struct("x", "y").alias("v"), F.lit(0.0).alias("d"))
+    best = sources.select("project_id", F.struct("x", "y").alias("v"), F.lit(0.0).alias("d"), F.lit(True).alias("new"))
     while True:
-        last = best
         for _ in range(every):
-            step = best.withColumnRenamed("v", "u").join(both, ["project_id", "u"]).select("project_id", "v", (F.col("d") + F.col("weight")).alias("d"))
-            best = best.unionByName(step).groupBy("project_id", "v").agg(F.min("d").alias("d"))
+            front = best.filter("new").select("project_id", F.col("v").alias("u"), "d")
+            offer = front.join(both, ["project_id", "u"]).select("project_id", "v", (F.col("d") + F.col("weight")).alias("d"), F.lit(None).cast("double").alias("old"))
+            known = best.select("project_id", "v", "d", F.col("d").alias("old")).unionByName(offer)
+            least = known.groupBy("project_id", "v").agg(F.min("d").alias("d"), F.min("old").alias("old"))
+            best = least.select("project_id", "v", "d", (F.col("old").isNull() | (F.col("d") < F.col("old"))).alias("new"))
         best = written(best, "relax")
-        gain = best.join(last.withColumnRenamed("d", "old"), ["project_id", "v"], "left").filter(F.col("old").isNull() | (F.col("d") < F.col("old")))
-        if gain.limit(1).count() == 0:
+        if best.filter("new").limit(1).count() == 0:
             return best.select("project_id", F.col("v.x").alias("lon"), F.col("v.y").alias("lat"), "d")
 
 
