@@ -39,17 +39,17 @@ def without_repeats(path) -> Column:
     return F.filter(p, lambda x, i: (i == 0) | (x != F.get(p, F.greatest(i - 1, F.lit(0)))))
 
 
-def cell(x, size: float) -> Column:
+def cell(x, size: float | Column) -> Column:
     return F.floor(_c(x) / size).cast("long")
 
 
-def cells_of_box(min_x, min_y, max_x, max_y, size: float) -> Column:
+def cells_of_box(min_x, min_y, max_x, max_y, size: float | Column) -> Column:
     """Array of the grid cells (cx, cy) that a box touches."""
     ys = F.sequence(cell(min_y, size), cell(max_y, size))
     return F.flatten(F.transform(F.sequence(cell(min_x, size), cell(max_x, size)), lambda a: F.transform(ys, lambda b: F.struct(a.alias("cx"), b.alias("cy")))))
 
 
-def cells_around(x, y, size: float) -> Column:
+def cells_around(x, y, size: float | Column) -> Column:
     """The nine cells around a point's."""
     return F.flatten(F.transform(F.sequence(cell(x, size) - 1, cell(x, size) + 1), lambda a: F.transform(F.sequence(cell(y, size) - 1, cell(y, size) + 1), lambda b: F.struct(a.alias("cx"), b.alias("cy")))))
 

@@ -8,24 +8,34 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..storage import written
+from ..storage import small, written
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, keys: list[str] | None = None, size: float = 0.002) -> DataFrame:
     """Points (lon, lat) with the polygons (rings, min_x..max_y) that cover them, boundary included.
 
-    A point may match several polygons.  ``keys``: columns equal on both sides.
+    A point may match several polygons.  ``keys``: columns equal on both sides.  A polygon's cells are ``size``
+    times a power of four, so that its box touches 81 cells at most; a point looks into one cell of every power
+    that some polygon has.  Rings join only the points within the box.
     """
-    keys = keys or []
-    dealt = polygons.select("*", F.explode(geo.cells_of_box("min_x", "min_y", "max_x", "max_y", size)).alias("_c")).select("*", "_c.*").drop("_c")
-    placed = points.withColumn("cx", geo.cell("lon", size)).withColumn("cy", geo.cell("lat", size))
-    hits = placed.join(dealt, [*keys, "cx", "cy"])
-    hits = hits.filter(F.col("lon").between(F.col("min_x"), F.col("max_x")) & F.col("lat").between(F.col("min_y"), F.col("max_y")))
-    return hits.filter(geo.covered_by("lon", "lat", "rings")).drop("cx", "cy", "rings", "min_x", "min_y", "max_x", "max_y")
+    keys, box = keys or [], ["min_x", "min_y", "max_x", "max_y"]
+    numbered = written(polygons.withColumn("_p", F.monotonically_increasing_id()), "polygons")
+    extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), F.lit(0.0))
+    level = F.greatest(F.ceil(F.log(4.0, F.greatest(extent / (8 * size), F.lit(1.0)))), F.lit(0)).cast("int")
+    boxes = numbered.select(*keys, "_p", *box, level.alias("_l"))
+    levels = sorted(r[0] for r in boxes.select("_l").distinct().collect() if r[0] is not None)  # some ten at most
+    width = F.lit(size) * F.pow(F.lit(4.0), F.col("_l"))
+    dealt = boxes.select("*", F.explode(geo.cells_of_box(*box, width)).alias("_c")).select("*", "_c.*").drop("_c")
+    placed = points.withColumn("_l", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")))
+    placed = placed.withColumn("cx", geo.cell("lon", width)).withColumn("cy", geo.cell("lat", width))
+    hits = placed.join(dealt, [*keys, "_l", "cx", "cy"])
+    hits = hits.filter(F.col("lon").between(F.col("min_x"), F.col("max_x")) & F.col("lat").between(F.col("min_y"), F.col("max_y"))).drop("_l", "cx", "cy", *box)
+    hits = hits.join(small(numbered.drop(*keys, *box)), "_p")
+    return hits.filter(geo.covered_by("lon", "lat", "rings")).drop("_p", "rings")
 
 
 def nearest_node(points: DataFrame, nodes: DataFrame, point_id: str, keys: list[str], size: float = 0.001) -> DataFrame:
@@ -63,38 +73,88 @@ def nearest_node(points: DataFrame, nodes: DataFrame, point_id: str, keys: list[
     return out.select(*keys, point_id, F.col("b.node_id").alias("node_id"), F.col("b.lon").alias("node_lon"), F.col("b.lat").alias("node_lat"), geo.haversine("plon", "plat", "b.lon", "b.lat").alias("metres"))
 
 
+def nearest_nodes(points: DataFrame, nodes: DataFrame, point_id: str, keys: list[str], k: int, size: float = 0.001) -> DataFrame:
+    """For each point its ``k`` nearest nodes by planar distance (node_id, d2, rank from 1), ties to the lowest id.
+
+    Points and nodes are given as x, y in one scale.  As in ``nearest_node``, cells widen fourfold for the points
+    whose k-th node lies farther than one cell; a point with fewer than ``k`` nodes ends with all of them.
+    """
+    bounds = [F.min("x"), F.max("x"), F.min("y"), F.max("y")]
+    ends, far = nodes.agg(*bounds).first(), points.agg(*bounds).first()
+    todo = points.select(*keys, point_id, F.col("x").alias("px"), F.col("y").alias("py"))
+    nearest = Window.partitionBy(*keys, point_id).orderBy("d2", "node_id")
+    extent = 0.0
+    if ends[0] is not None and far[0] is not None:
+        extent = max(ends[1], far[1]) - min(ends[0], far[0]) + max(ends[3], far[3]) - min(ends[2], far[2])
+    out = None
+    while True:
+        last = size > extent
+        placed = todo.select("*", F.explode(geo.cells_around("px", "py", size)).alias("_c")).select("*", "_c.*").drop("_c")
+        there = nodes.select(*keys, "node_id", "x", "y", geo.cell("x", size).alias("cx"), geo.cell("y", size).alias("cy"))
+        dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
+        met = placed.join(there, [*keys, "cx", "cy"]).select(*keys, point_id, "node_id", (dx * dx + dy * dy).alias("d2"))
+        best = met.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
+        if last:
+            return best if out is None else out.unionByName(best)
+        best = written(best, "nearest-few")
+        done = best.filter((F.col("rank") == k) & (F.col("d2") <= size * size)).select(*keys, point_id)
+        final = best.join(done, [*keys, point_id], "left_semi")
+        out = final if out is None else out.unionByName(final)
+        todo = written(todo.join(done, [*keys, point_id], "left_anti"), "nearest-few-todo")
+        if todo.limit(1).count() == 0:
+            return out
+        size *= 4
+
+
 def street_segments(vertices: DataFrame, keys: list[str]) -> DataFrame:
     """Segments x1, y1, x2, y2 of consecutive vertices (way_id, seq, lon, lat)."""
-    from pyspark.sql import Window
-
     by = Window.partitionBy(*keys, "way_id").orderBy("seq")
     rows = vertices.select(*keys, "way_id", "seq", F.col("lon").alias("x1"), F.col("lat").alias("y1"), F.lead("lon").over(by).alias("x2"), F.lead("lat").over(by).alias("y2"))
     return rows.filter("x2 is not null").withColumn("seg_id", F.concat_ws(":", "way_id", "seq"))
 
 
+def _within(points: DataFrame, segs: DataFrame, keys: list[str], limit_m: float) -> DataFrame:
+    """Points with the segments near them: all that come within ``limit_m`` metres, and some beyond.
+
+    Cells are as wide as the limit is in degrees of longitude, by bands of one degree of latitude, so that points
+    near a pole widen no cells but their own.  A segment is dealt to every band it may serve.
+    """
+    def width(band):
+        lat = F.least(F.greatest(F.abs(band), F.abs(band + 1)), F.lit(89)).cast("double")
+        return F.lit(max(limit_m, 1.0) / (geo.DEGREE_M * 0.998)) / F.greatest(F.cos(F.radians(lat)), F.lit(0.01))
+
+    reach = max(limit_m, 1.0) / (geo.DEGREE_M * 0.998 * math.cos(math.radians(89)))
+    box = [F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2")]
+    bands = F.sequence(F.floor(box[1] - reach).cast("long"), F.floor(box[3] + reach).cast("long"))
+    placed = points.withColumn("band", F.floor("lat").cast("long")).withColumn("_w", width(F.col("band")))
+    placed = placed.select("*", F.explode(geo.cells_around("lon", "lat", F.col("_w"))).alias("_c")).select("*", "_c.*").drop("_c", "_w")
+    dealt = segs.select(*keys, "seg_id", "x1", "y1", "x2", "y2", F.explode(bands).alias("band")).withColumn("_w", width(F.col("band")))
+    low, high = F.greatest(box[1], F.col("band") - reach), F.least(box[3], F.col("band") + 1 + reach)
+    dealt = dealt.select("*", F.explode(geo.cells_of_box(box[0], low, box[2], high, F.col("_w"))).alias("_c")).select("*", "_c.*").drop("_c", "_w")
+    return placed.join(dealt, [*keys, "band", "cx", "cy"])
+
+
 def snapped(points: DataFrame, segs: DataFrame, point_id: str, keys: list[str], limit_m: float | None = None, size: float = 0.001) -> DataFrame:
     """Points moved to the nearest street point in planar degrees if that is at most ``limit_m`` metres away.
 
     Adds snap_lon, snap_lat, snap_m (null if no street is near) and ``moved``; a point over the limit or without
-    streets keeps its place.  With a limit the cells are as wide as it, so nine cells hold every candidate;
-    without one, cells widen until each point has found a street.
+    streets keeps its place.  With a limit the cells are as wide as it (``_within``), so nine cells hold every
+    candidate; without one, cells widen until each point has found a street.
     """
-    if limit_m is not None:
-        lat = points.select(F.max(F.abs(F.col("lat")))).first()[0] or 0.0
-        size = max(limit_m, 1.0) / (geo.DEGREE_M * 0.998 * max(math.cos(math.radians(min(lat, 89.0))), 0.01))
     ends = segs.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first()
     slim, found = points.select(*keys, point_id, "lon", "lat"), None
     extent = 0 if ends[0] is None else 2 * (ends[1] - ends[0] + ends[3] - ends[2]) + 4 * size
     todo = slim
+    near = geo.on_segment("lon", "lat", "x1", "y1", "x2", "y2")
+    first = F.min(F.struct(F.col("n.d2").alias("d2"), "seg_id", F.col("n.x").alias("x"), F.col("n.y").alias("y"))).alias("b")
     while ends[0] is not None:
+        if limit_m is not None:
+            found = _within(todo, segs, keys, limit_m).withColumn("n", near).groupBy(*keys, point_id).agg(first)
+            break
         placed = todo.select("*", F.explode(geo.cells_around("lon", "lat", size)).alias("_c")).select("*", "_c.*").drop("_c")
         box = geo.cells_of_box(F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), size)
         dealt = segs.select(*keys, "seg_id", "x1", "y1", "x2", "y2", F.explode(box).alias("_c")).select("*", "_c.*").drop("_c")
-        near = geo.on_segment("lon", "lat", "x1", "y1", "x2", "y2")
-        best = placed.join(dealt, [*keys, "cx", "cy"]).withColumn("n", near).groupBy(*keys, point_id).agg(F.min(F.struct(F.col("n.d2").alias("d2"), "seg_id", F.col("n.x").alias("x"), F.col("n.y").alias("y"))).alias("b"))
-        if limit_m is not None:
-            found = best
-            break
+        best = placed.join(dealt, [*keys, "cx", "cy"]).withColumn("n", near).groupBy(*keys, point_id).agg(first)
         last = size > extent
         best = written(best if last else best.filter(F.col("b.d2") <= size * size), "snap")
         found = best if found is None else found.unionByName(best)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import copy
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, optical
 from ..operators import checks, clusters, graph, placement, spatial
 from ..sources import buildings, cache, kml
+from ..storage import small, written
 from . import config as conf
 from . import mapping as m
 from . import network, sizing
@@ -339,28 +339,39 @@ d AS (SELECT hp_id, centre_id, (hp.lon - ct.lon) * f * ((hp.lon - ct.lon) * f) +
 k AS (SELECT *, row_number() OVER (PARTITION BY hp_id ORDER BY d2, centre_id) AS r FROM d)"""
 
 
-def centre_distances(spark, sf):
-    """Squared scaled distances of every HP to the stated centres, in one broadcast of the centre table after a count."""
-    from ..storage import small
-
-    hps = one_project(m.hps(spark, sf))
-    f = hps.groupBy("project_id").agg(F.abs(F.cos(F.radians(F.avg("lat")))).alias("f"))
-    c = small(m.centres(spark, sf).withColumnsRenamed({"lon": "cx", "lat": "cy"}))
-    rows = hps.join(F.broadcast(f), "project_id").join(c, "project_id")
-    dx, dy = (F.col("lon") - F.col("cx")) * F.col("f"), F.col("lat") - F.col("cy")
-    return rows.select("hp_id", "centre_id", (dx * dx + dy * dy).alias("d2"))
+def nearest_centres(spark, sf, k):
+    """The ``k`` nearest of the stated centres for every HP, by scaled squared distance."""
+    hps, c = one_project(m.hps(spark, sf)), m.centres(spark, sf)
+    f = written(hps.groupBy("project_id").agg(F.abs(F.cos(F.radians(F.avg("lat")))).alias("f")), "factors")
+    scaled = lambda df, name: df.join(small(f), "project_id").select("project_id", name, (F.col("lon") * F.col("f")).alias("x"), F.col("lat").alias("y"))
+    return spatial.nearest_nodes(scaled(hps, "hp_id"), scaled(c, "centre_id").withColumnRenamed("centre_id", "node_id"), "hp_id", ["project_id"], k)
 
 
 @query(f"{NEAR} SELECT hp_id, round((max(d2) FILTER (r = 2) - max(d2) FILTER (r = 1)) * 1e12, 2) AS regret, max(centre_id) FILTER (r = 1) AS nearest FROM k WHERE r <= 2 GROUP BY hp_id")
 def regret_order(spark, sf):
-    two = centre_distances(spark, sf).groupBy("hp_id").agg(F.min(F.struct("d2", "centre_id")).alias("a"), F.slice(F.sort_array(F.collect_list("d2")), 1, 2).alias("t"))
-    return two.select("hp_id", F.round((F.col("t")[1] - F.col("t")[0]) * 1e12, 2).alias("regret"), F.col("a.centre_id").alias("nearest"))
+    two = nearest_centres(spark, sf, 2).groupBy("hp_id").agg(F.max("d2").alias("far"), F.min("d2").alias("near"), F.min_by("node_id", "rank").alias("nearest"))
+    return two.select("hp_id", F.round((F.col("far") - F.col("near")) * 1e12, 2).alias("regret"), "nearest")
 
 
 @query(f"{NEAR} SELECT hp_id, centre_id, r::INT AS rank FROM k WHERE r <= 3")
 def candidate_rank(spark, sf):
-    d = centre_distances(spark, sf)
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("hp_id").orderBy("d2", "centre_id"))).filter("rank <= 3").select("hp_id", "centre_id", "rank")
+    return nearest_centres(spark, sf, 3).select("hp_id", F.col("node_id").alias("centre_id"), "rank")
+
+
+# Customers in the order of their regret take the nearest centre with room, one row a step; ``room`` counts the places left.
+GREEDY = f"""WITH RECURSIVE {HP}, {CENTRES}, s AS (SELECT greatest(abs(cos(radians(avg(lat)))), 1e-9) AS f FROM hp),
+h AS (SELECT hp_id, lon * f AS x, lat AS y FROM hp, s), c AS (SELECT centre_id, (row_number() OVER (ORDER BY centre_id))::INT AS j, lon * f AS x, lat AS y FROM ct, s),
+d AS (SELECT hp_id, j, (h.x - c.x) * (h.x - c.x) + (h.y - c.y) * (h.y - c.y) AS d2 FROM h, c), t AS (SELECT hp_id, list(j ORDER BY d2, j) AS js, list(d2 ORDER BY d2, j) AS ds FROM d GROUP BY hp_id),
+o AS MATERIALIZED (SELECT hp_id, js, row_number() OVER (ORDER BY ds[2] - ds[1] DESC, hp_id) AS step FROM t),
+r(step, hp_id, j, room) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::INT, (SELECT list(16 ORDER BY j) FROM c)
+  UNION ALL SELECT step, hp_id, j, list_transform(room, lambda v, i: CASE WHEN i = j THEN v - 1 ELSE v END)
+  FROM (SELECT o.step, o.hp_id, list_filter(o.js, lambda q: r.room[q] > 0)[1] AS j, r.room FROM r JOIN o ON o.step = r.step + 1) p)
+SELECT r.hp_id, c.centre_id FROM r JOIN c ON c.j = r.j"""
+
+
+@query(GREEDY)
+def assign_labels(spark, sf):
+    return clusters.assigned(one_project(m.hps(spark, sf)), m.centres(spark, sf), 16).select("hp_id", "centre_id")
 
 
 @query("SELECT count(*)::BIGINT AS hps, true AS all_placed, true AS within_capacity FROM customer")
@@ -400,6 +411,16 @@ def recount_guard(spark, sf):
     return checks.recount_mismatch(boxes(spark, sf), CONFIG).agg(F.count(F.lit(1)).alias("mismatches"))
 
 
+@query(f"""WITH {HP}, x AS (SELECT project_id, hp_id // 4 AS cto, hp_id // (CASE WHEN project_id % 3 = 0 THEN 16 ELSE 1600 END) AS pon FROM hp),
+n AS (SELECT project_id, count(DISTINCT cto)::BIGINT AS ctos, count(DISTINCT pon)::BIGINT AS pons, count(DISTINCT pon // 2)::BIGINT AS ceos FROM x GROUP BY project_id),
+l AS (SELECT *, (ctos + 7) // 8 AS least_pons, ((ctos + 7) // 8 + 1) // 2 AS least_ceos FROM n) SELECT * FROM l WHERE pons <> least_pons OR ceos <> least_ceos""")
+def recount_faults(spark, sf):
+    """Projects of an allocation by key whose PONs or splice boxes are too many or too few."""
+    per_pon = F.when(F.col("project_id") % 3 == 0, 16).otherwise(1600)
+    x = m.hps(spark, sf).select("project_id", F.floor(F.col("hp_id") / 4).alias("cto"), F.floor(F.col("hp_id") / per_pon).alias("pon"))
+    return checks.recount_mismatch(x.withColumn("ceo", F.floor(F.col("pon") / 2)), CONFIG)
+
+
 def given(spark, sf):
     """An allocation with faults: boxes by key, some customers twice, some in none."""
     c = m.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("hp_id"))
@@ -446,7 +467,16 @@ def spots(spark, sf):
     return s.select(F.col("s_nationkey").cast("long").alias("project_id"), F.col("s_suppkey").cast("int").alias("ceo"), F.expr(m.HP_LON.format(k="s_suppkey")).alias("lon"), F.expr(m.HP_LAT.format(k="s_suppkey")).alias("lat"))
 
 
-@query()
+SPOTS = f"sp AS (SELECT s_nationkey::BIGINT AS project_id, s_suppkey::INT AS node, {m.HP_LON.format(k='s_suppkey')} AS lon, {m.HP_LAT.format(k='s_suppkey')} AS lat FROM supplier)"
+# From the west, then north; on to the nearest box not yet placed.
+TOUR = f"""WITH RECURSIVE {SPOTS}, f AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY lon, lat DESC, node) AS k FROM sp),
+r(project_id, node, lon, lat, ord, done) AS (SELECT project_id, node, lon, lat, 1, [node] FROM f WHERE k = 1
+  UNION ALL SELECT project_id, node, lon, lat, ord + 1, list_append(done, node)
+  FROM (SELECT sp.*, r.ord, r.done, row_number() OVER (PARTITION BY sp.project_id ORDER BY {hav('sp.lon', 'sp.lat', 'r.lon', 'r.lat')}, sp.node) AS k FROM r JOIN sp ON sp.project_id = r.project_id AND NOT list_contains(r.done, sp.node)) q WHERE k = 1)
+SELECT project_id, node AS ceo, ord::INT AS ceo_ord FROM r"""
+
+
+@query(TOUR)
 def ceo_order(spark, sf):
     return placement.ceo_order(spots(spark, sf))
 
@@ -487,7 +517,6 @@ def palette(spark, sf):
 
 
 # ---- backbone and the whole plan ----
-SPOTS = f"sp AS (SELECT s_nationkey::BIGINT AS project_id, s_suppkey::INT AS node, {m.HP_LON.format(k='s_suppkey')} AS lon, {m.HP_LAT.format(k='s_suppkey')} AS lat FROM supplier)"
 PAIRS = f"WITH {SPOTS}, pr AS (SELECT a.project_id, a.node AS a, b.node AS b, {hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS w FROM sp a JOIN sp b ON a.project_id = b.project_id AND a.node < b.node)"
 
 

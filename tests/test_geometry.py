@@ -86,3 +86,49 @@ def test_points_in_polygons_equal_the_plain_predicate(spark):
     got = spatial.points_in_polygons(spark.createDataFrame(pts, "id long, lon double, lat double"), spark.createDataFrame(polys, "poly long, rings array<array<struct<x:double,y:double>>>, min_x double, min_y double, max_x double, max_y double"))
     want = sorted((p[0], q[0]) for p in pts for q in polys if q[2] <= p[1] <= q[4] and q[3] <= p[2] <= q[5])
     assert sorted((r.id, r.poly) for r in got.collect()) == want
+
+
+def test_few_nearest_nodes(spark):
+    rng = random.Random(5)
+    pts = [(p, i, rng.choice([0, 0.001, 3]) + rng.random() / 500, rng.random() / 500) for p in (0, 1) for i in range(40)]
+    nodes = [(0, i, rng.random() / 500, rng.random() / 500) for i in range(30)] + [(0, 30, 0.001, 0.001), (0, 31, 0.001, 0.001), (1, 0, 0.5, 0.5)]
+    p = spark.createDataFrame(pts, "project_id long, p long, x double, y double")
+    n = spark.createDataFrame(nodes, "project_id long, node_id long, x double, y double")
+    got = {(r.project_id, r.p, r["rank"]): r.node_id for r in spatial.nearest_nodes(p, n, "p", ["project_id"], 3).collect()}
+    want = {}
+    for project, i, x, y in pts:
+        near = sorted(((x - u) * (x - u) + (y - v) * (y - v), k) for q, k, u, v in nodes if q == project)
+        want |= {(project, i, r + 1): k for r, (_, k) in enumerate(near[:3])}
+    assert got == want
+    assert spatial.nearest_nodes(p, n.limit(0), "p", ["project_id"], 3).count() == 0
+    assert spatial.nearest_nodes(p.limit(0), n, "p", ["project_id"], 3).count() == 0
+
+
+def test_snapping_at_all_latitudes(spark):
+    rng = random.Random(6)
+    lats = [0.0, 0.9999, -1.0001, 45.0, 59.99995, -75.0, 88.5]
+    pts = [(0, i, rng.random() / 50, rng.choice(lats) + rng.uniform(-3e-4, 3e-4)) for i in range(120)]
+    ways = [(0, 10 * w + k, s, x, lat + 2e-4 * k) for w, lat in enumerate(lats) for k in (-1, 1) for s, x in ((0, 0.0), (1, 0.02))] + [(0, 99, 0, 0.01, -3.0), (0, 99, 1, 0.01, 3.0)]
+    p = spark.createDataFrame(pts, "project_id long, id long, lon double, lat double")
+    v = spark.createDataFrame(ways, "project_id long, way_id long, seq int, lon double, lat double")
+    segs = spatial.street_segments(v, ["project_id"])
+    got = {r.id: r for r in spatial.snapped(p, segs, "id", ["project_id"], 15.0).collect()}
+    free = {r.id: r for r in spatial.snapped(p, segs, "id", ["project_id"]).collect()}
+    for i, r in free.items():
+        assert got[i].moved == (r.snap_m <= 15.0)
+        if got[i].moved:
+            assert (got[i].snap_lon, got[i].snap_lat) == (r.snap_lon, r.snap_lat)
+    assert 20 < sum(r.moved for r in got.values()) < 110
+
+
+def test_points_in_polygons_of_all_sizes(spark):
+    rng = random.Random(7)
+    box = lambda x, y, w: [[{"x": x + a * w, "y": y + b * w} for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]]
+    at = [(0, 0.0, 0.0, 10.0), (1, 2.0, 2.0, 0.5), (2, 2.1, 2.1, 0.001), (3, -5.0, -5.0, 15.0), (4, 2.1, 2.1, 0.0)]
+    polys = [(i, box(x, y, w), x, y, x + w, y + w) for i, x, y, w in at]
+    pts = [(i, rng.uniform(-6, 11), rng.uniform(-6, 11)) for i in range(100)] + [(100, 2.1, 2.1), (101, 2.1005, 2.1005), (102, 2.2, 2.5), (103, 10.0, 10.0)]
+    p = spark.createDataFrame(pts, "id long, lon double, lat double")
+    q = spark.createDataFrame(polys, "poly long, rings array<array<struct<x:double,y:double>>>, min_x double, min_y double, max_x double, max_y double")
+    got = {(r.id, r.poly) for r in spatial.points_in_polygons(p, q).collect()}
+    assert got == {(i, j) for i, x, y in pts for j, a, b, w in at if a <= x <= a + w and b <= y <= b + w}
+    assert spatial.points_in_polygons(p, q.limit(0)).count() == 0
