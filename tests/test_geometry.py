@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,20 @@ def test_points_in_polygons_of_all_sizes(spark):
     got = {(r.id, r.poly) for r in spatial.points_in_polygons(p, q).collect()}
     assert got == {(i, j) for i, x, y in pts for j, a, b, w in at if a <= x <= a + w and b <= y <= b + w}
     assert spatial.points_in_polygons(p, q.limit(0)).count() == 0
+
+
+def test_centroids_in_arrays_equal_single_ones():
+    rng = random.Random(8)
+    ring = lambda n: [(x, y) for x, y in [(rng.uniform(-50, 50), rng.uniform(-50, 50)) for _ in range(n - 1)]]
+    rings = [[r + r[:1]] for r in (ring(n) for n in (4, 5, 5, 9, 30, 4))]
+    data = [shapes.to_wkb(x) for x in rings] + [shapes.to_wkb([SQUARE, HOLE]), shapes.to_wkb([[(1.0, 1.0)] * 4]), shapes.to_wkb([[(0.0, 0.0), (2.0, 2.0), (0.0, 0.0)]]), None, b"", b"\x01\x03", shapes.to_wkb([SQUARE]) + b"x", shapes.to_wkb([SQUARE])[:-1], shapes.to_wkb([[]])]
+    got = shapes.wkb_centroids(pd.Series(data)).to_numpy().tolist()
+    for x, (lon, lat) in zip(data, got, strict=True):
+        want = shapes.wkb_centroid(x)
+        assert (lon != lon) if want is None else (lon, lat) == pytest.approx(want, rel=1e-12)
+    assert len(shapes.wkb_centroids(pd.Series([], dtype=object))) == 0
+
+
+def test_first_crossing():
+    assert shapes._first_crossing(SQUARE) is None and shapes._first_crossing([(0.0, 0.0)]) is None
+    assert shapes._first_crossing([(0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 2.0), (0.0, 0.0)]) == (0, 2, (1.0, 1.0))
