@@ -156,3 +156,16 @@ def check_leaves(leaves: DataFrame) -> DataFrame:
     number = ~F.col("kind").isin("i", "n") | (low & high)
     reason = F.when(F.col("kind").isNull(), "missing").when(free, None).when(~typed, "type").when(~(text & number), "value")
     return rows.withColumn("reason", reason).filter("reason is not null").select("config_id", "path", "reason")
+
+
+def check_cross(leaves: DataFrame) -> DataFrame:
+    """The cross-field rules on configurations whose leaves all pass: config_id and the violated rule's text."""
+    at = lambda path, name: F.max(F.when(F.col("path") == path, F.col("num"))).alias(name)
+    rows = leaves.groupBy("config_id").agg(
+        at("engenharia.splitter_cto_inicial", "first"), at("engenharia.splitter_cto_expansao", "most"), at("engenharia.capacidade_hp_por_cto", "cap"),
+        at("equipamentos.olt.latitude", "lat"), at("equipamentos.olt.longitude", "lon"),
+    )
+    rows = rows.join(check_leaves(leaves).select("config_id").distinct(), "config_id", "left_anti")
+    bad = (F.col("first") > F.col("most"), F.col("most") < F.col("cap"), F.col("lat").isNull() != F.col("lon").isNull())
+    texts = F.array_compact(F.array(*[F.when(wrong, F.lit(text)) for text, wrong in zip(CROSS, bad, strict=True)]))
+    return rows.select("config_id", F.explode(texts).alias("rule"))

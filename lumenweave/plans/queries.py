@@ -632,6 +632,21 @@ def wkb_centroids(spark, sf):
     return buildings.centroids(b).select("project_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
+LEAF = "path string, kind string, num double, txt string"
+
+
+def leaves_of(c: dict) -> list[tuple]:
+    rows, todo = [], [("", c)]
+    while todo:
+        at, v = todo.pop()
+        if isinstance(v, dict):
+            todo += [(f"{at}.{k}".lstrip("."), x) for k, x in v.items()]
+        else:
+            k = conf._kind(v)
+            rows.append((at, k, float(v) if k in "in" else None, v if k == "s" else None))
+    return rows
+
+
 def leaves(spark):
     """Two configurations as leaf rows: the default one and one with faults."""
     bad = copy.deepcopy(CONFIG)
@@ -640,17 +655,8 @@ def leaves(spark):
     bad["engenharia"]["topologia_backbone"]["modo"] = "estrela"
     bad["cache"]["versao"] = " "
     del bad["api"]["overpass_retry_max"]
-    rows = []
-    for n, c in ((1, CONFIG), (2, bad)):
-        todo = [("", c)]
-        while todo:
-            at, v = todo.pop()
-            if isinstance(v, dict):
-                todo += [(f"{at}.{k}".lstrip("."), x) for k, x in v.items()]
-            else:
-                k = conf._kind(v)
-                rows.append((n, at, k, float(v) if k in "in" else None, v if k == "s" else None))
-    return spark.createDataFrame(rows, "config_id int, path string, kind string, num double, txt string")
+    rows = [(n, *leaf) for n, c in ((1, CONFIG), (2, bad)) for leaf in leaves_of(c)]
+    return spark.createDataFrame(rows, f"config_id int, {LEAF}")
 
 
 @query("SELECT * FROM (VALUES (2, 'engenharia.ctos_por_pon', 'type'), (2, 'engenharia.penetracao_estimada', 'value'), (2, 'engenharia.topologia_backbone.modo', 'value'), (2, 'cache.versao', 'value'), (2, 'api.overpass_retry_max', 'missing')) t(config_id, path, reason)")
@@ -658,6 +664,24 @@ def config_rules(spark, sf):
     return conf.check_leaves(leaves(spark))
 
 
+@query(f"""WITH c AS (SELECT s_suppkey::BIGINT AS config_id, 1 + s_suppkey % 24 AS ini, 8 + s_suppkey * 7 % 16 AS mx, s_suppkey * 5 % 24 AS cap, s_suppkey % 3 = 0 AS no_lat, s_suppkey % 5 = 0 AS no_lon FROM supplier), ok AS (SELECT * FROM c WHERE cap > 0)
+SELECT config_id, '{conf.CROSS[0]}' AS rule FROM ok WHERE ini > mx UNION ALL SELECT config_id, '{conf.CROSS[1]}' FROM ok WHERE mx < cap UNION ALL SELECT config_id, '{conf.CROSS[2]}' FROM ok WHERE no_lat <> no_lon""")
+def config_cross_rules(spark, sf):
+    """A configuration for each supplier, some with fields at odds, some with a capacity of none."""
+    k = F.col("config_id")
+    change = {"engenharia.splitter_cto_inicial": 1 + k % 24, "engenharia.splitter_cto_expansao": 8 + k * 7 % 16, "engenharia.capacidade_hp_por_cto": k * 5 % 24}
+    place = {"equipamentos.olt.latitude": (k % 3 == 0, m.OLT_LAT), "equipamentos.olt.longitude": (k % 5 == 0, m.OLT_LON)}
+    base = F.broadcast(spark.createDataFrame(leaves_of(CONFIG), LEAF))  # the leaves of one configuration
+    rows = m.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("config_id")).crossJoin(base)
+    num, kind = F.col("num"), F.col("kind")
+    for path, value in change.items():
+        num = F.when(F.col("path") == path, value.cast("double")).otherwise(num)
+    for path, (none, value) in place.items():
+        num = F.when(F.col("path") == path, F.when(~none, F.lit(value))).otherwise(num)
+        kind = F.when(F.col("path") == path, F.when(none, "null").otherwise("n")).otherwise(kind)
+    return conf.check_cross(rows.withColumns({"num": num, "kind": kind}))
+
+
 @query("SELECT * FROM (VALUES (1, ''), (2, 'schema'), (3, 'versão'), (4, 'geometria'), (5, 'expiração'), (6, 'expiração'), (7, 'schema,versão,geometria,expiração'), (8, 'expiração')) t(id, reasons)")
 def cache_validity(spark, sf):
     rows = [(1, 2, "2.0", "a", "2030-01-01T00:00:00+00:00"), (2, 1, "2.0", "a", "2030-01-01T00:00:00+00:00"), (3, 2, "1.0", "a", "2030-01-01T00:00:00"), (4, 2, "2.0", "b", "2030-01-01"), (5, 2, "2.0", "a", "2020-01-01T00:00:00Z"), (6, 2, "2.0", "a", "soon"), (7, None, None, None, None), (8, 2, "2.0", "a", "2025-01-01T00:00:00Z")]

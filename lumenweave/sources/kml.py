@@ -6,6 +6,7 @@ Parsing runs in Arrow batches over whole files (``binaryFile``), one row per fil
 from __future__ import annotations
 
 import io
+import logging
 import math
 import re
 import xml.etree.ElementTree as ET
@@ -137,7 +138,7 @@ def read_polygons(spark: SparkSession, path: str | list[str], strict: bool = Tru
 
 
 def read_points(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
-    """Named points of KML or KMZ files; unreadable files count as empty unless ``strict``."""
+    """Named points of KML or KMZ files; unreadable files count as empty, with a warning in the worker's log, unless ``strict``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -145,9 +146,10 @@ def read_points(spark: SparkSession, path: str | list[str], strict: bool = False
             for path, data in zip(f["path"], f["content"], strict=True):
                 try:
                     rows += [(path, n, *p) for n, p in enumerate(points_of(xml_of(path, data)))]
-                except ValueError:
+                except ValueError as e:
                     if strict:
                         raise
+                    logging.getLogger("lumenweave").warning("no points read from %s: %s", path, e)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in POINT.split(", ")])
 
     return _files(spark, path).mapInPandas(run, POINT)
