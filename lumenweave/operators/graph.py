@@ -66,31 +66,41 @@ class Net:
             a, b = (x1, y1), (x2, y2)
             self.near[a][b] = self.near[b][a] = w
         self.nodes = np.array(sorted(self.near), float).reshape(-1, 2)
-        self.trees: dict[tuple, dict] = {}
+        self.trees: dict[tuple, tuple] = {}
 
     def nearest(self, p: tuple[float, float]) -> tuple[tuple[float, float], float]:
-        i = int(np.argmin(((self.nodes - np.array(p)) ** 2).sum(axis=1)))
-        node = (float(self.nodes[i, 0]), float(self.nodes[i, 1]))
-        return node, metres(p, node)
-
-    def tree(self, source: tuple) -> dict:
-        """Predecessor of every node that ``source`` reaches, by weight; kept for the next route from there."""
+        """The nearest node in planar degrees (the first of equals) and its metres, from a window of the nodes by longitude."""
+        x, at, width = self.nodes[:, 0], np.array(p), 64
+        mid = int(np.searchsorted(x, p[0]))
+        while True:
+            lo, hi = max(mid - width, 0), min(mid + width, len(x))
+            d = ((self.nodes[lo:hi] - at) ** 2).sum(axis=1)
+            i = int(np.argmin(d))
+            if (lo == 0 or (x[lo] - p[0]) ** 2 > d[i]) and (hi == len(x) or (x[hi - 1] - p[0]) ** 2 > d[i]):
+                node = (float(self.nodes[lo + i, 0]), float(self.nodes[lo + i, 1]))
+                return node, metres(p, node)
+            width *= 4
+
+    def before(self, source: tuple, target: tuple) -> dict | None:
+        """Predecessors on least ways from ``source``, searched as far as ``target``; None if there is no way.
+
+        The search is kept: the next target of the same source goes on where it stopped.
+        """
         if source not in self.trees:
             if len(self.trees) > 64:
                 self.trees.clear()
-            dist, before, heap = {source: 0.0}, {source: source}, [(0.0, source)]
-            done = set()
-            while heap:
-                d, u = heapq.heappop(heap)
-                if u in done:
-                    continue
-                done.add(u)
-                for v, w in self.near[u].items():
-                    if d + w < dist.get(v, np.inf):
-                        dist[v], before[v] = d + w, u
-                        heapq.heappush(heap, (d + w, v))
-            self.trees[source] = before
-        return self.trees[source]
+            self.trees[source] = ({source: 0.0}, {source: source}, [(0.0, source)], set())
+        dist, before, heap, done = self.trees[source]
+        while heap and target not in done:
+            d, u = heapq.heappop(heap)
+            if u in done:
+                continue
+            done.add(u)
+            for v, w in self.near[u].items():
+                if d + w < dist.get(v, np.inf):
+                    dist[v], before[v] = d + w, u
+                    heapq.heappush(heap, (d + w, v))
+        return before if target in done else None
 
 
 def metres(a, b) -> float:
@@ -123,8 +133,8 @@ def routes(requests: DataFrame, edges: DataFrame, config: dict, limit_m: Column
             if pd.notna(r.lim) and (da > r.lim or db > r.lim):
                 out.append((r.project_id, r.req_id, OFF_MESH, [], [], da, db))
                 continue
-            before = net.tree(a)
-            if b not in before:
+            before = net.before(a, b)
+            if before is None:
                 out.append((r.project_id, r.req_id, NO_PATH, [], [], da, db))
                 continue
             back = [b]

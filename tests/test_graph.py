@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lumenweave.operators import graph
@@ -59,3 +60,31 @@ def test_poles_replace_streets(spark):
     streets = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 0.0, 1.0, 1.0), (2, 0.0, 0.0, 1.0, 0.0, 1.0, 1.0)], e)
     poles = spark.createDataFrame([(1, 5.0, 5.0, 6.0, 5.0, 3.0, 1.0)], e)
     assert sorted((r.project_id, r.x1) for r in graph.graph_of(streets, poles).collect()) == [(1, 5.0), (2, 0.0)]
+
+
+def test_searches_equal_whole_ones():
+    rng = np.random.default_rng(4)
+    p = np.round(rng.random((400, 2)) * np.array([20, 20])) / 10  # many ties
+    pairs = [(i, (i + s) % 400) for i in range(400) for s in (1, 7) if (i // 100) == ((i + s) % 400) // 100]
+    edges = pd.DataFrame([(*p[i], *p[j], 1 + (i * j) % 5) for i, j in pairs if tuple(p[i]) != tuple(p[j])], columns=["x1", "y1", "x2", "y2", "weight"])
+    net = graph.Net(edges)
+    for q in rng.random((200, 2)) * 4 - 1:
+        d = ((net.nodes - q) ** 2).sum(axis=1)
+        assert net.nearest(tuple(q))[0] == tuple(net.nodes[int(np.argmin(d))])
+    nodes = [tuple(map(float, n)) for n in net.nodes]
+    for a in nodes[::40]:
+        dist, changed = {a: 0.0}, True
+        while changed:
+            changed = False
+            for u in list(dist):
+                for v, w in net.near[u].items():
+                    if dist[u] + w < dist.get(v, np.inf):
+                        dist[v], changed = dist[u] + w, True
+        for b in nodes[::7]:
+            before = net.before(a, b)
+            assert (before is not None) == (b in dist)
+            if before:
+                total, at = 0.0, b
+                while at != a:
+                    total, at = total + net.near[before[at]][at], before[at]
+                assert total == dist[b]
