@@ -307,7 +307,7 @@ def route_access_legs(spark, sf):
     return r.select(F.col("req_id").alias("hp_id"), "status", F.round("snap_o_m", 3).alias("leg_m"))
 
 
-# ---- the same over every row of part, a grid or a set of poles for each project; tested against brute force ----
+# ---- the same over every row of part, a grid or a set of poles for each project; by SQL or against brute force in tests ----
 @query()
 def whole_street_edges(spark, sf):
     e = graph.street_edges(m.street_vertices(spark, sf, whole=True))
@@ -332,6 +332,34 @@ def whole_pole_spans(spark, sf):
     return spatial.pole_spans(m.poles(spark, sf, whole=True), ["project_id"]).select("project_id", "a", "b", F.round("real_dist", 3).alias("metres"))
 
 
+WHOLE = """g AS (SELECT p_partkey // 121 AS project_id, p_partkey % 121 % 11 AS i, p_partkey % 121 // 11 AS j FROM part),
+seg AS (SELECT g.project_id, -44.3e0 + g.i * 0.001e0 AS ax, -2.5e0 + g.j * 0.001e0 AS ay, -44.3e0 + h.i * 0.001e0 AS bx, -2.5e0 + h.j * 0.001e0 AS by1
+  FROM g JOIN g h ON h.project_id = g.project_id AND ((h.i = g.i + 1 AND h.j = g.j) OR (h.i = g.i AND h.j = g.j + 1)))"""
+
+
+@query(f"""WITH {HP}, {WHOLE}, t AS (SELECT hp.*, ax, ay, bx, by1, least(greatest(((lon - ax) * (bx - ax) + (lat - ay) * (by1 - ay)) / ((bx - ax) * (bx - ax) + (by1 - ay) * (by1 - ay)), 0e0), 1e0) AS k FROM hp LEFT JOIN seg USING (project_id)),
+p AS (SELECT hp_id, project_id, lon, lat, ax + k * (bx - ax) AS x, ay + k * (by1 - ay) AS y FROM t),
+d AS (SELECT *, row_number() OVER (PARTITION BY hp_id ORDER BY (lon - x) * (lon - x) + (lat - y) * (lat - y)) AS r, coalesce({hav('lon', 'lat', 'x', 'y')} <= 30, false) AS moved FROM p)
+SELECT project_id, hp_id, moved, round(CASE WHEN moved THEN x ELSE lon END, 8) AS lon, round(CASE WHEN moved THEN y ELSE lat END, 8) AS lat FROM d WHERE r = 1""")
+def whole_snap_limit(spark, sf):
+    segs = spatial.street_segments(m.street_vertices(spark, sf, whole=True), ["project_id"])
+    out = spatial.snapped(m.hps(spark, sf), segs, "hp_id", ["project_id"], 30.0)
+    return out.select("project_id", "hp_id", "moved", F.round("snap_lon", 8).alias("lon"), F.round("snap_lat", 8).alias("lat"))
+
+
+@query(f"""WITH {WHOLE}, pl AS (SELECT p_partkey // 200 AS project_id, p_partkey::BIGINT AS pole_id, -44.3e0 + (p_partkey % 200 % 14) * 4e-4 + ((p_partkey % 200 * 37) % 11) * 1e-5 AS lon, -2.5e0 + (p_partkey % 200 // 14) * 4e-4 + ((p_partkey % 200 * 53) % 13) * 1e-5 AS lat FROM part),
+sp AS (SELECT a.project_id, a.pole_id AS a, b.pole_id AS b, a.lon AS x1, a.lat AS y1, b.lon AS x2, b.lat AS y2, {hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS d FROM pl a JOIN pl b ON a.project_id = b.project_id AND a.pole_id < b.pole_id
+  WHERE abs(a.lon - b.lon) <= 60e0 / 111320e0 AND abs(a.lat - b.lat) <= 60e0 / 111320e0 AND {hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 60),
+o AS (SELECT a, b, sign((x2 - x1) * (ay - y1) - (y2 - y1) * (ax - x1)) AS t1, sign((x2 - x1) * (by1 - y1) - (y2 - y1) * (bx - x1)) AS t2, sign((bx - ax) * (y1 - ay) - (by1 - ay) * (x1 - ax)) AS t3, sign((bx - ax) * (y2 - ay) - (by1 - ay) * (x2 - ax)) AS t4 FROM sp JOIN seg USING (project_id)
+  WHERE greatest(x1, x2) >= least(ax, bx) AND least(x1, x2) <= greatest(ax, bx) AND greatest(y1, y2) >= least(ay, by1) AND least(y1, y2) <= greatest(ay, by1)),
+c AS (SELECT DISTINCT a, b FROM o WHERE t1 * t2 <= 0 AND t3 * t4 <= 0)
+SELECT project_id::BIGINT AS project_id, sp.a, sp.b, c.a IS NOT NULL AS crosses, round(CASE WHEN c.a IS NOT NULL THEN d * 3 ELSE d END, 3) AS weight FROM sp LEFT JOIN c ON c.a = sp.a AND c.b = sp.b""")
+def whole_pole_crossings(spark, sf):
+    segs = spatial.street_segments(m.street_vertices(spark, sf, whole=True), ["project_id"])
+    out = spatial.crossing_penalty(spatial.pole_spans(m.poles(spark, sf, whole=True), ["project_id"]), segs, ["project_id"])
+    return out.select("project_id", "a", "b", "crosses", F.round("weight", 3).alias("weight"))
+
+
 # ---- clusters ----
 CENTRES = f"ct AS (SELECT s_suppkey::BIGINT AS centre_id, {m.HP_LON.replace('7919', '6151').format(k='s_suppkey')} AS lon, {m.HP_LAT.replace('104729', '15331').format(k='s_suppkey')} AS lat FROM supplier)"
 NEAR = f"""WITH {HP}, {CENTRES}, s AS (SELECT abs(cos(radians(avg(lat)))) AS f FROM hp),
