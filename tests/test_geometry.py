@@ -89,6 +89,15 @@ def test_points_in_polygons_equal_the_plain_predicate(spark):
     assert sorted((r.id, r.poly) for r in got.collect()) == want
 
 
+def test_decimal_ties_round_in_binary(spark):
+    # Losses of 27.635 and 31.425 dB, a reserve of 69529.635 m (69529.63499... in binary): rows of larger tables
+    df = spark.createDataFrame([(9740.0,), (24900.0,)], "m double").select(optical.budget(F.col("m"), F.lit(0.0), 2, DEFAULT).alias("b"))
+    assert [tuple(r)[:2] for r in df.select("b.*").collect()] == [(27.64, -23.14), (31.43, -26.93)]
+    assert "-26.93 dBm" in df.select(optical.verdict(F.col("b"))).collect()[1][0]
+    m = spark.createDataFrame([(45000,)], "k long").select(geo.with_reserve(F.col("k") * F.lit(1.5001), "distribuicao", DEFAULT))
+    assert m.first()[0] == 69529.63
+
+
 def test_few_nearest_nodes(spark):
     rng = random.Random(5)
     pts = [(p, i, rng.choice([0, 0.001, 3]) + rng.random() / 500, rng.random() / 500) for p in (0, 1) for i in range(40)]
