@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..storage import small, written
+from ..storage import small, unmeasured, written
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, keys: list[str] | None = None, size: float = 0.002) -> DataFrame:
@@ -73,36 +73,56 @@ def nearest_node(points: DataFrame, nodes: DataFrame, point_id: str, keys: list[
     return out.select(*keys, point_id, F.col("b.node_id").alias("node_id"), F.col("b.lon").alias("node_lon"), F.col("b.lat").alias("node_lat"), geo.haversine("plon", "plat", "b.lon", "b.lat").alias("metres"))
 
 
-def nearest_nodes(points: DataFrame, nodes: DataFrame, point_id: str, keys: list[str], k: int, size: float = 0.001) -> DataFrame:
+def _crowd(nodes: DataFrame, keys: list[str], size: float) -> float:
+    """Nodes in the cell of a node, on average over the nodes."""
+    n = nodes.groupBy(*keys, geo.cell("_x", size).alias("cx"), geo.cell("y", size).alias("cy")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return n.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+
+
+def nearest_nodes(points: DataFrame, nodes: DataFrame, point_id: str, keys: list[str], k: int, size: float | None = None) -> DataFrame:
     """For each point its ``k`` nearest nodes by planar distance (node_id, d2, rank from 1), ties to the lowest id.
 
-    Points and nodes are given as x, y in one scale.  As in ``nearest_node``, cells widen fourfold for the points
-    whose k-th node lies farther than one cell; a point with fewer than ``k`` nodes ends with all of them.
+    Points and nodes are given as x, y in one scale, or with a further column ``f``, by which differences in x are
+    multiplied (one value for equal keys).  Cells start as wide as the crowd of nodes asks for, unless ``size`` is
+    given; the nodes of a cell and the eight around it lie in one array, so a point meets some dozens of nodes within
+    its own row and no pairs are shuffled.  Cells widen fourfold for the points whose k-th node lies farther than one
+    cell; a point with fewer than ``k`` nodes ends with all of them.
     """
-    bounds = [F.min("x"), F.max("x"), F.min("y"), F.max("y")]
-    ends, far = nodes.agg(*bounds).first(), points.agg(*bounds).first()
-    todo = points.select(*keys, point_id, F.col("x").alias("px"), F.col("y").alias("py"))
-    nearest = Window.partitionBy(*keys, point_id).orderBy("d2", "node_id")
+    f = "f" in nodes.columns
+    wide = lambda df: df.withColumn("_x", F.col("x") * F.col("f") if f else F.col("x"))
+    # Of the nodes of one place only the k lowest ids can be among a point's k nearest.
+    same = Window.partitionBy(*keys, "x", "y").orderBy("node_id")
+    nodes = wide(nodes).withColumn("_r", F.row_number().over(same)).filter(F.col("_r") <= k).select(*keys, "node_id", "x", "y", "_x")
+    nodes = written(nodes, "nearest-nodes")
+    todo = wide(points).select(*keys, point_id, F.col("x").alias("px"), F.col("y").alias("py"), "_x", (F.col("f") if f else F.lit(1.0)).alias("_f"))
+    bounds = lambda df, y: df.agg(F.min("_x"), F.max("_x"), F.min(y), F.max(y), F.count(F.lit(1))).first()
+    ends, far = bounds(nodes, "y"), bounds(todo, "py")
     extent = 0.0
     if ends[0] is not None and far[0] is not None:
         extent = max(ends[1], far[1]) - min(ends[0], far[0]) + max(ends[3], far[3]) - min(ends[2], far[2])
+    if size is None:
+        over = max(ends[1] - ends[0], ends[3] - ends[2]) if ends[0] is not None else 0.0
+        size = over * math.sqrt((k + 1) / (2 * max(ends[4], 1))) or 0.001
+        while size > over * 1e-9 and over > 0 and _crowd(nodes, keys, size) > 4 * (k + 1):
+            size /= 4
     out = None
+    dx, dy = lambda q: (F.col("px") - q["x"]) * F.col("_f"), lambda q: F.col("py") - q["y"]
     while True:
         last = size > extent
-        placed = todo.select("*", F.explode(geo.cells_around("px", "py", size)).alias("_c")).select("*", "_c.*").drop("_c")
-        there = nodes.select(*keys, "node_id", "x", "y", geo.cell("x", size).alias("cx"), geo.cell("y", size).alias("cy"))
-        dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
-        met = placed.join(there, [*keys, "cx", "cy"]).select(*keys, point_id, "node_id", (dx * dx + dy * dy).alias("d2"))
-        best = met.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
+        dealt = nodes.select("*", F.explode(geo.cells_around("_x", "y", size)).alias("_c")).select(*keys, "_c.*", "node_id", "x", "y")
+        near = dealt.groupBy(*keys, "cx", "cy").agg(F.collect_list(F.struct("node_id", "x", "y")).alias("near"))
+        met = todo.withColumn("cx", geo.cell("_x", size)).withColumn("cy", geo.cell("py", size)).join(unmeasured(near), [*keys, "cx", "cy"])
+        ranked = F.sort_array(F.transform("near", lambda q: F.struct((dx(q) * dx(q) + dy(q) * dy(q)).alias("d2"), q["node_id"].alias("node_id"))))
+        best = met.select(*keys, point_id, F.slice(ranked, 1, k).alias("b"))
+        if not last:
+            within = (size * (1 - 1e-6)) ** 2  # what lies beyond the nine cells is farther, whatever rounding does at their edges
+            best = written(best.filter((F.size("b") == k) & (F.col("b")[k - 1]["d2"] <= within)), "nearest-few")
+        out = best if out is None else out.unionByName(best)
+        if not last:
+            todo = written(todo.join(unmeasured(best.select(*keys, point_id)), [*keys, point_id], "left_anti"), "nearest-few-todo")
+            last = todo.limit(1).count() == 0
         if last:
-            return best if out is None else out.unionByName(best)
-        best = written(best, "nearest-few")
-        done = best.filter((F.col("rank") == k) & (F.col("d2") <= size * size)).select(*keys, point_id)
-        final = best.join(done, [*keys, point_id], "left_semi")
-        out = final if out is None else out.unionByName(final)
-        todo = written(todo.join(done, [*keys, point_id], "left_anti"), "nearest-few-todo")
-        if todo.limit(1).count() == 0:
-            return out
+            return out.select(*keys, point_id, F.posexplode("b").alias("rank", "_b")).select(*keys, point_id, "_b.node_id", "_b.d2", (F.col("rank") + 1).alias("rank"))
         size *= 4
 
 

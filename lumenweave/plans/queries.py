@@ -371,7 +371,7 @@ def nearest_centres(spark, sf, k):
     """The ``k`` nearest of the stated centres for every HP, by scaled squared distance."""
     hps, c = one_project(m.hps(spark, sf)), m.centres(spark, sf)
     f = written(hps.groupBy("project_id").agg(F.abs(F.cos(F.radians(F.avg("lat")))).alias("f")), "factors")
-    scaled = lambda df, name: df.join(small(f), "project_id").select("project_id", name, (F.col("lon") * F.col("f")).alias("x"), F.col("lat").alias("y"))
+    scaled = lambda df, name: df.join(small(f), "project_id").select("project_id", name, F.col("lon").alias("x"), F.col("lat").alias("y"), "f")
     return spatial.nearest_nodes(scaled(hps, "hp_id"), scaled(c, "centre_id").withColumnRenamed("centre_id", "node_id"), "hp_id", ["project_id"], k)
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pandas as pd
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenweave.functions import geo, optical, shapes
 from lumenweave.operators import spatial
 from lumenweave.operators.graph import metres
+from lumenweave.plans import queries
 from lumenweave.plans.config import DEFAULT
 
 SQUARE = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
@@ -114,6 +116,19 @@ def test_few_nearest_nodes(spark):
     assert spatial.nearest_nodes(p.limit(0), n, "p", ["project_id"], 3).count() == 0
 
 
+def test_near_ties_in_the_order_of_the_sql(spark, monkeypatch):
+    at = lambda k, a, b: (-44.3 + (k * a % 10007) * 1e-6, -2.5 + (k * b % 10009) * 1e-6)
+    pts, nodes = [(0, k, *at(k, 7919, 104729)) for k in (24468, 77823)], [(0, k, *at(k, 6151, 15331)) for k in range(6000)]
+    monkeypatch.setattr(queries.m, "hps", lambda *_: spark.createDataFrame(pts, "project_id long, hp_id long, lon double, lat double"))
+    monkeypatch.setattr(queries.m, "centres", lambda *_: spark.createDataFrame(nodes, "project_id long, centre_id long, lon double, lat double"))
+    got = {(r.hp_id, r["rank"]): r.centre_id for r in queries.candidate_rank(spark, "").collect()}
+    f, want = abs(math.cos(math.radians(sum(q[3] for q in pts) / 2))), {}
+    for _, i, x, y in pts:
+        near = sorted(((x - u) * f * ((x - u) * f) + (y - v) * (y - v), k) for _, k, u, v in nodes)
+        want |= {(i, r + 1): k for r, (_, k) in enumerate(near[:3])}
+    assert got == want and (want[24468, 3], want[77823, 3]) == (4366, 2463)  # distances of scaled places give 4776 and 2053
+
+
 def test_snapping_at_all_latitudes(spark):
     rng = random.Random(6)
     lats = [0.0, 0.9999, -1.0001, 45.0, 59.99995, -75.0, 88.5]
