@@ -129,6 +129,25 @@ def test_near_ties_in_the_order_of_the_sql(spark, monkeypatch):
     assert got == want and (want[24468, 3], want[77823, 3]) == (4366, 2463)  # distances of scaled places give 4776 and 2053
 
 
+def test_cells_follow_the_crowd_of_nodes(spark, monkeypatch):
+    rng = random.Random(8)
+    spot = lambda w: (rng.random() * w, rng.random() * w)
+    nodes = [(0, i, *spot(0.002)) for i in range(1500)] + [(0, 1500 + i, *spot(1e-5)) for i in range(500)] + [(0, 2000 + i, 0.001, 0.001) for i in range(500)]
+    pts = [(0, i, *spot(w)) for i, w in enumerate([0.002] * 50 + [1e-5] * 50 + [1.0] * 5)] + [(0, 105, 0.001, 0.001)]
+    p = spark.createDataFrame(pts, "project_id long, p long, x double, y double")
+    n = spark.createDataFrame(nodes, "project_id long, node_id long, x double, y double")
+    sizes, around = [], geo.cells_around
+    monkeypatch.setattr(geo, "cells_around", lambda x, y, size: sizes.append(size) or around(x, y, size))
+    got = {(r.p, r["rank"]): r.node_id for r in spatial.nearest_nodes(p, n, "p", ["project_id"], 2).collect()}
+    want = {}
+    for _, i, x, y in pts:
+        near = sorted(((x - u) * (x - u) + (y - v) * (y - v), k) for _, k, u, v in nodes)
+        want |= {(i, r + 1): k for r, (_, k) in enumerate(near[:2])}
+    assert got == want
+    full = pd.Series([(math.floor(x / sizes[0]), math.floor(y / sizes[0])) for x, y in {q[2:] for q in nodes}]).value_counts()
+    assert (full**2).sum() / full.sum() <= 12
+
+
 def test_snapping_at_all_latitudes(spark):
     rng = random.Random(6)
     lats = [0.0, 0.9999, -1.0001, 45.0, 59.99995, -75.0, 88.5]
