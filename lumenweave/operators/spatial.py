@@ -151,7 +151,7 @@ def _within(points: DataFrame, segs: DataFrame, keys: list[str], limit_m: float)
     dealt = segs.select(*keys, "seg_id", "x1", "y1", "x2", "y2", F.explode(bands).alias("band")).withColumn("_w", width(F.col("band")))
     low, high = F.greatest(box[1], F.col("band") - reach), F.least(box[3], F.col("band") + 1 + reach)
     dealt = dealt.select("*", F.explode(geo.cells_of_box(box[0], low, box[2], high, F.col("_w"))).alias("_c")).select("*", "_c.*").drop("_c", "_w")
-    return placed.join(dealt, [*keys, "band", "cx", "cy"])
+    return placed.join(unmeasured(dealt), [*keys, "band", "cx", "cy"])
 
 
 def snapped(points: DataFrame, segs: DataFrame, point_id: str, keys: list[str], limit_m: float | None = None, size: float = 0.001) -> DataFrame:
@@ -174,17 +174,17 @@ def snapped(points: DataFrame, segs: DataFrame, point_id: str, keys: list[str],
         placed = todo.select("*", F.explode(geo.cells_around("lon", "lat", size)).alias("_c")).select("*", "_c.*").drop("_c")
         box = geo.cells_of_box(F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), size)
         dealt = segs.select(*keys, "seg_id", "x1", "y1", "x2", "y2", F.explode(box).alias("_c")).select("*", "_c.*").drop("_c")
-        best = placed.join(dealt, [*keys, "cx", "cy"]).withColumn("n", near).groupBy(*keys, point_id).agg(first)
+        best = placed.join(unmeasured(dealt), [*keys, "cx", "cy"]).withColumn("n", near).groupBy(*keys, point_id).agg(first)
         last = size > extent
         best = written(best if last else best.filter(F.col("b.d2") <= size * size), "snap")
         found = best if found is None else found.unionByName(best)
-        todo = todo.join(best.select(*keys, point_id), [*keys, point_id], "left_anti")
+        todo = todo.join(unmeasured(best.select(*keys, point_id)), [*keys, point_id], "left_anti")
         if last or todo.limit(1).count() == 0:
             break
         todo, size = written(todo, "snap-todo"), size * 4
     if found is None:
         return points.select("*", F.col("lon").alias("snap_lon"), F.col("lat").alias("snap_lat"), F.lit(None).cast("double").alias("snap_m"), F.lit(False).alias("moved"))
-    joined = points.join(found, [*keys, point_id], "left").withColumn("snap_m", geo.haversine("lon", "lat", "b.x", "b.y"))
+    joined = points.join(unmeasured(found), [*keys, point_id], "left").withColumn("snap_m", geo.haversine("lon", "lat", "b.x", "b.y"))
     ok = F.col("snap_m").isNotNull() if limit_m is None else F.coalesce(F.col("snap_m") <= float(limit_m), F.lit(False))
     return joined.select(*points.columns, F.when(ok, F.col("b.x")).otherwise(F.col("lon")).alias("snap_lon"), F.when(ok, F.col("b.y")).otherwise(F.col("lat")).alias("snap_lat"), "snap_m", ok.alias("moved"))
 
@@ -194,7 +194,7 @@ def pole_spans(poles: DataFrame, keys: list[str], limit_m: float = 60.0) -> Data
     box = limit_m / geo.DEGREE_M
     here = poles.select(*keys, F.col("pole_id").alias("a"), F.col("lon").alias("x1"), F.col("lat").alias("y1"), F.explode(geo.cells_around("lon", "lat", box)).alias("_c")).select("*", "_c.*").drop("_c")
     there = poles.select(*keys, F.col("pole_id").alias("b"), F.col("lon").alias("x2"), F.col("lat").alias("y2"), geo.cell("lon", box).alias("cx"), geo.cell("lat", box).alias("cy"))
-    pairs = here.join(there, [*keys, "cx", "cy"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("x1") - F.col("x2")) <= box) & (F.abs(F.col("y1") - F.col("y2")) <= box))
+    pairs = here.join(unmeasured(there), [*keys, "cx", "cy"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("x1") - F.col("x2")) <= box) & (F.abs(F.col("y1") - F.col("y2")) <= box))
     return pairs.withColumn("real_dist", geo.haversine("x1", "y1", "x2", "y2")).filter(F.col("real_dist") <= limit_m).drop("cx", "cy")
 
 
@@ -203,8 +203,8 @@ def crossing_penalty(spans: DataFrame, segs: DataFrame, keys: list[str], factor:
     box = lambda: geo.cells_of_box(F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), size)
     a = spans.select(*keys, "a", "b", "x1", "y1", "x2", "y2", F.explode(box()).alias("_c")).select("*", "_c.*").drop("_c")
     s = segs.select(*keys, "x1", "y1", "x2", "y2", F.explode(box()).alias("_c")).select(*keys, F.col("x1").alias("x3"), F.col("y1").alias("y3"), F.col("x2").alias("x4"), F.col("y2").alias("y4"), "_c.*")
-    hit = a.join(s, [*keys, "cx", "cy"]).filter(geo.touching("x1", "y1", "x2", "y2", "x3", "y3", "x4", "y4")).select(*keys, "a", "b").distinct().withColumn("crosses", F.lit(True))
-    out = spans.join(hit, [*keys, "a", "b"], "left").withColumn("crosses", F.coalesce("crosses", F.lit(False)))
+    hit = a.join(unmeasured(s), [*keys, "cx", "cy"]).filter(geo.touching("x1", "y1", "x2", "y2", "x3", "y3", "x4", "y4")).select(*keys, "a", "b").distinct().withColumn("crosses", F.lit(True))
+    out = spans.join(unmeasured(hit), [*keys, "a", "b"], "left").withColumn("crosses", F.coalesce("crosses", F.lit(False)))
     return out.withColumn("weight", F.when(F.col("crosses"), F.col("real_dist") * factor).otherwise(F.col("real_dist")))
 
 

@@ -53,3 +53,9 @@ def test_whole_part_table(spark):
 
     want = {(a, b) for a in at for b in at if a < b and a // 200 == b // 200 and metres(at[a], at[b]) <= 60}
     assert {(r.a, r.b) for r in QUERIES["whole_pole_spans"](spark, SF).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["whole_pole_crossings", "whole_pole_spans", "whole_snap_limit"])
+def test_joins_of_large_tables_send_nothing_through_the_driver(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
