@@ -1,8 +1,8 @@
 """Capacitated assignment and clustering, one numpy task for each project.
 
 The steps are sequential by nature: points choose centres in order of regret, and each choice uses up room.
-Nothing here holds points times centres at once; distances come in blocks, and a point looks at its nearest
-centres first and widens only while those are full.
+Nothing here holds points times centres at once, or looks at all of these pairs: points lie in the leaves of a
+tree of boxes (``Leaves``), and a leaf meets only the centres that can be among the nearest of its points.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 BLOCK = 4_000_000
+#: Nearest centres that a point looks at before all that have room.
+FEW = 12
 
 
 class ClusterError(ValueError):
@@ -32,34 +34,125 @@ def scaled(points: np.ndarray, latitude: float) -> np.ndarray:
     return points * np.array([max(abs(np.cos(np.radians(latitude))), 1e-9), 1.0])
 
 
-def _d2(p: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return (p[:, None, 0] - c[None, :, 0]) ** 2 + (p[:, None, 1] - c[None, :, 1]) ** 2
-
-
-def nearest_two(p: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distances to the nearest and the second nearest centre (the nearest again if there is one)."""
-    one, two = np.empty(len(p)), np.empty(len(p))
-    step = max(1, BLOCK // max(1, len(c)))
-    for i in range(0, len(p), step):
-        d = _d2(p[i : i + step], c)
-        if len(c) == 1:
-            one[i : i + step] = two[i : i + step] = d[:, 0]
-        else:
-            d.partition(1, axis=1)
-            one[i : i + step], two[i : i + step] = d[:, 0], d[:, 1]
-    return one, two
+class Leaves:
+    """Points in leaves of some ``SIZE``, cut by medians in turn, with the boxes of all levels of that tree.
 
+    Answers are exact and those of a search through all centres: ties go to the lowest centre.
+    """
 
-def regret_order(p: np.ndarray, c: np.ndarray, pending: np.ndarray) -> np.ndarray:
+    SIZE, FAN = 24, 4
+
+    def __init__(self, p: np.ndarray):
+        n, depth = len(p), 0
+        while n >> depth > self.SIZE:
+            depth += 1
+        order, cuts = np.arange(n), np.array([0, n])
+        for _ in range(depth):
+            # One sort of all nodes at once: by node, then along the longer side of the node's box.
+            node = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            q = p[order]
+            side = np.maximum.reduceat(q, cuts[:-1], axis=0) - np.minimum.reduceat(q, cuts[:-1], axis=0)
+            order = order[np.lexsort((np.where((side[:, 0] >= side[:, 1])[node], q[:, 0], q[:, 1]), node))]
+            cuts = np.sort(np.concatenate((cuts, (cuts[:-1] + cuts[1:]) // 2)))
+        self.n, self.depth = n, depth
+        most = int(np.diff(cuts).max())
+        slot = np.arange(most)
+        self.real = slot < np.diff(cuts)[:, None]
+        self.at = order[np.minimum(cuts[:-1, None] + slot, cuts[1:, None] - 1)]  # a short leaf repeats its last point
+        self.x, self.y = p[self.at, 0], p[self.at, 1]
+        self.boxes = {depth: (self.x.min(axis=1), self.y.min(axis=1), self.x.max(axis=1), self.y.max(axis=1))}
+        for d in range(depth - 1, -1, -1):
+            lo, hi = self.boxes[d + 1][:2], self.boxes[d + 1][2:]
+            self.boxes[d] = (*(np.minimum(x[::2], x[1::2]) for x in lo), *(np.maximum(x[::2], x[1::2]) for x in hi))
+
+    def flat(self, x: np.ndarray) -> np.ndarray:
+        """Values of the leaves' points in the order of the points."""
+        out = np.empty(self.n, x.dtype)
+        out[self.at] = x  # a repeated point has the same value twice
+        return out
+
+    def _candidates(self, c: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a leaf and a centre, by leaf and centre: all that may be among the m nearest of some point."""
+        d, node, centre = 0, np.zeros(len(c), np.int64), np.arange(len(c))
+        cx, cy = np.ascontiguousarray(c[:, 0]), np.ascontiguousarray(c[:, 1])
+        while True:
+            start = np.nonzero(np.concatenate(([True], node[1:] != node[:-1])))[0]
+            size = np.diff(np.concatenate((start, [len(node)])))
+            x, y, (x1, y1, x2, y2) = cx[centre], cy[centre], (np.repeat(v[node[start]], size) for v in self.boxes[d])
+            west, east, south, north = x1 - x, x - x2, y1 - y, y - y2
+            near = np.maximum(np.maximum(west, east), 0.0) ** 2 + np.maximum(np.maximum(south, north), 0.0) ** 2
+            far = np.minimum(west, east) ** 2 + np.minimum(south, north) ** 2
+            if m == 1:
+                most = np.minimum.reduceat(far, start)
+            else:
+                most = far[np.lexsort((far, node))][start + np.minimum(m, size) - 1]
+            keep = near <= np.repeat(most, size)
+            node, centre = node[keep], centre[keep]
+            if d == self.depth:
+                return node, centre
+            step = min(self.FAN, self.depth - d)
+            d += step
+            start = np.nonzero(np.concatenate(([True], node[1:] != node[:-1])))[0]
+            size = np.diff(np.concatenate((start, [len(node)])))
+            # A node's centres once for each of its children.
+            child = np.repeat((node[start][:, None] << step) + np.arange(1 << step), size[:, None].repeat(1 << step, 1).ravel())
+            first = np.repeat(np.repeat(start, 1 << step), size.repeat(1 << step))
+            begin = np.concatenate(([0], np.cumsum(size.repeat(1 << step))[:-1]))
+            centre = centre[first + np.arange(len(child)) - np.repeat(begin, size.repeat(1 << step))]
+            node = child
+
+    def nearest(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each point its nearest centre and the squared distance, as leaves."""
+        node, centre = self._candidates(c, 1)
+        start = np.concatenate((np.nonzero(np.concatenate(([True], node[1:] != node[:-1])))[0], [len(node)]))
+        label, best = np.empty(self.at.shape, np.int64), np.empty(self.at.shape)
+        i, room = 0, max(1, BLOCK // self.at.shape[1])
+        while i < len(label):
+            j = max(i + 1, int(np.searchsorted(start, start[i] + room, side="right")) - 1)
+            mine, cut = slice(start[i], start[j]), start[i:j] - start[i]
+            q = c[centre[mine]]
+            d = (self.x[node[mine]] - q[:, :1]) ** 2 + (self.y[node[mine]] - q[:, 1:]) ** 2
+            best[i:j] = np.minimum.reduceat(d, cut, axis=0)
+            first = np.where(d == best[node[mine]], centre[mine][:, None], len(c))
+            label[i:j] = np.minimum.reduceat(first, cut, axis=0)
+            i = j
+        return label, best
+
+    def nearest_few(self, c: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each point its ``m`` nearest centres (all, if there are fewer) and the squared distances, nearest first."""
+        m = min(m, len(c))
+        node, centre = self._candidates(c, m)
+        start = np.concatenate((np.nonzero(np.concatenate(([True], node[1:] != node[:-1])))[0], [len(node)]))
+        label, best = np.empty((self.n, m), np.int64), np.empty((self.n, m))
+        i, size, room = 0, np.diff(start), max(1, BLOCK // self.at.shape[1])
+        by = np.argsort(size, kind="stable")  # leaves with as many candidates go together
+        while i < len(by):
+            widest = size[by[min(i + room // size[by[i]], len(by) - 1)]]
+            some = by[i : i + max(1, room // widest)]
+            i, widest = i + len(some), size[some[-1]]
+            slot = np.minimum(np.arange(widest), size[some, None] - 1)
+            k = centre[start[some, None] + slot]
+            d = (self.x[some, :, None] - c[k, 0][:, None, :]) ** 2 + (self.y[some, :, None] - c[k, 1][:, None, :]) ** 2
+            d = np.where((np.arange(widest) < size[some, None])[:, None, :], d, np.inf)
+            few = np.argsort(d, axis=2, kind="stable")[:, :, :m]
+            label[self.at[some]] = np.take_along_axis(np.broadcast_to(k[:, None, :], d.shape), few, axis=2)
+            best[self.at[some]] = np.take_along_axis(d, few, axis=2)
+        return label, best
+
+
+def _regret_order(near: np.ndarray, pending: np.ndarray) -> np.ndarray:
     """Pending points by falling regret (second nearest less nearest), then nearest, then index; by index with one centre."""
-    if len(c) <= 1:
+    if near.shape[1] < 2:
         return np.sort(pending)
-    one, two = nearest_two(p[pending], c)
+    one, two = near[pending, 0], near[pending, 1]
     return pending[np.lexsort((pending, one, -(two - one)))]
 
 
-def assign(points, centres, capacity: int, seeds=None) -> np.ndarray:
-    """Centre of each point under ``capacity``; ``seeds`` are labels whose clusters each keep their nearest member."""
+def assign(points, centres, capacity: int, seeds=None, leaves: Leaves | None = None) -> np.ndarray:
+    """Centre of each point under ``capacity``; ``seeds`` are labels whose clusters each keep their nearest member.
+
+    ``leaves``: the tree of these points, scaled, if there is one already.
+    """
     raw, ctr = _checked(points, capacity), _checked(centres, capacity)
     n, k = len(raw), len(ctr)
     if n == 0:
@@ -82,34 +175,62 @@ def assign(points, centres, capacity: int, seeds=None) -> np.ndarray:
             raise ClusterError("a cluster has no member to keep")
         labels[first] = seeds[first]
         room[seeds[first]] -= 1
-    for i in regret_order(p, c, np.nonzero(labels < 0)[0]).tolist():
-        d = ((c - p[i]) ** 2).sum(axis=1)
-        j = int(np.argmin(d))
-        if not room[j]:
-            j = int(np.argmin(np.where(room > 0, d, np.inf)))
-        labels[i] = j
-        room[j] -= 1
-    return labels
-
-
-def _lloyd(p: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 30) -> tuple[np.ndarray, float]:
+    few, near = (leaves or Leaves(p)).nearest_few(c, FEW)
+    order, left, out = _regret_order(near, np.nonzero(labels < 0)[0]), room.tolist(), labels.tolist()
+    open_, full, shut = np.arange(k), 0, len(c) // 8 + 8
+    for i, js in zip(order.tolist(), few[order].tolist(), strict=True):
+        for j in js:
+            if left[j]:
+                break
+        else:  # its few nearest are full: among all that had room at the last look
+            while True:
+                d = (c[open_, 0] - p[i, 0]) ** 2 + (c[open_, 1] - p[i, 1]) ** 2
+                at = int(np.argmin(d))
+                if full < shut and left[int(open_[at])]:
+                    j = int(open_[at])
+                    break
+                open_, full = np.array([x for x in open_.tolist() if left[x]]), 0
+        left[j] -= 1
+        full += not left[j]
+        out[i] = j
+    return np.array(out)
+
+
+def _seeded(leaves: Leaves, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Centres by k-means++: each next one is a point drawn by its squared distance to the nearest chosen."""
+    x1, y1, x2, y2 = leaves.boxes[leaves.depth]
+    leaf, slot = (x[0] for x in np.nonzero(leaves.real & (leaves.at == int(rng.integers(leaves.n)))))
+    chosen, d = [(int(leaf), int(slot))], np.where(leaves.real, np.inf, 0.0)
+    most, mass = np.full(len(d), np.inf), np.zeros(len(d))
+    for _ in range(k):
+        x, y = leaves.x[chosen[-1]], leaves.y[chosen[-1]]
+        near = np.maximum(np.maximum(x1 - x, x - x2), 0.0) ** 2 + np.maximum(np.maximum(y1 - y, y - y2), 0.0) ** 2
+        hit = np.nonzero(near < most)[0]
+        d[hit] = less = np.minimum(d[hit], (leaves.x[hit] - x) ** 2 + (leaves.y[hit] - y) ** 2)
+        most[hit], mass[hit] = less.max(axis=1), less.sum(axis=1)
+        upto = np.cumsum(mass)
+        if upto[-1] > 0:
+            spot = rng.random() * upto[-1]
+            leaf = int(np.searchsorted(upto, spot, side="right"))
+            leaf = leaf if leaf < len(d) and mass[leaf] > 0 else int(np.argmax(mass))
+            inside = np.cumsum(d[leaf])
+            slot = int(np.searchsorted(inside, spot - (upto[leaf] - mass[leaf]), side="right"))
+            slot = slot if slot < len(inside) and d[leaf, slot] > 0 else int(np.argmax(d[leaf]))
+        else:  # fewer places than clusters: the first points not chosen yet
+            free = leaves.real.copy()
+            free[tuple(np.array(chosen).T)] = False
+            leaf, slot = divmod(int(np.argmax(free)), free.shape[1])
+        chosen.append((leaf, slot))
+    at = tuple(np.array(chosen[:k]).T)
+    return np.stack([leaves.x[at], leaves.y[at]], axis=1)
+
+
+def _lloyd(p: np.ndarray, k: int, rng: np.random.Generator, leaves: Leaves | None = None, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Labels and cost of one run from careful seeds (k-means++)."""
-    chosen = [int(rng.integers(len(p)))]
-    d = ((p - p[chosen[0]]) ** 2).sum(axis=1)
-    for _ in range(1, k):
-        total = d.sum()
-        nxt = int(np.searchsorted(np.cumsum(d), rng.random() * total)) if total > 0 else next(i for i in range(len(p)) if i not in set(chosen))
-        nxt = min(nxt, len(p) - 1)
-        chosen.append(nxt)
-        d = np.minimum(d, ((p - p[nxt]) ** 2).sum(axis=1))
-    c, labels = p[chosen].copy(), np.full(len(p), -1)
-    step = max(1, BLOCK // k)
+    leaves = leaves or Leaves(p)
+    c, labels = _seeded(leaves, k, rng), np.full(len(p), -1)
     for _ in range(rounds):
-        fresh, near = np.empty(len(p), int), np.empty(len(p))
-        for i in range(0, len(p), step):
-            dist = _d2(p[i : i + step], c)
-            fresh[i : i + step] = dist.argmin(axis=1)
-            near[i : i + step] = dist[np.arange(len(dist)), fresh[i : i + step]]
+        fresh, near = (leaves.flat(x) for x in leaves.nearest(c))
         count = np.bincount(fresh, minlength=k)
         for j in np.nonzero(count == 0)[0].tolist():  # an empty cluster takes the farthest point
             far = int(np.argmax(np.where(count[fresh] > 1, near, -1)))
@@ -140,11 +261,12 @@ def cluster(points, k: int, capacity: int, seed: int = 42, max_iter: int = 20, s
         return np.zeros(n, int)
     rng = np.random.default_rng(seed)
     p = scaled(raw, float(raw[:, 1].mean()))
-    labels = min((_lloyd(p, k, rng) for _ in range(starts)), key=lambda x: x[1])[0]
+    leaves = Leaves(p)
+    labels = min((_lloyd(p, k, rng, leaves) for _ in range(starts)), key=lambda x: x[1])[0]
     means = lambda lab: np.stack([np.bincount(lab, weights=raw[:, a], minlength=k) / np.bincount(lab, minlength=k) for a in (0, 1)], axis=1)
     centres = means(labels)
     for _ in range(max_iter):
-        fresh = assign(raw, centres, capacity, seeds=labels)
+        fresh = assign(raw, centres, capacity, seeds=labels, leaves=leaves)
         centres = means(fresh)
         if (fresh == labels).all():
             break
@@ -215,7 +337,9 @@ def hierarchy(hps: DataFrame, config: dict, centres: DataFrame | None = None) ->
         return out[COLUMNS]
 
     if centres is None:
-        return hps.select("project_id", "hp_id", "lon", "lat").groupBy("project_id").applyInPandas(lambda hp: build(hp, None), HIERARCHY)
+        # A task for each project: Spark would merge them by their bytes, which say little about their work.
+        parts = max(128, 4 * hps.sparkSession.sparkContext.defaultParallelism)
+        return hps.select("project_id", "hp_id", "lon", "lat").repartition(parts, "project_id").groupBy("project_id").applyInPandas(lambda hp: build(hp, None), HIERARCHY)
     left, right = hps.select("project_id", "hp_id", "lon", "lat").groupBy("project_id"), centres.select("project_id", "centre_id", "lon", "lat").groupBy("project_id")
     return left.cogroup(right).applyInPandas(lambda hp, m: build(hp, m), HIERARCHY)
 

@@ -84,3 +84,43 @@ def test_hierarchy_and_checks(spark):
     assert sorted(map(tuple, checks.violations(hp, ctos, pons, ceos, (16, 8, 2)).collect())) == [("hp_in_none", "3"), ("hp_in_several", "1")]
     with pytest.raises(checks.AllocationError):
         checks.require_valid(hp, ctos, pons, ceos, (16, 8, 2))
+
+
+def test_leaves_give_the_nearest_of_all_centres(monkeypatch):
+    rng = np.random.default_rng(9)
+    knot = np.concatenate((rng.random((900, 2)), 0.5 + 1e-6 * rng.random((300, 2)), np.full((100, 2), 0.25)))
+    for p, k in ((rng.random((1, 2)), 1), (rng.random((60, 2)), 7), (knot, 80)):
+        c = p[rng.integers(len(p), size=k)]  # some twice
+        d = (p[:, None, 0] - c[None, :, 0]) ** 2 + (p[:, None, 1] - c[None, :, 1]) ** 2
+        for block in (clusters.BLOCK, 200):
+            monkeypatch.setattr(clusters, "BLOCK", block)
+            leaves = clusters.Leaves(p)
+            label, best = (leaves.flat(x) for x in leaves.nearest(c))
+            assert (label == d.argmin(axis=1)).all() and (best == d.min(axis=1)).all()
+            label, best = leaves.nearest_few(c, 5)
+            want = np.argsort(d, axis=1, kind="stable")[:, :5]
+            assert (label == want).all() and (best == np.take_along_axis(d, want, axis=1)).all()
+
+
+def test_assignment_of_many_equals_a_plain_one():
+    rng = np.random.default_rng(10)
+    p, c = rng.random((640, 2)) * 1e-2, rng.random((40, 2)) ** 3 * 1e-2
+    f = abs(np.cos(np.radians(p[:, 1].mean())))
+    d = (p[:, None, 0] * f - c[None, :, 0] * f) ** 2 + (p[:, None, 1] - c[None, :, 1]) ** 2
+    two = np.sort(d, axis=1)
+    room, want = [16] * 40, [-1] * 640
+    for i in sorted(range(640), key=lambda i: (-(two[i, 1] - two[i, 0]), two[i, 0], i)):
+        want[i] = int(next(j for j in np.argsort(d[i], kind="stable") if room[j]))
+        room[want[i]] -= 1
+    assert clusters.assign(p, c, 16).tolist() == want
+
+
+def test_a_leaf_meets_few_centres():
+    p = np.random.default_rng(11).random((20_000, 2))
+    leaves = clusters.Leaves(p)
+    c = clusters._seeded(leaves, 1250, np.random.default_rng(1))
+    assert len(np.unique(c, axis=0)) == 1250
+    node, _ = leaves._candidates(c, 1)
+    assert len(node) * leaves.x.shape[1] < 25 * len(p)  # of 1,250 for each point
+    same = clusters._seeded(clusters.Leaves(np.zeros((40, 2))), 30, np.random.default_rng(1))
+    assert same.shape == (30, 2)
