@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..storage import dealt
+
 BLOCK = 4_000_000
 #: Nearest centres that a point looks at before all that have room.
 FEW = 12
@@ -40,7 +42,7 @@ class Leaves:
     Answers are exact and those of a search through all centres: ties go to the lowest centre.
     """
 
-    SIZE, FAN = 24, 4
+    SIZE, FAN, STEP = 24, 4, 2
 
     def __init__(self, p: np.ndarray):
         n, depth = len(p), 0
@@ -55,6 +57,7 @@ class Leaves:
             order = order[np.lexsort((np.where((side[:, 0] >= side[:, 1])[node], q[:, 0], q[:, 1]), node))]
             cuts = np.sort(np.concatenate((cuts, (cuts[:-1] + cuts[1:]) // 2)))
         self.n, self.depth = n, depth
+        self.few, self.centres = None, 0  # the last answer of ``nearest_few`` in ``assign``, and for how many centres
         most = int(np.diff(cuts).max())
         slot = np.arange(most)
         self.real = slot < np.diff(cuts)[:, None]
@@ -101,27 +104,79 @@ class Leaves:
             centre = centre[first + np.arange(len(child)) - np.repeat(begin, size.repeat(1 << step))]
             node = child
 
-    def nearest(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each point its nearest centre and the squared distance, as leaves."""
-        node, centre = self._candidates(c, 1)
+    def _reach(self, c: np.ndarray, bound: np.ndarray, who: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a leaf and a centre, by leaf and centre: centres within a leaf's squared ``bound`` of its box.
+
+        A leaf that isn't ``whole`` meets only the centres of ``who``.
+        """
+        up = {self.depth: (bound, whole)}
+        for d in range(self.depth - 1, -1, -1):
+            b, w = up[d + 1]
+            up[d] = (np.maximum(b[::2], b[1::2]), w[::2] | w[1::2])
+        d, centre = 0, np.arange(len(c))
+        node, x, y = np.zeros(len(c), np.int64), c[:, 0], c[:, 1]
+        while True:
+            (x1, y1, x2, y2), (b, w) = self.boxes[d], up[d]
+            wide = np.maximum(np.maximum(x1[node] - x, x - x2[node]), 0.0)
+            high = np.maximum(np.maximum(y1[node] - y, y - y2[node]), 0.0)
+            keep = np.nonzero((wide * wide + high * high <= b[node]) & (w[node] | who[centre]))[0]
+            node, centre = node[keep], centre[keep]
+            if d == self.depth:
+                order = np.lexsort((centre, node))
+                return node[order], centre[order]
+            step = min(self.STEP, self.depth - d)
+            d += step
+            node = ((node << step)[:, None] + np.arange(1 << step)).ravel()
+            centre = centre.repeat(1 << step)
+            x, y = c[centre, 0], c[centre, 1]
+
+    def nearest(self, c: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each point its nearest centre and the squared distance, as leaves.
+
+        ``most``: for each leaf a squared distance within which all its points have a centre; ``known``: this answer for centres of which some have moved since, and which these are.  A leaf then looks
+        again at all centres only if one of its points has lost its own, and else at those that moved to within reach.
+        """
+        if known is None:
+            node, centre = self._candidates(c, 1) if most is None else self._reach(c, most, np.ones(len(c), bool), np.ones(len(most), bool))
+            label, best = np.full(self.at.shape, len(c)), np.full(self.at.shape, np.inf)
+        else:
+            (label, best), moved = (x.copy() for x in known[:2]), known[2]
+            lost = moved[label].any(axis=1)
+            own, x, y = label[lost], self.x[lost], self.y[lost]
+            bound = best.max(axis=1)
+            bound[lost] = ((x - c[own, 0]) ** 2 + (y - c[own, 1]) ** 2).max(axis=1)
+            node, centre = self._reach(c, bound, moved, lost)
+            label[lost], best[lost] = len(c), np.inf
+        if not len(node):
+            return label, best
         start = np.concatenate((np.nonzero(np.concatenate(([True], node[1:] != node[:-1])))[0], [len(node)]))
-        label, best = np.empty(self.at.shape, np.int64), np.empty(self.at.shape)
-        i, room = 0, max(1, BLOCK // self.at.shape[1])
-        while i < len(label):
+        i, n, room = 0, len(start) - 1, max(1, BLOCK // self.at.shape[1])
+        while i < n:
             j = max(i + 1, int(np.searchsorted(start, start[i] + room, side="right")) - 1)
-            mine, cut = slice(start[i], start[j]), start[i:j] - start[i]
-            q = c[centre[mine]]
-            d = (self.x[node[mine]] - q[:, :1]) ** 2 + (self.y[node[mine]] - q[:, 1:]) ** 2
-            best[i:j] = np.minimum.reduceat(d, cut, axis=0)
-            first = np.where(d == best[node[mine]], centre[mine][:, None], len(c))
-            label[i:j] = np.minimum.reduceat(first, cut, axis=0)
+            mine, cut, at = slice(start[i], start[j]), start[i:j] - start[i], node[start[i:j]]
+            q, here = c[centre[mine]], node[mine]
+            d = (self.x[here] - q[:, :1]) ** 2 + (self.y[here] - q[:, 1:]) ** 2
+            least = np.minimum(np.minimum.reduceat(d, cut, axis=0), best[at])
+            first = np.where(d == least.repeat(np.diff(start[i : j + 1]), axis=0), centre[mine][:, None], len(c))
+            label[at] = np.minimum(np.minimum.reduceat(first, cut, axis=0), np.where(best[at] == least, label[at], len(c)))
+            best[at] = least
             i = j
         return label, best
 
-    def nearest_few(self, c: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each point its ``m`` nearest centres (all, if there are fewer) and the squared distances, nearest first."""
+    def nearest_few(self, c: np.ndarray, m: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each point its ``m`` nearest centres (all, if there are fewer) and the squared distances, nearest first.
+
+        ``known``: ``m`` different centres for each point that are likely to be near.
+        """
         m = min(m, len(c))
-        node, centre = self._candidates(c, m)
+        if known is None:
+            node, centre = self._candidates(c, m)
+        else:
+            bound = np.zeros(len(self.at))
+            for k in known.T:
+                k = k[self.at]
+                np.maximum(bound, ((self.x - c[k, 0]) ** 2 + (self.y - c[k, 1]) ** 2).max(axis=1), out=bound)
+            node, centre = self._reach(c, bound, np.ones(len(c), bool), np.ones(len(bound), bool))
         start = np.concatenate((np.nonzero(np.concatenate(([True], node[1:] != node[:-1])))[0], [len(node)]))
         label, best = np.empty((self.n, m), np.int64), np.empty((self.n, m))
         i, size, room = 0, np.diff(start), max(1, BLOCK // self.at.shape[1])
@@ -175,7 +230,9 @@ def assign(points, centres, capacity: int, seeds=None, leaves: Leaves | None = N
             raise ClusterError("a cluster has no member to keep")
         labels[first] = seeds[first]
         room[seeds[first]] -= 1
-    few, near = (leaves or Leaves(p)).nearest_few(c, FEW)
+    leaves = leaves or Leaves(p)
+    few, near = leaves.nearest_few(c, FEW, leaves.few if leaves.few is not None and leaves.few.shape[1] == min(FEW, k) and leaves.centres == k else None)
+    leaves.few, leaves.centres = few, k
     order, left, out = _regret_order(near, np.nonzero(labels < 0)[0]), room.tolist(), labels.tolist()
     open_, full, shut = np.arange(k), 0, len(c) // 8 + 8
     for i, js in zip(order.tolist(), few[order].tolist(), strict=True):
@@ -196,25 +253,36 @@ def assign(points, centres, capacity: int, seeds=None, leaves: Leaves | None = N
     return np.array(out)
 
 
-def _seeded(leaves: Leaves, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Centres by k-means++: each next one is a point drawn by its squared distance to the nearest chosen."""
+def _seeds(leaves: Leaves, k: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Centres by k-means++, and for each leaf the largest squared distance of a point to its nearest.
+
+    Each next centre is a point drawn by its squared distance to the nearest chosen.
+    """
     x1, y1, x2, y2 = leaves.boxes[leaves.depth]
-    leaf, slot = (x[0] for x in np.nonzero(leaves.real & (leaves.at == int(rng.integers(leaves.n)))))
-    chosen, d = [(int(leaf), int(slot))], np.where(leaves.real, np.inf, 0.0)
+    leaf, slot = (int(x[0]) for x in np.nonzero(leaves.real & (leaves.at == int(rng.integers(leaves.n)))))
+    chosen, d = [(leaf, slot)], np.where(leaves.real, np.inf, 0.0)
     most, mass = np.full(len(d), np.inf), np.zeros(len(d))
+    px, py, zero = leaves.x, leaves.y, np.zeros(len(d))
     for _ in range(k):
-        x, y = leaves.x[chosen[-1]], leaves.y[chosen[-1]]
-        near = np.maximum(np.maximum(x1 - x, x - x2), 0.0) ** 2 + np.maximum(np.maximum(y1 - y, y - y2), 0.0) ** 2
-        hit = np.nonzero(near < most)[0]
-        d[hit] = less = np.minimum(d[hit], (leaves.x[hit] - x) ** 2 + (leaves.y[hit] - y) ** 2)
-        most[hit], mass[hit] = less.max(axis=1), less.sum(axis=1)
-        upto = np.cumsum(mass)
+        x, y = px[leaf, slot], py[leaf, slot]
+        wide, high = np.maximum(x1 - x, x - x2), np.maximum(y1 - y, y - y2)
+        np.maximum(wide, zero, out=wide)
+        np.maximum(high, zero, out=high)
+        wide *= wide
+        high *= high
+        wide += high
+        hit = (wide < most).nonzero()[0]
+        if len(hit):
+            dx, dy = px[hit] - x, py[hit] - y
+            d[hit] = less = np.minimum(d[hit], dx * dx + dy * dy)
+            most[hit], mass[hit] = less.max(axis=1), less.sum(axis=1)
+        upto = mass.cumsum()
         if upto[-1] > 0:
             spot = rng.random() * upto[-1]
-            leaf = int(np.searchsorted(upto, spot, side="right"))
+            leaf = int(upto.searchsorted(spot, side="right"))
             leaf = leaf if leaf < len(d) and mass[leaf] > 0 else int(np.argmax(mass))
-            inside = np.cumsum(d[leaf])
-            slot = int(np.searchsorted(inside, spot - (upto[leaf] - mass[leaf]), side="right"))
+            inside = d[leaf].cumsum()
+            slot = int(inside.searchsorted(spot - (upto[leaf] - mass[leaf]), side="right"))
             slot = slot if slot < len(inside) and d[leaf, slot] > 0 else int(np.argmax(d[leaf]))
         else:  # fewer places than clusters: the first points not chosen yet
             free = leaves.real.copy()
@@ -222,15 +290,20 @@ def _seeded(leaves: Leaves, k: int, rng: np.random.Generator) -> np.ndarray:
             leaf, slot = divmod(int(np.argmax(free)), free.shape[1])
         chosen.append((leaf, slot))
     at = tuple(np.array(chosen[:k]).T)
-    return np.stack([leaves.x[at], leaves.y[at]], axis=1)
+    return np.stack([px[at], py[at]], axis=1), most
+
+
+def _seeded(leaves: Leaves, k: int, rng: np.random.Generator) -> np.ndarray:
+    return _seeds(leaves, k, rng)[0]
 
 
 def _lloyd(p: np.ndarray, k: int, rng: np.random.Generator, leaves: Leaves | None = None, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Labels and cost of one run from careful seeds (k-means++)."""
     leaves = leaves or Leaves(p)
-    c, labels = _seeded(leaves, k, rng), np.full(len(p), -1)
+    (c, most), labels, known = _seeds(leaves, k, rng), np.full(len(p), -1), None
     for _ in range(rounds):
-        fresh, near = (leaves.flat(x) for x in leaves.nearest(c))
+        answer = leaves.nearest(c, known, most)
+        fresh, near = (leaves.flat(x) for x in answer)
         count = np.bincount(fresh, minlength=k)
         for j in np.nonzero(count == 0)[0].tolist():  # an empty cluster takes the farthest point
             far = int(np.argmax(np.where(count[fresh] > 1, near, -1)))
@@ -238,8 +311,9 @@ def _lloyd(p: np.ndarray, k: int, rng: np.random.Generator, leaves: Leaves | Non
             fresh[far], near[far], count[j] = j, 0.0, 1
         if (fresh == labels).all():
             break
-        labels = fresh
+        labels, before = fresh, c
         c = np.stack([np.bincount(labels, weights=p[:, a], minlength=k) / np.bincount(labels, minlength=k) for a in (0, 1)], axis=1)
+        known = (*answer, (c != before).any(axis=1))
     return labels, float(((p - c[labels]) ** 2).sum())
 
 
@@ -337,10 +411,8 @@ def hierarchy(hps: DataFrame, config: dict, centres: DataFrame | None = None) ->
         return out[COLUMNS]
 
     if centres is None:
-        # A task for each project: Spark would merge them by their bytes, which say little about their work.
-        parts = max(128, 4 * hps.sparkSession.sparkContext.defaultParallelism)
-        return hps.select("project_id", "hp_id", "lon", "lat").repartition(parts, "project_id").groupBy("project_id").applyInPandas(lambda hp: build(hp, None), HIERARCHY)
-    left, right = hps.select("project_id", "hp_id", "lon", "lat").groupBy("project_id"), centres.select("project_id", "centre_id", "lon", "lat").groupBy("project_id")
+        return dealt(hps.select("project_id", "hp_id", "lon", "lat"), "project_id").groupBy("project_id").applyInPandas(lambda hp: build(hp, None), HIERARCHY)
+    left, right = (dealt(x, "project_id").groupBy("project_id") for x in (hps.select("project_id", "hp_id", "lon", "lat"), centres.select("project_id", "centre_id", "lon", "lat")))
     return left.cogroup(right).applyInPandas(lambda hp, m: build(hp, m), HIERARCHY)
 
 

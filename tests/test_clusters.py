@@ -124,3 +124,35 @@ def test_a_leaf_meets_few_centres():
     assert len(node) * leaves.x.shape[1] < 25 * len(p)  # of 1,250 for each point
     same = clusters._seeded(clusters.Leaves(np.zeros((40, 2))), 30, np.random.default_rng(1))
     assert same.shape == (30, 2)
+
+
+def test_searches_from_what_is_known_equal_whole_ones(monkeypatch):
+    rng = np.random.default_rng(12)
+    knot = np.concatenate((rng.random((3000, 2)), 0.5 + 1e-6 * rng.random((300, 2)), np.full((100, 2), 0.25)))
+    leaves = clusters.Leaves(knot)
+    c, most = clusters._seeds(leaves, 200, np.random.default_rng(1))
+    c[7] = c[8]  # a tie
+    before, few = leaves.nearest(c), leaves.nearest_few(c, 5)[0]
+    moved = np.zeros(200, bool)
+    moved[[3, 8, 50]] = True
+    later = c.copy()
+    later[moved] = rng.random((3, 2))
+    for block in (clusters.BLOCK, 200):
+        monkeypatch.setattr(clusters, "BLOCK", block)
+        got, want = leaves.nearest(later, (*before, moved)), leaves.nearest(later)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+        got, want = leaves.nearest_few(later, 5, few), leaves.nearest_few(later, 5)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    first = clusters._seeded(leaves, 200, np.random.default_rng(1))
+    got, want = leaves.nearest(first, most=most), leaves.nearest(first)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_only_leaves_near_moved_centres_look_again(monkeypatch):
+    p = np.random.default_rng(13).random((20_000, 2))
+    leaves, pairs, reach = clusters.Leaves(p), [], clusters.Leaves._reach
+    c = clusters._seeded(leaves, 1250, np.random.default_rng(1))
+    before, moved = leaves.nearest(c), np.arange(1250) < 12
+    monkeypatch.setattr(clusters.Leaves, "_reach", lambda *a: pairs.append(reach(*a)) or pairs[-1])
+    leaves.nearest(c + 1e-4 * moved[:, None], (*before, moved))
+    assert len(np.unique(pairs[0][0])) < len(leaves.at) / 10
