@@ -13,8 +13,10 @@ documents would be quadratic; instead, what a document streams against a shard i
    position that occurs twice or more) and reports the windows that reach the threshold.
 4. Per document, reported windows merge into maximal spans, which are removed from the text in one last pass.
 
-A minimizer with more than ``MAX_VARIANTS`` distinct segments is split further: its windows are spread by
-their own words and counted with map-side sums, so no group grows with the corpus.  Lists of regions and
+A minimizer with more than ``MAX_VARIANTS`` distinct segments is split further: its segments are cut into the
+windows that reach 16 words or more to the left of the minimizer and those that reach fewer, and dealt by the words
+that all such windows share.  Equal cuts collapse, and groups that are still too large are cut again, by 8, 4, 2 and
+1, which leaves equal windows.  A step makes at most two rows of one, and no group grows with the corpus.  Lists of regions and
 spans per text are broadcast only if a count shows that they are few, and joined by a shuffle otherwise.
 
 Defined cases: null text is empty, with no words; texts shorter than a window keep all words; copies and
@@ -42,7 +44,7 @@ _LOW = np.uint64((1 << 26) - 1)
 
 
 def segments(offsets: np.ndarray, h: np.ndarray, window: int = WINDOW, gram: int = GRAM):
-    """Segments of a chunk of texts: text number, minimizer, first window, number of windows.
+    """Segments of a chunk of texts: text number, minimizer, first window, number of windows, words before the minimizer.
 
     ``h`` holds the hashes of all words.  A segment ends where the place of the minimizer changes.
     """
@@ -50,7 +52,7 @@ def segments(offsets: np.ndarray, h: np.ndarray, window: int = WINDOW, gram: int
     n = len(h) - window + 1
     if n <= 0:
         z = np.empty(0, np.int64)
-        return z, np.empty(0, np.uint64), z, z
+        return z, np.empty(0, np.uint64), z, z, z
     low = (g & ~_LOW) | np.arange(len(g), dtype=np.uint64)
     span, best, width = window - gram + 1, low, 1
     while 2 * width <= span:
@@ -61,11 +63,11 @@ def segments(offsets: np.ndarray, h: np.ndarray, window: int = WINDOW, gram: int
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     at = np.nonzero(doc[:n] == doc[window - 1 :])[0]
     if not len(at):
-        return at, np.empty(0, np.uint64), at, at
+        return at, np.empty(0, np.uint64), at, at, at
     d, p = doc[at], place[at]
     first = np.nonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (p[1:] != p[:-1]))))[0]
     count = np.diff(np.concatenate((first, [len(at)])))
-    return d[first], g[p[first]], at[first] - offsets[d[first]], count
+    return d[first], g[p[first]], at[first] - offsets[d[first]], count, p[first] - at[first]
 
 
 class Automaton:
@@ -153,7 +155,7 @@ def _runs(rows: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for b in chunks(batches):
             offsets, ids, names = words_of(column(b, "text"))
-            doc, low, start, n = segments(offsets, hash_words(names)[ids] if len(ids) else np.empty(0, np.uint64), window)
+            doc, low, start, n, _ = segments(offsets, hash_words(names)[ids] if len(ids) else np.empty(0, np.uint64), window)
             t = column(b, P + "t").to_numpy(zero_copy_only=False)[doc].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(low.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["t", "m", "start", "n"])
 
@@ -176,7 +178,7 @@ def _segment_texts(rows: DataFrame, regions: DataFrame, window: int) -> DataFram
     def run(batches):
         for b in chunks(batches):
             offsets, ids, names = words_of(column(b, "text"))
-            doc, low, start, n = segments(offsets, hash_words(names)[ids], window)
+            doc, low, start, n, left = segments(offsets, hash_words(names)[ids], window)
             cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
             spans, t, w = column(b, "spans").to_pylist(), column(b, "t").to_pylist(), column(b, "weight").to_pylist()
             for i in range(b.num_rows):
@@ -186,16 +188,16 @@ def _segment_texts(rows: DataFrame, regions: DataFrame, window: int) -> DataFram
                 k = np.searchsorted(begin, s, side="right") - 1
                 inside = (k >= 0) & (s < np.array([x["e"] for x in spans[i]])[k])
                 words = [names[j] for j in ids[offsets[i] : offsets[i + 1]].tolist()]
-                s, c, m = s[inside], n[mine][inside], low[mine][inside]
+                s, c, m, before = s[inside], n[mine][inside], low[mine][inside], left[mine][inside]
                 texts = [" ".join(words[x : x + y + window - 1]) for x, y in zip(s.tolist(), c.tolist(), strict=True)]
                 size = len(texts)
                 if size:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([t[i]] * size, pa.int64()), pa.array(m.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(texts, pa.string()), pa.array([w[i]] * size, pa.float64())],
-                        ["t", "m", "start", "words", "weight"],
+                        [pa.array([t[i]] * size, pa.int64()), pa.array(m.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(texts, pa.string()), pa.array(before.astype(np.int32)), pa.array([w[i]] * size, pa.float64())],
+                        ["t", "m", "start", "words", "left", "weight"],
                     )
 
-    return picked.select("t", "text", "spans", "weight").mapInArrow(run, "t long, m long, start int, words string, weight double")
+    return picked.select("t", "text", "spans", "weight").mapInArrow(run, "t long, m long, start int, words string, left int, weight double")
 
 
 def _shard_masks(segs: DataFrame, window: int) -> DataFrame:
@@ -233,13 +235,40 @@ def _shard_masks(segs: DataFrame, window: int) -> DataFrame:
     return dealt.select("m", "k1", "k2", "words", "weight").mapInArrow(run, "k1 long, k2 long, mask long")
 
 
-def _window_masks(segs: DataFrame, window: int) -> DataFrame:
-    """Masks of the segments of hot minimizers, from counts of single windows."""
-    rows = segs.select("k1", "k2", "weight", F.split("words", " ").alias("w"))
-    at = F.sequence(F.lit(0), F.size("w") - window)
-    rows = rows.select("k1", "k2", "weight", F.posexplode(F.transform(at, lambda i: F.array_join(F.slice("w", i + 1, window), " "))).alias("i", "x"))
-    often = save(rows.groupBy("x").agg(F.sum("weight").alias("c")).filter("c >= 1.5").select("x"), "repeat-often")
-    return rows.join(often, "x").groupBy("k1", "k2").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+def _halves(pieces: DataFrame, window: int, width: int) -> DataFrame:
+    """Pieces cut by the number of words that their windows have before the minimizer: ``width`` such numbers a cut.
+
+    ``up1``, ``up2`` name the piece of a cut, ``i`` is the cut's first window there.
+    """
+    left, low = F.col("left"), F.col("c") * width
+    high = F.least(low + width - 1, F.lit(window - GRAM))
+    rows = pieces.select("m", F.col("k1").alias("up1"), F.col("k2").alias("up2"), "weight", "left", F.split("words", " ").alias("w"))
+    rows = rows.withColumn("last", left - F.size("w") + window)
+    rows = rows.withColumn("c", F.explode(F.sequence(F.floor(F.col("last") / width).cast("int"), F.floor(left / width).cast("int"))))
+    rows = rows.select("*", F.least(left, high).alias("top"), F.greatest("last", low).alias("bottom"))
+    shared = F.array_join(F.slice("w", left - low + 1, low - high + window), " ")
+    words = F.array_join(F.slice("w", left - F.col("top") + 1, F.col("top") - F.col("bottom") + window), " ")
+    rows = rows.select("up1", "up2", "weight", (left - F.col("top")).alias("i"), F.col("top").alias("left"), F.xxhash64("m", "c", shared).alias("m"), words.alias("words"))
+    return rows.withColumn("k1", F.xxhash64("words")).withColumn("k2", F.xxhash64(F.lit(1), "words"))
+
+
+def _masks(pieces: DataFrame, window: int, width: int) -> DataFrame:
+    """Masks of distinct pieces, whose windows differ by less than ``width`` in the words before the minimizer."""
+    hot = pieces.groupBy("m").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > MAX_VARIANTS).select("m")
+    hot = save(hot, "repeat-hot")
+    if width == 1 or hot.limit(1).count() == 0:
+        return _shard_masks(pieces, window)
+    hot, width = broadcast_if_small(hot, BROADCAST_TEXTS), width // 2
+    cuts = save(_halves(pieces.join(hot, "m", "left_semi"), window, width), "repeat-halves")
+    found = save(_masks(_distinct(cuts), window, width).filter("mask <> 0"), "repeat-masks")
+    masks = cuts.select("up1", "up2", "i", "k1", "k2").join(found, ["k1", "k2"])
+    masks = masks.groupBy("up1", "up2").agg(F.bit_or(F.call_function("shiftleft", F.col("mask"), F.col("i"))).alias("mask"))
+    return _shard_masks(pieces.join(hot, "m", "left_anti"), window).unionByName(masks.withColumnsRenamed({"up1": "k1", "up2": "k2"}))
+
+
+def _distinct(pieces: DataFrame) -> DataFrame:
+    same = pieces.groupBy("m", "k1", "k2").agg(F.sum("weight").alias("weight"), F.first("words").alias("words"), F.first("left").alias("left"))
+    return save(same, "repeat-distinct")
 
 
 def spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -254,11 +283,8 @@ def spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     regions = save(regions.join(own, F.col("t") == F.col("t2")).select("t", "spans", F.col("x.doc_id").alias("rep"), (F.col("all") / F.col("x.c")).alias("weight")), "repeat-regions")
     segs = _segment_texts(rows, broadcast_if_small(regions, BROADCAST_TEXTS), window)
     segs = save(segs.withColumn("k1", F.xxhash64("words")).withColumn("k2", F.xxhash64(F.lit(1), "words")), "repeat-segments")
-    single = save(segs.groupBy("m", "k1", "k2").agg(F.sum("weight").alias("weight"), F.first("words").alias("words")), "repeat-distinct")
-    hot = single.groupBy("m").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > MAX_VARIANTS).select("m")
-    hot = broadcast_if_small(save(hot, "repeat-hot"), BROADCAST_TEXTS)
-    masks = _shard_masks(single.join(hot, "m", "left_anti"), window)
-    masks = save(masks.unionByName(_window_masks(single.join(hot, "m", "left_semi"), window)).filter("mask <> 0"), "repeat-masks")
+    masks = _masks(_distinct(segs), window, 1 << (window - GRAM).bit_length())
+    masks = save(masks.filter("mask <> 0"), "repeat-masks")
     bits = F.filter(F.sequence(F.lit(0), F.lit(window - GRAM)), lambda i: F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
     # Windows of one mask that follow each other are one piece; the rest merges per text.
     hits = segs.select("t", "start", "k1", "k2").join(masks, ["k1", "k2"]).select("t", "start", "mask", bits.alias("b"))

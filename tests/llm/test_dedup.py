@@ -46,6 +46,40 @@ def test_removal_without_broadcasts(docs, monkeypatch):
     assert got == removed((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
 
 
+def generated(spark, run):
+    """The most rows that one Generate of the queries of ``run`` made."""
+    store, rows = spark._jsparkSession.sharedState().statusStore(), [0]
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    run()
+    for i in range((done := store.executionsList()).size()):
+        k = done.apply(i).executionId()
+        nodes = store.planGraph(k).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size()) if k not in before):
+            values = [node.metrics().apply(j) for j in range(node.metrics().size()) if node.name().startswith("Generate")]
+            got = [store.executionMetrics(k).get(x.accumulatorId()) for x in values if x.name() == "number of output rows"]
+            rows += [int(x.get().replace(",", "")) for x in got if x.isDefined()]
+    return max(rows)
+
+
+def test_near_copies_of_one_text_make_few_rows(spark, monkeypatch):
+    """Variants of one minimizer: a step of the way of hot ones makes two rows of a segment at most, not one a window."""
+    monkeypatch.setattr(repeats, "MAX_VARIANTS", 20)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(200):
+        words = list(base)
+        for _ in range(2):
+            words[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    docs, got = spark.createDataFrame(rows, "doc_id long, text string"), Counter()
+    most = generated(spark, lambda: got.update(map(tuple, repeats.repeat_report(docs).collect())))
+    assert got == removed(rows)
+    parts = [repeats.segments(np.array([0, 60]), repeats.hash_words(t.split(" "))) for _, t in rows]
+    distinct = {(t, int(start)) for (_, t), part in zip(rows, parts, strict=True) for start in part[2]}
+    assert 0 < most <= 2 * len(distinct)
+
+
 def test_removal_on_small_windows(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 120)))) for i in range(30)]
