@@ -11,9 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..storage import dealt
+from ..storage import apart, dealt
 
-BLOCK = 4_000_000
+#: Distances held at once: few enough for a processor's cache.
+BLOCK = 1_000_000
 #: Nearest centres that a point looks at before all that have room.
 FEW = 12
 
@@ -42,7 +43,7 @@ class Leaves:
     Answers are exact and those of a search through all centres: ties go to the lowest centre.
     """
 
-    SIZE, FAN, STEP = 24, 4, 2
+    SIZE, FAN, STEP, UP = 24, 4, 2, 6
 
     def __init__(self, p: np.ndarray):
         n, depth = len(p), 0
@@ -179,7 +180,7 @@ class Leaves:
             node, centre = self._reach(c, bound, np.ones(len(c), bool), np.ones(len(bound), bool))
         start = np.concatenate((np.nonzero(np.concatenate(([True], node[1:] != node[:-1])))[0], [len(node)]))
         label, best = np.empty((self.n, m), np.int64), np.empty((self.n, m))
-        i, size, room = 0, np.diff(start), max(1, BLOCK // self.at.shape[1])
+        i, size, room = 0, np.diff(start), max(1, BLOCK // 4 // self.at.shape[1])
         by = np.argsort(size, kind="stable")  # leaves with as many candidates go together
         while i < len(by):
             widest = size[by[min(i + room // size[by[i]], len(by) - 1)]]
@@ -189,7 +190,12 @@ class Leaves:
             k = centre[start[some, None] + slot]
             d = (self.x[some, :, None] - c[k, 0][:, None, :]) ** 2 + (self.y[some, :, None] - c[k, 1][:, None, :]) ** 2
             d = np.where((np.arange(widest) < size[some, None])[:, None, :], d, np.inf)
-            few = np.argsort(d, axis=2, kind="stable")[:, :, :m]
+            few = np.argsort(d, axis=2)[:, :, : m + 1]
+            near = np.take_along_axis(d, few, axis=2)
+            tied = (near[:, :, 1:] == near[:, :, :-1]).any(axis=2)
+            few = few[:, :, :m]
+            if tied.any():  # equal distances by centre
+                few[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :m]
             label[self.at[some]] = np.take_along_axis(np.broadcast_to(k[:, None, :], d.shape), few, axis=2)
             best[self.at[some]] = np.take_along_axis(d, few, axis=2)
         return label, best
@@ -293,14 +299,81 @@ def _seeds(leaves: Leaves, k: int, rng: np.random.Generator) -> tuple[np.ndarray
     return np.stack([px[at], py[at]], axis=1), most
 
 
+def _seed_sets(leaves: Leaves, k: int, rng: np.random.Generator, starts: int):
+    """What ``_seeds`` gives in so many calls (but for the rounding of sums), from a loop over all starts at once."""
+    some = max(1, 8 * BLOCK // leaves.n)  # one distance a point and start
+    for i in range(0, starts, some):
+        many, state = min(some, starts - i), rng.bit_generator.state
+        sets = _seeds_at_once(leaves, k, rng, many)
+        if sets is None:  # fewer places than clusters: other draws
+            rng.bit_generator.state = state
+            sets = [_seeds(leaves, k, rng) for _ in range(many)]
+        yield from sets
+
+
+def _seeds_at_once(leaves: Leaves, k: int, rng: np.random.Generator, starts: int) -> list[tuple[np.ndarray, np.ndarray]] | None:
+    """The steps of ``_seeds`` for ``starts`` of them side by side; None if all places are chosen before the end.
+
+    A step looks at the nodes some levels up, then at the leaves of those that a new centre reaches.
+    """
+    draws = [(int(rng.integers(leaves.n)), rng.random(k)) for _ in range(starts)]
+    top = max(0, leaves.depth - leaves.UP)
+    n, fan, width = 1 << top, 1 << (leaves.depth - top), leaves.at.shape[1]
+    upper, lower = leaves.boxes[top], [v.reshape(n, fan) for v in leaves.boxes[leaves.depth]]
+    px, py, row = leaves.x, leaves.y, np.arange(starts)
+    leaf, slot = np.array([[int(x[0]) for x in np.nonzero(leaves.real & (leaves.at == first))] for first, _ in draws]).T
+    share = np.stack([x for _, x in draws], axis=1)
+    d = np.repeat(np.where(leaves.real, np.inf, 0.0).reshape(1, n, fan, width), starts, axis=0)
+    most, mass = np.full((starts, n, fan), np.inf), np.zeros((starts, n, fan))
+    node_most, node_mass = most[:, :, 0].copy(), mass[:, :, 0].copy()
+    chosen = np.empty((k, 2, starts), np.int64)
+
+    def gap(box, x, y):
+        wide, high = np.maximum(np.maximum(box[0] - x, x - box[2]), 0.0), np.maximum(np.maximum(box[1] - y, y - box[3]), 0.0)
+        wide *= wide
+        high *= high
+        wide += high
+        return wide
+
+    def drawn(weight, spot):
+        """For each row the place where its sums pass ``spot``, and how far into that place."""
+        upto = weight.cumsum(axis=1)
+        at = np.count_nonzero(upto <= spot[:, None], axis=1)
+        for j in np.nonzero((at == weight.shape[1]) | (weight[row, np.minimum(at, weight.shape[1] - 1)] <= 0))[0].tolist():
+            at[j] = int(np.argmax(weight[j]))
+        return at, spot - (upto[row, at] - weight[row, at])
+
+    for i in range(k):
+        chosen[i] = leaf, slot
+        x, y = px[leaf, slot], py[leaf, slot]
+        s, node = np.nonzero(gap(upper, x[:, None], y[:, None]) < node_most)
+        near = gap([v[node] for v in lower], x[s, None], y[s, None]) < most[s, node]
+        hit, j = np.nonzero(near)
+        s_, node_ = s[hit], node[hit]
+        at = node_ * fan + j
+        dx, dy = px[at] - x[s_, None], py[at] - y[s_, None]
+        less = np.minimum(d[s_, node_, j], dx * dx + dy * dy)
+        d[s_, node_, j], most[s_, node_, j], mass[s_, node_, j] = less, less.max(axis=1), less.sum(axis=1)
+        node_most[s, node], node_mass[s, node] = most[s, node].max(axis=1), mass[s, node].sum(axis=1)
+        total = node_mass.sum(axis=1)
+        if not (total > 0).all():
+            return None
+        node, rest = drawn(node_mass, share[i] * total)
+        j, rest = drawn(mass[row, node], rest)
+        leaf = node * fan + j
+        slot, _ = drawn(d[row, node, j], rest)
+    most = most.reshape(starts, -1)
+    return [(np.stack([px[tuple(chosen[:, :, j].T)], py[tuple(chosen[:, :, j].T)]], axis=1), most[j]) for j in range(starts)]
+
+
 def _seeded(leaves: Leaves, k: int, rng: np.random.Generator) -> np.ndarray:
     return _seeds(leaves, k, rng)[0]
 
 
-def _lloyd(p: np.ndarray, k: int, rng: np.random.Generator, leaves: Leaves | None = None, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Labels and cost of one run from careful seeds (k-means++)."""
+def _lloyd(p: np.ndarray, k: int, rng: np.random.Generator, leaves: Leaves | None = None, seeds: tuple[np.ndarray, np.ndarray] | None = None, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Labels and cost of one run from careful seeds (k-means++); ``seeds``: what ``_seeds`` gave, if it was asked."""
     leaves = leaves or Leaves(p)
-    (c, most), labels, known = _seeds(leaves, k, rng), np.full(len(p), -1), None
+    (c, most), labels, known = seeds or _seeds(leaves, k, rng), np.full(len(p), -1), None
     for _ in range(rounds):
         answer = leaves.nearest(c, known, most)
         fresh, near = (leaves.flat(x) for x in answer)
@@ -336,7 +409,7 @@ def cluster(points, k: int, capacity: int, seed: int = 42, max_iter: int = 20, s
     rng = np.random.default_rng(seed)
     p = scaled(raw, float(raw[:, 1].mean()))
     leaves = Leaves(p)
-    labels = min((_lloyd(p, k, rng, leaves) for _ in range(starts)), key=lambda x: x[1])[0]
+    labels = min((_lloyd(p, k, rng, leaves, x) for x in _seed_sets(leaves, k, rng, starts)), key=lambda x: x[1])[0]
     means = lambda lab: np.stack([np.bincount(lab, weights=raw[:, a], minlength=k) / np.bincount(lab, minlength=k) for a in (0, 1)], axis=1)
     centres = means(labels)
     for _ in range(max_iter):
@@ -411,7 +484,7 @@ def hierarchy(hps: DataFrame, config: dict, centres: DataFrame | None = None) ->
         return out[COLUMNS]
 
     if centres is None:
-        return dealt(hps.select("project_id", "hp_id", "lon", "lat"), "project_id").groupBy("project_id").applyInPandas(lambda hp: build(hp, None), HIERARCHY)
+        return apart(hps.select("project_id", "hp_id", "lon", "lat"), "project_id").groupBy("project_id").applyInPandas(lambda hp: build(hp, None), HIERARCHY)
     left, right = (dealt(x, "project_id").groupBy("project_id") for x in (hps.select("project_id", "hp_id", "lon", "lat"), centres.select("project_id", "centre_id", "lon", "lat")))
     return left.cogroup(right).applyInPandas(lambda hp, m: build(hp, m), HIERARCHY)
 

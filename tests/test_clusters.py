@@ -156,3 +156,27 @@ def test_only_leaves_near_moved_centres_look_again(monkeypatch):
     monkeypatch.setattr(clusters.Leaves, "_reach", lambda *a: pairs.append(reach(*a)) or pairs[-1])
     leaves.nearest(c + 1e-4 * moved[:, None], (*before, moved))
     assert len(np.unique(pairs[0][0])) < len(leaves.at) / 10
+
+
+def test_seeds_of_all_starts_at_once_equal_one_by_one(monkeypatch):
+    rng = np.random.default_rng(14)
+    knot = np.concatenate((rng.random((5000, 2)), 0.5 + 1e-6 * rng.random((300, 2)), np.full((100, 2), 0.25)))
+    one_by_one = clusters._seeds
+    for p, k in ((knot, 300), (rng.random((30, 2)), 30), (np.zeros((40, 2)), 30), (knot[:1], 1)):
+        leaves, draws = clusters.Leaves(p), np.random.default_rng(1)
+        want = [one_by_one(leaves, k, draws) for _ in range(6)]
+        calls = []
+        monkeypatch.setattr(clusters, "_seeds", lambda *a: calls.append(a) or one_by_one(*a))
+        for block in (1_000_000, len(p)):
+            monkeypatch.setattr(clusters, "BLOCK", block)
+            got = list(clusters._seed_sets(leaves, k, np.random.default_rng(1), 6))
+            assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(got, want, strict=True))
+        assert bool(calls) == (len(np.unique(p, axis=0)) <= k)
+
+
+def test_no_task_clusters_two_projects(spark):
+    rows = [(p, i, -44.3 + i * 1e-5, -2.5 + i % 7 * 1e-5) for p in range(25) for i in range(40)]
+    config = {"engenharia": {"capacidade_hp_por_cto": 16, "ctos_por_pon": 8, "pons_por_ceo": 2}}
+    out = clusters.hierarchy(spark.createDataFrame(rows, "project_id long, hp_id long, lon double, lat double"), config)
+    tasks = out.selectExpr("project_id", "spark_partition_id() as task").distinct().collect()
+    assert len(tasks) == len({r.task for r in tasks}) == 25
