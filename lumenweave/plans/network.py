@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import clusters, graph, placement, spatial
 from ..operators.graph import OK
-from ..storage import written
+from ..storage import together, written
 
 
 @dataclass
@@ -40,13 +40,15 @@ def plan(hps: DataFrame, streets: DataFrame | None, config: dict, poles: DataFra
     olt_name, auto = config["equipamentos"]["nome_olt_padrao"], look["nomear_cto_ceo_automaticamente"]
     if streets is None:
         streets = spark.createDataFrame([], "project_id long, way_id long, seq int, lon double, lat double")
-    segs = written(spatial.street_segments(streets, ["project_id"]), "segments")
-    spans = None
-    if poles is not None:
-        spans = written(spatial.crossing_penalty(spatial.pole_spans(poles, ["project_id"]), segs, ["project_id"]), "spans")
-    edges = written(graph.graph_of(graph.street_edges(streets), spans), "edges")
 
-    members = written(clusters.hierarchy(hps, config, centres), "hierarchy")
+    def mesh():
+        segs = written(spatial.street_segments(streets, ["project_id"]), "segments")
+        spans = None
+        if poles is not None:
+            spans = written(spatial.crossing_penalty(spatial.pole_spans(poles, ["project_id"]), segs, ["project_id"]), "spans")
+        return segs, spans, written(graph.graph_of(graph.street_edges(streets), spans), "edges")
+
+    members, (segs, spans, edges) = together(spark, lambda: written(clusters.hierarchy(hps, config, centres), "hierarchy"), mesh)
     boxes = members.groupBy("project_id", "cto", "pon", "ceo", "cto_lon", "cto_lat", "pon_lon", "pon_lat", "ceo_lon", "ceo_lat").agg(
         F.count("hp_id").alias("n_hp"), F.sort_array(F.collect_list("hp_id")).alias("hp_ids")
     )
@@ -62,22 +64,39 @@ def plan(hps: DataFrame, streets: DataFrame | None, config: dict, poles: DataFra
     ceos = written(ceos.withColumn("referencia", F.col("nome") if auto else F.col("id")), "ceos")
 
     at = ceos.select("project_id", "ceo", F.col("lon").alias("ceo_x"), F.col("lat").alias("ceo_y"), F.col("referencia").alias("ceo_ref"))
-    raw = boxes.drop("ceo_lon", "ceo_lat", "pon_lon", "pon_lat").withColumnsRenamed({"cto_lon": "lon", "cto_lat": "lat"}).join(at, ["project_id", "ceo"])
-    raw = written(raw, "boxes")
-    ways = written(graph.routes(placement.pon_pairs(raw).withColumn("kind", F.lit("distribuicao")), edges, config, snap_m), "raw-ways")
-    seq = placement.cto_order(raw.select("project_id", "pon", "cto", "lon", "lat", "ceo_x", "ceo_y"), ways.select("project_id", "pon", "a", "b", (F.col("status") == OK).alias("ok"), "dist_m"), gap_m)
-    from pyspark.sql import Window
-
-    ctos = spatial.snapped(raw, segs, "cto", ["project_id"], snap_m).withColumnsRenamed({"lon": "raw_lon", "lat": "raw_lat", "snap_lon": "lon", "snap_lat": "lat"})
-    ctos = ctos.join(seq, ["project_id", "pon", "cto"]).join(pons.select("project_id", "pon", "pon_no", "ceo_ord"), ["project_id", "pon"])
-    ctos = ctos.withColumn("cto_no", F.row_number().over(Window.partitionBy("project_id").orderBy("pon_no", "ss")))
-    cto_name = placement.named(F.col("cto_no"), 3, olt_name, F.format_string("SP%d_SS%d", "pon_no", "ss")) if auto else F.lit("CTO")
-    ctos = ctos.withColumn("nome", cto_name).withColumn("id", F.format_string("CTO_%04d", "cto")).withColumn("hc_estimado_teorico", F.col("n_hp") * F.lit(float(e["penetracao_estimada"])))
-    ctos = written(ctos.withColumn("referencia", F.col("nome") if auto else F.col("id")), "ctos")
-
-    # Distribution: which box feeds which, from routes between the snapped places.
-    ask = placement.pon_pairs(ctos).withColumn("kind", F.lit("cto"))
-    ways = written(graph.routes(ask, edges, config, snap_m), "ways")
+
+    def distribution():
+        raw = boxes.drop("ceo_lon", "ceo_lat", "pon_lon", "pon_lat").withColumnsRenamed({"cto_lon": "lon", "cto_lat": "lat"}).join(at, ["project_id", "ceo"])
+        raw = written(raw, "boxes")
+        ways = written(graph.routes(placement.pon_pairs(raw).withColumn("kind", F.lit("distribuicao")), edges, config, snap_m), "raw-ways")
+        seq = placement.cto_order(raw.select("project_id", "pon", "cto", "lon", "lat", "ceo_x", "ceo_y"), ways.select("project_id", "pon", "a", "b", (F.col("status") == OK).alias("ok"), "dist_m"), gap_m)
+        ctos = spatial.snapped(raw, segs, "cto", ["project_id"], snap_m).withColumnsRenamed({"lon": "raw_lon", "lat": "raw_lat", "snap_lon": "lon", "snap_lat": "lat"})
+        ctos = ctos.join(seq, ["project_id", "pon", "cto"]).join(pons.select("project_id", "pon", "pon_no", "ceo_ord"), ["project_id", "pon"])
+        ctos = ctos.withColumn("cto_no", F.row_number().over(Window.partitionBy("project_id").orderBy("pon_no", "ss")))
+        cto_name = placement.named(F.col("cto_no"), 3, olt_name, F.format_string("SP%d_SS%d", "pon_no", "ss")) if auto else F.lit("CTO")
+        ctos = ctos.withColumn("nome", cto_name).withColumn("id", F.format_string("CTO_%04d", "cto")).withColumn("hc_estimado_teorico", F.col("n_hp") * F.lit(float(e["penetracao_estimada"])))
+        ctos = written(ctos.withColumn("referencia", F.col("nome") if auto else F.col("id")), "ctos")
+
+        # Distribution: which box feeds which, from routes between the snapped places.
+        ask = placement.pon_pairs(ctos).withColumn("kind", F.lit("cto"))
+        found = written(graph.routes(ask, edges, config, snap_m), "ways")
+        return ctos, found
+
+    def backbone():
+        # Backbone: OLT (node 0) and splice boxes in order.
+        nodes = ceos.select("project_id", F.col("ceo_ord").alias("node"), "lon", "lat", "id", "referencia")
+        olt = config["equipamentos"]["olt"]
+        olts = spark.createDataFrame([], "project_id long, id string, nome string, raw_lon double, raw_lat double, lon double, lat double")
+        if olt["latitude"] is not None:
+            spot = ceos.select("project_id").distinct().select("project_id", F.lit(0).alias("node"), F.lit(float(olt["longitude"])).alias("lon"), F.lit(float(olt["latitude"])).alias("lat"))
+            moved = written(spatial.snapped(spot, segs, "node", ["project_id"], snap_m), "olt")
+            olts = moved.select("project_id", F.lit("OLT_0001").alias("id"), F.lit(olt_name).alias("nome"), F.col("lon").alias("raw_lon"), F.col("lat").alias("raw_lat"), F.col("snap_lon").alias("lon"), F.col("snap_lat").alias("lat"))
+            nodes = nodes.unionByName(moved.select("project_id", "node", F.col("snap_lon").alias("lon"), F.col("snap_lat").alias("lat"), F.lit("OLT_0001").alias("id"), F.lit(olt_name).alias("referencia")))
+        nodes = written(nodes, "backbone-nodes")
+        pairs = written(placement.backbone_weight(graph.routes(placement.backbone_requests(nodes), edges, config, snap_m)), "backbone-pairs")
+        return olts, nodes, pairs
+
+    (ctos, ways), (olts, nodes, pairs) = together(spark, distribution, backbone)
     links = placement.distribution_links(ctos, ways.select("project_id", "pon", "a", "b", (F.col("status") == OK).alias("ok"), "dist_m"), gap_m)
     links = links.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b"))
     full = links.join(ways.withColumnsRenamed({"a": "lo", "b": "hi"}), ["project_id", "pon", "lo", "hi"])
@@ -96,18 +115,7 @@ def plan(hps: DataFrame, streets: DataFrame | None, config: dict, poles: DataFra
         placement.pon_colour(F.col("pon_no"), look["colorir_cabos_por_pon"]).alias("colour"), F.col("cto_no").alias("seq"),
     )
 
-    # Backbone: OLT (node 0) and splice boxes in order.
-    nodes = ceos.select("project_id", F.col("ceo_ord").alias("node"), "lon", "lat", "id", "referencia")
-    olt = config["equipamentos"]["olt"]
-    olts = spark.createDataFrame([], "project_id long, id string, nome string, raw_lon double, raw_lat double, lon double, lat double")
-    if olt["latitude"] is not None:
-        spot = ceos.select("project_id").distinct().select("project_id", F.lit(0).alias("node"), F.lit(float(olt["longitude"])).alias("lon"), F.lit(float(olt["latitude"])).alias("lat"))
-        moved = written(spatial.snapped(spot, segs, "node", ["project_id"], snap_m), "olt")
-        olts = moved.select("project_id", F.lit("OLT_0001").alias("id"), F.lit(olt_name).alias("nome"), F.col("lon").alias("raw_lon"), F.col("lat").alias("raw_lat"), F.col("snap_lon").alias("lon"), F.col("snap_lat").alias("lat"))
-        nodes = nodes.unionByName(moved.select("project_id", "node", F.col("snap_lon").alias("lon"), F.col("snap_lat").alias("lat"), F.lit("OLT_0001").alias("id"), F.lit(olt_name).alias("referencia")))
-    nodes = written(nodes, "backbone-nodes")
     mode = e.get("topologia_backbone", {}).get("modo", "arvore")
-    pairs = written(placement.backbone_weight(graph.routes(placement.backbone_requests(nodes), edges, config, snap_m)), "backbone-pairs")
     legs = graph.backbone_edges(pairs, mode).join(pairs, ["project_id", "a", "b"])
     name = lambda c: nodes.select("project_id", F.col("node").alias(c), F.col("referencia").alias(c + "_ref"), F.col("id").alias(c + "_id"))
     legs = legs.join(name("a"), ["project_id", "a"]).join(name("b"), ["project_id", "b"])

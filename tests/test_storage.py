@@ -1,5 +1,7 @@
+import threading
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumenweave import storage
@@ -26,3 +28,10 @@ def test_broadcast_by_units(spark):
     assert not hinted(spark.range(2).select(F.lit("x" * 1600).alias("s")), 150)
     odd = spark.range(2).select(F.struct(F.lit(1).alias("a b"), F.lit("y").alias("z")).alias("a.b"), F.create_map(F.lit("k"), F.array(F.lit(b"1"))).alias("m"), F.lit(None).cast("array<string>").alias("n"))
     assert hinted(odd, 100)
+
+
+def test_steps_that_need_no_other_run_at_the_same_time(spark):
+    met = threading.Barrier(2, timeout=60)
+    assert storage.together(spark, lambda: (met.wait(), "a")[1], lambda: (met.wait(), "b")[1]) == ["a", "b"]
+    with pytest.raises(ZeroDivisionError):
+        storage.together(spark, lambda: 1, lambda: 1 / 0)
