@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,8 +68,9 @@ def plan(hps: DataFrame, streets: DataFrame | None, config: dict, poles: DataFra
     def distribution():
         raw = boxes.drop("ceo_lon", "ceo_lat", "pon_lon", "pon_lat").withColumnsRenamed({"cto_lon": "lon", "cto_lat": "lat"}).join(at, ["project_id", "ceo"])
         raw = written(raw, "boxes")
-        ways = written(graph.routes(placement.pon_pairs(raw).withColumn("kind", F.lit("distribuicao")), edges, config, snap_m), "raw-ways")
-        seq = placement.cto_order(raw.select("project_id", "pon", "cto", "lon", "lat", "ceo_x", "ceo_y"), ways.select("project_id", "pon", "a", "b", (F.col("status") == OK).alias("ok"), "dist_m"), gap_m)
+        ways = graph.routes(placement.pon_pairs(raw).withColumn("kind", F.lit("distribuicao")), edges, config, snap_m)
+        ways = written(ways.select("project_id", "pon", "a", "b", (F.col("status") == OK).alias("ok"), "dist_m"), "raw-ways")  # orders need no paths
+        seq = placement.cto_order(raw.select("project_id", "pon", "cto", "lon", "lat", "ceo_x", "ceo_y"), ways, gap_m)
         ctos = spatial.snapped(raw, segs, "cto", ["project_id"], snap_m).withColumnsRenamed({"lon": "raw_lon", "lat": "raw_lat", "snap_lon": "lon", "snap_lat": "lat"})
         ctos = ctos.join(seq, ["project_id", "pon", "cto"]).join(pons.select("project_id", "pon", "pon_no", "ceo_ord"), ["project_id", "pon"])
         ctos = ctos.withColumn("cto_no", F.row_number().over(Window.partitionBy("project_id").orderBy("pon_no", "ss")))
@@ -147,11 +148,12 @@ def plan(hps: DataFrame, streets: DataFrame | None, config: dict, poles: DataFra
     ceos = ceos.withColumn("icone", F.lit(placement.CEO_ICON)).withColumn("descricao", F.concat(F.lit("ID interno: "), "id", F.lit("\nPONs: "), F.col("n_pons").cast("string"), F.lit(f"/{e['pons_por_ceo']}")))
     pons = pons.withColumn("id", F.format_string("PON_%04d", "pon"))
     hybrid = streets.select("project_id").limit(0) if spans is None else spans.select("project_id").distinct()
-    return Plan(members, written(ctos, "ctos-final"), pons, ceos, olts, cables, exceptions, edges, hybrid, config)
+    return Plan(members, ctos, pons, ceos, olts, cables, exceptions, edges, hybrid, config)
 
 
 def report(p: Plan) -> DataFrame:
     """One JSON report for each project, with the reference layout of keys."""
+    p = replace(p, ctos=written(p.ctos, "ctos-final"))  # read several times here
     e, c = p.config["engenharia"], F.col
     pair = lambda x, y: F.array(c(x), c(y))
     optic = F.struct(c("attenuation_db").alias("atenuacao_total_db"), c("signal_dbm").alias("sinal_recebido_dbm"), c("fibre_m").alias("distancia_fibra_m"), c("approved").alias("aprovado"))

@@ -47,6 +47,14 @@ def test_report_and_layers(plan, tmp_path, spark):
     assert "project_id=2/layer=excecoes" in names and "project_id=1/layer=excecoes" not in names and {"project_id=1/layer=backbone", "project_id=1/layer=olt"} <= names
 
 
+def test_a_plan_writes_no_table_that_only_the_report_reads_again(plan, spark, monkeypatch):
+    labels, written = {}, network.written
+    monkeypatch.setattr(network, "written", lambda df, label: labels.update({label: written(df, label)}) or labels[label])
+    again = network.plan(plan.hps.select("project_id", "hp_id", "lon", "lat"), None, plan.config)
+    assert "ctos-final" not in labels and "path" not in labels["raw-ways"].columns
+    assert network.report(again).count() == 2 and "ctos-final" in labels
+
+
 def test_manual_centres_and_poles(spark):
     hps = spark.createDataFrame([(1, i, 0.0001 * i, 0.0) for i in range(20)], "project_id long, hp_id long, lon double, lat double")
     centres = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 0.001, 0.0), (1, 3, 0.5, 0.0)], "project_id long, centre_id long, lon double, lat double")
